@@ -84,3 +84,28 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from wayfold.llm import packing
 
     return packing.pack_documents(read_table(spark, sf_dir, "documents")).drop("row_no")
+
+
+@query
+def op5_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from wayfold.llm import hamming
+
+    codes, bits = hamming.sign_codes(read_table(spark, sf_dir, "embeddings"))
+    return hamming.search(codes, bits, lambda c: F.pmod(c, F.lit(20)) == 0)
+
+
+ORACLE["op5_exact_topk"] = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: x > 0) AS b FROM embeddings WHERE vec_id IS NOT NULL),
+p AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(list_zip(q.b, c.b), lambda x: (x[1] <> x[2])::INT))::INT AS distance
+  FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id
+), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id)::INT AS rank FROM p)
+SELECT query_id, rank, vec_id, distance FROM r WHERE rank <= 10
+"""
+
+
+@query
+def op8_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from wayfold.llm import ann
+
+    return ann.search(read_table(spark, sf_dir, "embeddings"), lambda c: F.pmod(c, F.lit(50)) == 0)
