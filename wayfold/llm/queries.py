@@ -109,3 +109,10 @@ def op8_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     from wayfold.llm import ann
 
     return ann.search(read_table(spark, sf_dir, "embeddings"), lambda c: F.pmod(c, F.lit(50)) == 0)
+
+
+@query
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from wayfold.llm import jaccard
+
+    return jaccard.near_duplicates(read_table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
