@@ -116,3 +116,10 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from wayfold.llm import jaccard
 
     return jaccard.near_duplicates(read_table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
+@query
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from wayfold.llm import substrings
+
+    return substrings.dedup_words(read_table(spark, sf_dir, "documents"))
