@@ -123,3 +123,10 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from wayfold.llm import substrings
 
     return substrings.dedup_words(read_table(spark, sf_dir, "documents"))
+
+
+@query
+def op2_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from wayfold.llm import prefixfree
+
+    return prefixfree.dedup_bytes(read_table(spark, sf_dir, "documents"))
