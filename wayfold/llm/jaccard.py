@@ -8,12 +8,15 @@ only token). Two documents link when their Jaccard similarity is ``percent`` per
    the order and the kind of key, so a wrong guess costs time and never a link.
 2. Equal sets are one class from here on. Prefixes are extended by one, so that two linked sets share at least two tokens
    of their prefixes: either a rare one (indexed alone), or two frequent ones (indexed as pair combinations). Sets of more
-   than ``LONG`` tokens index frequent tokens alone, and near the border sets carry both kinds of key.
+   than ``LONG_PREFIX`` prefix tokens index frequent tokens alone, and near the border sets carry both kinds of key.
 3. Groups of a key give candidate pairs; groups of more than ``SMALL`` members first give only their pairs with one member.
    What links there is merged, and then such a group yields only pairs between different components that pass the length
    bound and a parity-bitmap bound on the symmetric difference (both exact). So groups of near copies don't emit their
    square, and no partner is capped.
-4. Candidates pass the bitmap bound and are then verified on their whole token sets.
+4. Candidates pass the bitmap bound (long sets: a wider one) and are then verified on their whole token sets. Candidates
+   that hang together are verified in one place, so that each set moves once; what hangs together in more than
+   ``BLOCK_TOKENS`` tokens is verified pair by pair instead. Only texts that verification may need are moved: a bitmap of
+   2 MB, whatever the corpus, holds which these are.
 
 Null and empty texts have an empty set and link with nothing. A null doc_id takes part and shows the least id it is linked
 with, or null. Rows may repeat or share ids. An empty table gives no rows.
@@ -35,9 +38,12 @@ from wayfold.llm.graph import components
 
 SLOTS = 1 << 21
 BLOCK = 1 << 16
-LONG = 600
+LONG_PREFIX = 60
 SMALL = 8
-BITS = 1024
+BITS, WIDE = 1024, 16384
+WIDE_FROM = 1350
+BLOCK_TOKENS = 8_000_000
+BLOOM_BITS = 1 << 24
 _NONE = (1 << 63) - 1
 _PAIRS = "a long, b long"
 
@@ -94,55 +100,68 @@ def _sketch(texts: DataFrame, ngram: int) -> np.ndarray:
     return out
 
 
+def _long(percent: int) -> int:
+    return LONG_PREFIX * 100 // max(1, 100 - percent)
+
+
+def _least_size(percent: int) -> int:
+    """Smaller sets link with equal ones only."""
+    return max(2, -(-percent // max(1, 100 - percent)))
+
+
 def _need(n: np.ndarray, percent: int) -> np.ndarray:
     """Tokens that a set of n must share with any set it links with."""
     return -(-percent * n // 100)
 
 
 def _profiles(texts: DataFrame, frequent: np.ndarray, ngram: int, percent: int) -> DataFrame:
-    """For each row: id, n, h1, h2 (hashes of the set), prefix (tokens, rare ones first), rare (how many), bits (parity bitmap)."""
+    """For each row: id, n, h1, h2 (hashes of the set), prefix (tokens, rare ones first), rare (how many), bits and wide
+    (parity bitmaps; wide for long sets only)."""
     held = texts.sparkSession.sparkContext.broadcast(np.packbits(frequent))
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often = np.unpackbits(held.value).astype(bool)
         for batch in batches:
-            n, h1, h2, prefix, rare, bits = [], [], [], [], [], []
+            n, h1, h2, prefix, rare, bits, wides = [], [], [], [], [], [], []
             for s in token_sets(*column_bytes(batch.column("text")), ngram):
                 k = len(s)
                 n.append(k)
                 m = mix(s + np.uint64(0x9E3779B97F4A7C15))
                 h1.append(int(signed(mix(np.add.reduce(m, keepdims=True) + np.uint64(k)))[0]) if k else 0)
                 h2.append(int(signed(np.bitwise_xor.reduce(mix(m), keepdims=True))[0]) if k else 0)
-                if k >= 9:  # smaller sets link with equal ones only
+                if k >= _least_size(percent):
                     length = min(k, k - int(_need(np.int64(k), percent)) + 2)
                     is_often = often[(s >> np.uint64(43)).astype(np.int64)]
                     low, high = s[~is_often][:length], s[is_often]
                     prefix.append(np.concatenate([low, high[: length - len(low)]]).tobytes())
                     rare.append(len(low))
-                    bits.append(np.packbits((np.bincount((m >> np.uint64(54)).astype(np.int64), minlength=BITS) & 1).astype(bool)).tobytes())
+                    wide = (np.bincount((m >> np.uint64(50)).astype(np.int64), minlength=WIDE) & 1).astype(bool)
+                    bits.append(np.packbits(np.bitwise_xor.reduce(wide.reshape(WIDE // BITS, BITS), axis=0)).tobytes())
+                    wides.append(np.packbits(wide).tobytes() if k >= WIDE_FROM else None)
                 else:
                     prefix.append(b"")
                     rare.append(0)
                     bits.append(b"")
+                    wides.append(None)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(prefix, pa.binary()), pa.array(rare, pa.int32()), pa.array(bits, pa.binary())],
-                names=["doc_id", "n", "h1", "h2", "prefix", "rare", "bits"],
+                [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(prefix, pa.binary()), pa.array(rare, pa.int32()), pa.array(bits, pa.binary()), pa.array(wides, pa.binary())],
+                names=["doc_id", "n", "h1", "h2", "prefix", "rare", "bits", "wide"],
             )
 
-    return texts.mapInArrow(make, "doc_id long, n long, h1 long, h2 long, prefix binary, rare int, bits binary")
+    return texts.mapInArrow(make, "doc_id long, n long, h1 long, h2 long, prefix binary, rare int, bits binary, wide binary")
 
 
-def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _keys(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     """Index keys of each class: rare prefix tokens, and combinations of two frequent ones (long sets: frequent ones alone)."""
     for batch in batches:
         key, row = [], []
         for i, (n, rare, raw) in enumerate(zip(batch.column("n").to_pylist(), batch.column("rare").to_pylist(), batch.column("prefix").to_pylist(), strict=True)):
             t = np.frombuffer(raw, np.uint64)
             mine, often = [t[:rare]], t[rare:]
-            if n <= LONG * 10 // 9 + 1 and len(often) > 1:
+            if n <= _long(percent) * 100 // percent + 1 and len(often) > 1:
                 x, y = np.triu_indices(len(often), 1)
                 mine.append(mix(often[x] + mix(often[y])))
-            if n >= LONG:
+            if n >= _long(percent):
                 mine.append(mix(often ^ np.uint64(0x5851F42D4C957F2D)))
             mine = np.concatenate(mine)
             key.append(mine)
@@ -234,53 +253,110 @@ def _cross(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Recor
             yield pa.RecordBatch.from_arrays([pa.array(pair[0]), pa.array(pair[1])], names=["a", "b"])
 
 
-def _bounded(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+def _apart(p: list[bytes], q: list[bytes]) -> np.ndarray:
+    x, y = (np.frombuffer(b"".join(v), np.uint64).reshape(len(v), -1) for v in (p, q))
+    return np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
+
+
+def _bounded(pairs: DataFrame, classes: DataFrame, percent: int, owner: str) -> DataFrame:
     """Pairs that pass the bounds on length and symmetric difference."""
-    x = classes.select(F.col("c").alias("a"), F.col("n").alias("na"), F.col("bits").alias("ba"))
-    y = classes.select(F.col("c").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("bb"))
 
     def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in batches:
             if t.num_rows:
-                p, q = (np.frombuffer(b"".join(t.column(k).to_pylist()), np.uint64).reshape(t.num_rows, -1) for k in ("ba", "bb"))
                 na, nb = t.column("na").to_numpy(), t.column("nb").to_numpy()
-                apart = np.bitwise_count(p ^ q).sum(axis=1, dtype=np.int64)
-                ok = (apart * (100 + percent) <= (100 - percent) * (na + nb)) & (100 * np.minimum(na, nb) >= percent * np.maximum(na, nb))
+                ok = (_apart(t.column("x").to_pylist(), t.column("y").to_pylist()) * (100 + percent) <= (100 - percent) * (na + nb)) & (100 * np.minimum(na, nb) >= percent * np.maximum(na, nb))
                 yield t.select(["a", "b"]).filter(pa.array(ok))
 
-    return pairs.join(x, "a").join(y, "b").select("a", "b", "na", "nb", "ba", "bb").mapInArrow(bound, _PAIRS)
+    def through(pairs: DataFrame, kind: str) -> DataFrame:
+        mine = classes.filter(F.col(kind).isNotNull())
+        x = mine.select(F.col("c").alias("a"), F.col("n").alias("na"), F.col(kind).alias("x"))
+        y = mine.select(F.col("c").alias("b"), F.col("n").alias("nb"), F.col(kind).alias("y"))
+        return pairs.join(x, "a").join(y, "b").select("a", "b", "na", "nb", "x", "y").mapInArrow(bound, _PAIRS)
+
+    narrow = table(through(pairs, "bits"), "jaccard-bounded", owner)
+    long = classes.filter("wide is not null").select("c")
+    both = narrow.join(long.withColumnRenamed("c", "a"), "a", "left_semi").join(long.withColumnRenamed("c", "b"), "b", "left_semi").select("a", "b")
+    rest = narrow.join(both, ["a", "b"], "left_anti")
+    return rest.unionByName(through(both, "wide"))
+
+
+def _bloom(ids: DataFrame) -> np.ndarray:
+    """A bitmap of the hashes of the column ``id``."""
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.zeros(BLOOM_BITS, bool)
+        for batch in batches:
+            bits[(batch.column(0).to_numpy().view(np.uint64) % np.uint64(BLOOM_BITS)).astype(np.int64)] = True
+        for k in range(0, BLOOM_BITS, BLOCK):
+            if bits[k : k + BLOCK].any():
+                yield pa.RecordBatch.from_pydict({"block": pa.array([k // BLOCK], pa.int32()), "bits": pa.array([np.packbits(bits[k : k + BLOCK]).tobytes()], pa.binary())})
+
+    def any_of(rows: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"block": rows["block"].iloc[:1], "bits": [np.bitwise_or.reduce([np.frombuffer(b, np.uint8) for b in rows["bits"]]).tobytes()]})
+
+    out = np.zeros(BLOOM_BITS // 8, np.uint8)
+    for r in ids.select(F.xxhash64("id")).mapInArrow(mark, "block int, bits binary").groupBy("block").applyInPandas(any_of, "block int, bits binary").collect():  # 2 MB at most
+        out[r["block"] * BLOCK // 8 : (r["block"] + 1) * BLOCK // 8] = np.frombuffer(r["bits"], np.uint8)
+    return out
+
+
+def _shared(p: bytes, q: bytes) -> tuple[int, int]:
+    """Sizes of the intersection and of the union of two sets."""
+    both = np.sort(np.concatenate([np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64)]), kind="stable")
+    k = int((both[1:] == both[:-1]).sum())
+    return k, len(both) - k
+
+
+_LINKS = "a long, b long, shared long"
 
 
 def _verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame, ngram: int, percent: int, owner: str) -> DataFrame:
     """Pairs whose whole sets reach the threshold: a, b, shared."""
-    who = pairs.select(F.col("a").alias("c")).unionByName(pairs.select(F.col("b").alias("c"))).distinct()
-    who = classes.select("c", "least").join(who, "c")
+    label = components(pairs, owner)
+    who = classes.select("c", "least", "n").join(label.withColumnRenamed("v", "c"), "c")
+    size = who.groupBy("label").agg(F.sum("n").alias("tokens")).filter(F.col("tokens") > BLOCK_TOKENS).select("label", F.lit(True).alias("big"))
+    who = table(who.join(size, "label", "left").select("c", "least", "label", F.coalesce("big", F.lit(False)).alias("big")), "jaccard-who", owner)
+    needed = texts.sparkSession.sparkContext.broadcast(_bloom(who.select(F.col("least").alias("id"))))
+
+    def maybe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            h = batch.column("h").to_numpy().view(np.uint64) % np.uint64(BLOOM_BITS)
+            yield batch.select(["least", "text"]).filter(pa.array((needed.value[(h >> np.uint64(3)).astype(np.int64)] >> (7 - (h & np.uint64(7)).astype(np.uint8)) & 1).astype(bool)))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            c, tokens, wanted = [], [], batch.column("c").to_pylist()
-            for w, s in zip(wanted, token_sets(*column_bytes(batch.column("text")), ngram), strict=True):
+            c, tokens, labels, big = [], [], [], []
+            for w, s, v, g in zip(batch.column("c").to_pylist(), token_sets(*column_bytes(batch.column("text")), ngram), batch.column("label").to_pylist(), batch.column("big").to_pylist(), strict=True):
                 m = mix(s + np.uint64(0x9E3779B97F4A7C15))
                 if len(s) and int(signed(mix(np.add.reduce(m, keepdims=True) + np.uint64(len(s))))[0]) == w:  # an id may have several texts
                     c.append(w)
                     tokens.append(s.tobytes())
-            yield pa.RecordBatch.from_pydict({"c": pa.array(c, pa.int64()), "tokens": pa.array(tokens, pa.binary())})
+                    labels.append(v)
+                    big.append(g)
+            yield pa.RecordBatch.from_pydict({"c": pa.array(c, pa.int64()), "tokens": pa.array(tokens, pa.binary()), "label": pa.array(labels, pa.int64()), "big": pa.array(big, pa.bool_())})
+
+    keyed = texts.select(F.coalesce("doc_id", F.lit(_NONE)).alias("least"), "text").withColumn("h", F.xxhash64("least")).mapInArrow(maybe, "least long, text string")
+    got = keyed.join(who, "least").select("c", "text", "label", "big").mapInArrow(sets, "c long, tokens binary, label long, big boolean")
+    got = table(got, "jaccard-sets", owner)
 
-    got = texts.withColumn("least", F.coalesce("doc_id", F.lit(_NONE))).join(who, "least").select("c", "text").mapInArrow(sets, "c long, tokens binary")
-    got = table(got.dropDuplicates(["c"]), "jaccard-sets", owner)
+    def together(mine: pa.Table, there: pa.Table) -> pa.Table:
+        tokens = dict(zip(there.column("c").to_pylist(), there.column("tokens").to_pylist(), strict=True))
+        out = [(a, b, *_shared(tokens[a], tokens[b])) for a, b in zip(mine.column("a").to_pylist(), mine.column("b").to_pylist(), strict=True)]
+        out = [x for x in out if 100 * x[2] >= percent * x[3]]
+        return pa.table({k: pa.array([x[i] for x in out], pa.int64()) for i, k in enumerate(("a", "b", "shared"))})
 
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def apiece(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            shared, ok = [], []
-            for p, q in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True):
-                both = np.sort(np.concatenate([np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64)]), kind="stable")
-                k = int((both[1:] == both[:-1]).sum())
-                shared.append(k)
-                ok.append(100 * k >= percent * (len(both) - k))
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(shared, pa.int64())], names=["a", "b", "shared"]).filter(pa.array(ok, pa.bool_()))
+            out = [_shared(p, q) for p, q in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True)]
+            ok = pa.array([100 * k >= percent * u for k, u in out], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array([k for k, _ in out], pa.int64())], names=["a", "b", "shared"]).filter(ok)
 
-    full = pairs.join(got.select(F.col("c").alias("a"), F.col("tokens").alias("x")), "a").join(got.select(F.col("c").alias("b"), F.col("tokens").alias("y")), "b")
-    return full.select("a", "b", "x", "y").mapInArrow(verify, "a long, b long, shared long")
+    placed = pairs.join(who.select(F.col("c").alias("a"), "label", "big"), "a")
+    near = placed.filter("not big").select("label", "a", "b").groupBy("label").cogroup(got.filter("not big").select("label", "c", "tokens").groupBy("label")).applyInArrow(together, _LINKS)
+    one = got.filter("big").dropDuplicates(["c"])
+    full = placed.filter("big").select("a", "b").join(one.select(F.col("c").alias("a"), F.col("tokens").alias("x")), "a").join(one.select(F.col("c").alias("b"), F.col("tokens").alias("y")), "b")
+    return near.unionByName(full.select("a", "b", "x", "y").mapInArrow(apiece, _LINKS))
 
 
 def join(docs: DataFrame, ngram: int = 3, percent: int = 90, owner: str = "query") -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -294,14 +370,14 @@ def join(docs: DataFrame, ngram: int = 3, percent: int = 90, owner: str = "query
     load = float(counts.mean())
     profiles = table(_profiles(texts, counts > load + 8 * load**0.5 + 24, ngram, percent), "jaccard-profiles", owner)
     least = F.min(F.coalesce("doc_id", F.lit(_NONE))).alias("least")
-    few = profiles.filter("n > 0").groupBy(F.col("h1").alias("c")).agg(least, F.first("n").alias("n"), F.first("rare").alias("rare"), F.first("prefix").alias("prefix"), F.first("bits").alias("bits"))
+    few = profiles.filter("n > 0").groupBy(F.col("h1").alias("c")).agg(least, F.first("n").alias("n"), F.first("rare").alias("rare"), F.first("prefix").alias("prefix"), F.first("bits").alias("bits"), F.first("wide").alias("wide"))
     classes = table(few, "jaccard-classes", owner)
-    big = classes.filter("n >= 9")
+    big = classes.filter(F.col("n") >= _least_size(percent))
     parts = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    keyed = big.select("c", "n", "rare", "prefix").mapInArrow(_keys, "key long, c long, n long")
+    keyed = big.select("c", "n", "rare", "prefix").mapInArrow(lambda x: _keys(x, percent), "key long, c long, n long")
     keyed = keyed.repartition(parts, "key").sortWithinPartitions("key", "n", "c")
     met = table(keyed.mapInArrow(lambda x: _pairs(x, percent), "a long, b long, key long, n long, large boolean"), "jaccard-met", owner)
-    first = _verified(table(_bounded(met.filter("not large").select("a", "b").distinct(), big, percent), "jaccard-first", owner), classes, texts, ngram, percent, owner)
+    first = _verified(table(_bounded(met.filter("not large").select("a", "b").distinct(), big, percent, owner), "jaccard-first", owner), classes, texts, ngram, percent, owner)
     first = table(first, "jaccard-links", owner)
     large = met.filter("large").select("key", F.col("a").alias("c"), "n")
     if large.isEmpty():
@@ -309,7 +385,7 @@ def join(docs: DataFrame, ngram: int = 3, percent: int = 90, owner: str = "query
     label = components(first.select("a", "b"), owner)
     rows = large.join(label.withColumnRenamed("v", "c"), "c", "left").join(big.select("c", "bits"), "c").select("key", "c", "n", F.coalesce("label", "c").alias("label"), "bits")
     rows = rows.repartition(parts, "key").sortWithinPartitions("key", "n", "c")
-    crossing = table(rows.mapInArrow(lambda x: _cross(x, percent), _PAIRS).distinct(), "jaccard-cross", owner)
+    crossing = table(_bounded(rows.mapInArrow(lambda x: _cross(x, percent), _PAIRS).distinct(), big, percent, owner), "jaccard-cross", owner)
     if crossing.isEmpty():
         return profiles, classes, first
     second = _verified(crossing, classes, texts, ngram, percent, owner)
