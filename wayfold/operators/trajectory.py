@@ -42,6 +42,22 @@ def two_sigma(points: DataFrame, span: int, k: float = 2.0) -> DataFrame:
     return slotted.groupBy(*KEY, "slot").applyInPandas(keep, f"{_FIX}, slot int")
 
 
+def clean(points: DataFrame, span: int, k: float = 2.0) -> DataFrame:
+    """``two_sigma`` of ``purify``, in one pass over each device-day."""
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = _purified(pdf, tracks.SPEED, tracks.REACH)
+        slot = (pdf["capturetime"].to_numpy() - int(pd.Timestamp(pdf["day"].iloc[0]).timestamp())) // span
+        lat, lng, keep = pdf["latitude"].to_numpy(), pdf["longitude"].to_numpy(), np.ones(len(pdf), bool)
+        cut = np.flatnonzero(np.r_[True, slot[1:] != slot[:-1]])
+        for a, b in zip(cut, np.r_[cut[1:], len(slot)], strict=True):
+            if b - a > 1:
+                keep[a:b] = tracks.calm(lat[a:b], lng[a:b], k)
+        return pdf[_FIXES].assign(slot=slot.astype(np.int32))[keep]
+
+    return points.select(*_FIXES).groupBy(*KEY).applyInPandas(one, f"{_FIX}, slot int")
+
+
 def average_distance(points: DataFrame, keys: list[str]) -> DataFrame:
     """Mean and population variance of the pairwise distances of each group (0 for a single fix): higher-order functions over
     the group's positions, no self-join."""
@@ -64,7 +80,7 @@ def diameter(points: DataFrame, keys: list[str] = KEY) -> DataFrame:
 
 def grid_quantised(points: DataFrame, span: int = 120, level: int = 15) -> DataFrame:
     """Purified, calm fixes joined by device-day, slot and cell: spherical centroid and first time. The group step is native."""
-    good = two_sigma(purify(points), span).withColumn("cell", cells.cell_id(F.col("latitude"), F.col("longitude"), level))
+    good = clean(points, span).withColumn("cell", cells.cell_id(F.col("latitude"), F.col("longitude"), level))
     a, b = geo.centroid(F.col("latitude"), F.col("longitude"))
     return good.groupBy(*KEY, "slot", "cell").agg(a.alias("latitude"), b.alias("longitude"), F.min("capturetime").alias("capturetime"))
 
@@ -142,11 +158,11 @@ def compression(points: DataFrame, span: int = 120, level: int = 16) -> DataFram
     from wayfold.operators.filters import several_fixes
 
     points = several_fixes(points)
-    clean = two_sigma(purify(points), span)
+    reference = clean(points, span)
     clusters = cluster_quantised(points, span)
     vectors = track_vectors(points, span, level)
-    st = similarity(clean, clusters, span, level).withColumnRenamed("similarity", "st_similarity")
-    vec = similarity(clean, decode(vectors, span), span, level).withColumnRenamed("similarity", "vec_similarity")
+    st = similarity(reference, clusters, span, level).withColumnRenamed("similarity", "st_similarity")
+    vec = similarity(reference, decode(vectors, span), span, level).withColumnRenamed("similarity", "vec_similarity")
     bytes_of = lambda df, fields, name: df.groupBy(*KEY).agg(F.sum(F.lit(8 * fields) + F.length("device_id")).alias(name))
     codes = vectors.select(*KEY, (F.size("codes") * (8 + F.length("device_id"))).cast("long").alias("vec_bytes"))
     return st.join(vec, KEY).join(bytes_of(points, 3, "org_bytes"), KEY).join(bytes_of(clusters, 3, "st_bytes"), KEY).join(codes, KEY)
