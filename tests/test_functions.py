@@ -36,7 +36,9 @@ def test_cells(spark):
     df = spark.createDataFrame([(a, b) for a, b, *_ in CELLS], "a double, b double").coalesce(1)
     leaf = cells.cell_id(F.col("a"), F.col("b"))
     mid = cells.cell_id(F.col("a"), F.col("b"), 16)
-    code = cells.encode(F.lit(598), mid)
+    df = spark.createDataFrame(df.select("a", "b", leaf.alias("leaf"), mid.alias("mid")).collect()).coalesce(1)
+    df = spark.createDataFrame(df.select("*", cells.encode(F.lit(598), F.col("mid")).alias("code")).collect()).coalesce(1)
+    leaf, mid, code = F.col("leaf"), F.col("mid"), F.col("code")
     got = df.select(
         leaf.alias("leaf"), cells.token(mid).alias("token"), code.alias("code"), (cells.parent(leaf, 16) == mid).alias("up"), cells.code_slot(code).alias("slot"), (cells.code_cell(code) == mid).alias("back"), cells.level_of(mid).alias("level"),
         (cells.from_token(cells.token(mid)) == mid).alias("token_back"), cells.contains(mid, leaf).alias("inside"), cells.is_valid(leaf).alias("valid"), cells.common_level(leaf, mid).alias("common"), cells.cell_center(leaf).alias("at"), cells.children(mid).alias("kids"), "a", "b",
