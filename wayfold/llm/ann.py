@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wayfold.llm.common import mix, signed, table
+from wayfold.llm.common import lean, mix, signed, table
 from wayfold.llm.vectors import classes, nearest, usable
 
 TABLES, WIDTH, SUCCESS = 4, 1.5, 0.96
@@ -117,7 +117,7 @@ def search(vectors: DataFrame, asks, k: int = 5, id_col: str = "vec_id", vec_col
                     key = family.key(np.floor(family.project(u, t) / width))
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), t, np.int32)), pa.array(key), batch.column("class_id"), batch.column("vec")], names=["t", "bucket", "c", "vec"])
 
-    laid = base.select("class_id", "vec").mapInArrow(index, "t int, bucket long, c long, vec binary")
+    laid = base.select("class_id", "vec").mapInArrow(lean(index), "t int, bucket long, c long, vec binary")
     sizes = laid.groupBy("t", "bucket").agg(F.count(F.lit(1)).alias("n"))
     heavy_from = max(4 * part_rows, tables * n // _HEAVY_LIMIT + 1)  # so at most _HEAVY_LIMIT buckets are heavy
     heavy = {(r["t"], r["bucket"]): -(-r["n"] // part_rows) for r in sizes.filter(F.col("n") >= heavy_from).collect()}
@@ -172,7 +172,7 @@ def search(vectors: DataFrame, asks, k: int = 5, id_col: str = "vec_id", vec_col
 
     schema = pa.schema([("part", pa.int64()), ("q", pa.int64()), ("buckets", pa.binary()), ("vec", pa.binary())])
     who = asking.select(F.col("q").alias("class_id")).distinct()
-    probes = base.join(who, "class_id").select("class_id", "vec").mapInArrow(ask, "part long, q long, buckets binary, vec binary")
+    probes = base.join(who, "class_id").select("class_id", "vec").mapInArrow(lean(ask), "part long, q long, buckets binary, vec binary")
 
     def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         none = pd.DataFrame({"q": pd.Series(dtype="int64"), "c": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
@@ -245,5 +245,5 @@ def _scan(base: DataFrame, asked: DataFrame, k: int) -> DataFrame:
                     q, c = q[keep], c[keep]
                     yield pa.RecordBatch.from_arrays([pa.array(ids[q]), batch.column("ids").take(pa.array(c)), pa.array(_cosine(y[q], x[c]))], names=["q", "ids", "score"])
 
-        part = base.select("vec", "ids").mapInArrow(scan, "q long, ids array<long>, score double")
+        part = base.select("vec", "ids").mapInArrow(lean(scan), "q long, ids array<long>, score double")
         out = part if out is None else out.unionByName(part)

@@ -67,7 +67,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 19
 
 
 def column_bytes(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
@@ -176,4 +176,32 @@ def file_system(uri: str):
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def lean(work):
+    """``work`` over Arrow batches, giving its memory back to the system at the end: Python workers outlive their tasks."""
+
+    def run(batches):
+        try:
+            yield from work(batches)
+        finally:
+            import ctypes
+            import gc
+
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+            except (OSError, AttributeError):  # another C library
+                pass
+
+    return run
+
+
+def small_batches(spark: SparkSession, rows: int = 2000) -> None:
+    """Documents are long: pass fewer rows at a time to Python than Spark's default, unless the user has chosen."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key, "10000") == "10000":
+        spark.conf.set(key, str(rows))

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayfold.llm.common import LOWER, Rolling, column_bytes, mix, signed, slices, table, words
+from wayfold.llm.common import LOWER, Rolling, column_bytes, lean, mix, signed, slices, table, words
 from wayfold.llm.graph import components
 
 SLOTS = 1 << 21
@@ -42,7 +42,7 @@ LONG_PREFIX = 60
 SMALL = 8
 BITS, WIDE = 1024, 16384
 WIDE_FROM = 1350
-BLOCK_TOKENS = 8_000_000
+BLOCK_TOKENS = 2_000_000
 BLOOM_BITS = 1 << 24
 _NONE = (1 << 63) - 1
 _PAIRS = "a long, b long"
@@ -95,7 +95,7 @@ def _sketch(texts: DataFrame, ngram: int) -> np.ndarray:
         return pd.DataFrame({"block": rows["block"].iloc[:1], "counts": [total.tobytes()]})
 
     out = np.zeros(SLOTS, np.uint64)
-    for r in texts.mapInArrow(count, "block int, counts binary").groupBy("block").applyInPandas(add, "block int, counts binary").collect():  # 16 MB at most
+    for r in texts.mapInArrow(lean(count), "block int, counts binary").groupBy("block").applyInPandas(add, "block int, counts binary").collect():  # 16 MB at most
         out[r["block"] * BLOCK : (r["block"] + 1) * BLOCK] = np.frombuffer(r["counts"], np.uint64)
     return out
 
@@ -148,27 +148,30 @@ def _profiles(texts: DataFrame, frequent: np.ndarray, ngram: int, percent: int)
                 names=["doc_id", "n", "h1", "h2", "prefix", "rare", "bits", "wide"],
             )
 
-    return texts.mapInArrow(make, "doc_id long, n long, h1 long, h2 long, prefix binary, rare int, bits binary, wide binary")
+    return texts.mapInArrow(lean(make), "doc_id long, n long, h1 long, h2 long, prefix binary, rare int, bits binary, wide binary")
 
 
 def _keys(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     """Index keys of each class: rare prefix tokens, and combinations of two frequent ones (long sets: frequent ones alone)."""
-    for batch in batches:
-        key, row = [], []
-        for i, (n, rare, raw) in enumerate(zip(batch.column("n").to_pylist(), batch.column("rare").to_pylist(), batch.column("prefix").to_pylist(), strict=True)):
-            t = np.frombuffer(raw, np.uint64)
-            mine, often = [t[:rare]], t[rare:]
-            if n <= _long(percent) * 100 // percent + 1 and len(often) > 1:
-                x, y = np.triu_indices(len(often), 1)
-                mine.append(mix(often[x] + mix(often[y])))
-            if n >= _long(percent):
-                mine.append(mix(often ^ np.uint64(0x5851F42D4C957F2D)))
-            mine = np.concatenate(mine)
-            key.append(mine)
-            row.append(np.full(len(mine), i))
-        if key:
-            at = pa.array(np.concatenate(row))
-            yield pa.RecordBatch.from_arrays([pa.array(signed(np.concatenate(key))), batch.column("c").take(at), batch.column("n").take(at)], names=["key", "c", "n"])
+    for whole in batches:
+        for at in range(0, whole.num_rows, 512):
+            batch = whole.slice(at, 512)
+            key, row, held = [], [], 0
+            for i, (n, rare, raw) in enumerate(zip(batch.column("n").to_pylist(), batch.column("rare").to_pylist(), batch.column("prefix").to_pylist(), strict=True)):
+                t = np.frombuffer(raw, np.uint64)
+                mine, often = [t[:rare]], t[rare:]
+                if n <= _long(percent) * 100 // percent + 1 and len(often) > 1:
+                    x, y = np.triu_indices(len(often), 1)
+                    mine.append(mix(often[x] + mix(often[y])))
+                if n >= _long(percent):
+                    mine.append(mix(often ^ np.uint64(0x5851F42D4C957F2D)))
+                key.append(np.concatenate(mine))
+                row.append(np.full(len(key[-1]), i, np.int32))
+                held += len(key[-1])
+                if held > 100_000 or i == batch.num_rows - 1:
+                    take = pa.array(np.concatenate(row))
+                    yield pa.RecordBatch.from_arrays([pa.array(signed(np.concatenate(key))), batch.column("c").take(take), batch.column("n").take(take)], names=["key", "c", "n"])
+                    key, row, held = [], [], 0
 
 
 def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, np.ndarray]]:
@@ -272,7 +275,7 @@ def _bounded(pairs: DataFrame, classes: DataFrame, percent: int, owner: str) ->
         mine = classes.filter(F.col(kind).isNotNull())
         x = mine.select(F.col("c").alias("a"), F.col("n").alias("na"), F.col(kind).alias("x"))
         y = mine.select(F.col("c").alias("b"), F.col("n").alias("nb"), F.col(kind).alias("y"))
-        return pairs.join(x, "a").join(y, "b").select("a", "b", "na", "nb", "x", "y").mapInArrow(bound, _PAIRS)
+        return pairs.join(x, "a").join(y, "b").select("a", "b", "na", "nb", "x", "y").mapInArrow(lean(bound), _PAIRS)
 
     narrow = table(through(pairs, "bits"), "jaccard-bounded", owner)
     long = classes.filter("wide is not null").select("c")
@@ -296,7 +299,7 @@ def _bloom(ids: DataFrame) -> np.ndarray:
         return pd.DataFrame({"block": rows["block"].iloc[:1], "bits": [np.bitwise_or.reduce([np.frombuffer(b, np.uint8) for b in rows["bits"]]).tobytes()]})
 
     out = np.zeros(BLOOM_BITS // 8, np.uint8)
-    for r in ids.select(F.xxhash64("id")).mapInArrow(mark, "block int, bits binary").groupBy("block").applyInPandas(any_of, "block int, bits binary").collect():  # 2 MB at most
+    for r in ids.select(F.xxhash64("id")).mapInArrow(lean(mark), "block int, bits binary").groupBy("block").applyInPandas(any_of, "block int, bits binary").collect():  # 2 MB at most
         out[r["block"] * BLOCK // 8 : (r["block"] + 1) * BLOCK // 8] = np.frombuffer(r["bits"], np.uint8)
     return out
 
@@ -336,8 +339,8 @@ def _verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame, ngram: int
                     big.append(g)
             yield pa.RecordBatch.from_pydict({"c": pa.array(c, pa.int64()), "tokens": pa.array(tokens, pa.binary()), "label": pa.array(labels, pa.int64()), "big": pa.array(big, pa.bool_())})
 
-    keyed = texts.select(F.coalesce("doc_id", F.lit(_NONE)).alias("least"), "text").withColumn("h", F.xxhash64("least")).mapInArrow(maybe, "least long, text string")
-    got = keyed.join(who, "least").select("c", "text", "label", "big").mapInArrow(sets, "c long, tokens binary, label long, big boolean")
+    keyed = texts.select(F.coalesce("doc_id", F.lit(_NONE)).alias("least"), "text").withColumn("h", F.xxhash64("least")).mapInArrow(lean(maybe), "least long, text string")
+    got = keyed.join(who, "least").select("c", "text", "label", "big").mapInArrow(lean(sets), "c long, tokens binary, label long, big boolean")
     got = table(got, "jaccard-sets", owner)
 
     def together(mine: pa.Table, there: pa.Table) -> pa.Table:
@@ -356,7 +359,7 @@ def _verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame, ngram: int
     near = placed.filter("not big").select("label", "a", "b").groupBy("label").cogroup(got.filter("not big").select("label", "c", "tokens").groupBy("label")).applyInArrow(together, _LINKS)
     one = got.filter("big").dropDuplicates(["c"])
     full = placed.filter("big").select("a", "b").join(one.select(F.col("c").alias("a"), F.col("tokens").alias("x")), "a").join(one.select(F.col("c").alias("b"), F.col("tokens").alias("y")), "b")
-    return near.unionByName(full.select("a", "b", "x", "y").mapInArrow(apiece, _LINKS))
+    return near.unionByName(full.select("a", "b", "x", "y").mapInArrow(lean(apiece), _LINKS))
 
 
 def join(docs: DataFrame, ngram: int = 3, percent: int = 90, owner: str = "query") -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -374,9 +377,9 @@ def join(docs: DataFrame, ngram: int = 3, percent: int = 90, owner: str = "query
     classes = table(few, "jaccard-classes", owner)
     big = classes.filter(F.col("n") >= _least_size(percent))
     parts = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    keyed = big.select("c", "n", "rare", "prefix").mapInArrow(lambda x: _keys(x, percent), "key long, c long, n long")
+    keyed = big.select("c", "n", "rare", "prefix").mapInArrow(lean(lambda x: _keys(x, percent)), "key long, c long, n long")
     keyed = keyed.repartition(parts, "key").sortWithinPartitions("key", "n", "c")
-    met = table(keyed.mapInArrow(lambda x: _pairs(x, percent), "a long, b long, key long, n long, large boolean"), "jaccard-met", owner)
+    met = table(keyed.mapInArrow(lean(lambda x: _pairs(x, percent)), "a long, b long, key long, n long, large boolean"), "jaccard-met", owner)
     first = _verified(table(_bounded(met.filter("not large").select("a", "b").distinct(), big, percent, owner), "jaccard-first", owner), classes, texts, ngram, percent, owner)
     first = table(first, "jaccard-links", owner)
     large = met.filter("large").select("key", F.col("a").alias("c"), "n")
@@ -385,7 +388,7 @@ def join(docs: DataFrame, ngram: int = 3, percent: int = 90, owner: str = "query
     label = components(first.select("a", "b"), owner)
     rows = large.join(label.withColumnRenamed("v", "c"), "c", "left").join(big.select("c", "bits"), "c").select("key", "c", "n", F.coalesce("label", "c").alias("label"), "bits")
     rows = rows.repartition(parts, "key").sortWithinPartitions("key", "n", "c")
-    crossing = table(_bounded(rows.mapInArrow(lambda x: _cross(x, percent), _PAIRS).distinct(), big, percent, owner), "jaccard-cross", owner)
+    crossing = table(_bounded(rows.mapInArrow(lean(lambda x: _cross(x, percent)), _PAIRS).distinct(), big, percent, owner), "jaccard-cross", owner)
     if crossing.isEmpty():
         return profiles, classes, first
     second = _verified(crossing, classes, texts, ngram, percent, owner)

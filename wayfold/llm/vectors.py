@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from wayfold.llm.common import lean
+
 
 def usable(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", drop_zero: bool = True) -> DataFrame:
     """(id, vec): vectors as float64 bytes. Rows with a null id or vector, a null or non-finite component, no component,
@@ -29,7 +31,7 @@ def usable(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", dr
             data = pa.Array.from_buffers(pa.binary(8 * max(dim, 1)), len(x), [None, pa.py_buffer(x)]).cast(pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column("id").filter(pa.array(ok)), data], names=["id", "vec"])
 
-    return base.filter(F.col("id").isNotNull() & (F.size("vec") == dim) & (F.size("vec") > 0)).mapInArrow(take, "id long, vec binary")
+    return base.filter(F.col("id").isNotNull() & (F.size("vec") == dim) & (F.size("vec") > 0)).mapInArrow(lean(take), "id long, vec binary")
 
 
 def classes(rows: DataFrame, keep: int) -> DataFrame:
