@@ -13,10 +13,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wayfold.llm import jaccard, langid, lines, mixing, packing
-from wayfold.llm.common import read_table, release, table
+from wayfold.llm.common import read_table, release, small_batches, table
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     told = langid.identify(docs, langid.fit(docs.select("doc_id", "text", "lang")))
     return told.filter(~F.col("rejected")).select(*docs.columns)
 
@@ -32,11 +33,11 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     release("pipeline-2")
     owner = "pipeline-3"
-    base = table(docs.withColumn("row_no", F.monotonically_increasing_id()), "pipeline-rows", owner)
-    group = jaccard.near_duplicates(base.select(F.col("row_no").alias("doc_id"), "text"), ngram=5, percent=80, owner=owner)
-    named = group.select(F.col("doc_id").alias("row_no"), F.col("component_id").alias("component")).join(base.select("row_no", "doc_id"), "row_no")
-    kept = named.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row_no")).alias("first")).select("first.row_no")
-    return base.join(kept, "row_no", "left_semi").select(*docs.columns)
+    base = table(docs.withColumn("_wf_row", F.monotonically_increasing_id()), "pipeline-rows", owner)
+    group = jaccard.near_duplicates(base.select(F.col("_wf_row").alias("doc_id"), "text"), ngram=5, percent=80, owner=owner)
+    named = group.select(F.col("doc_id").alias("_wf_row"), F.col("component_id").alias("component")).join(base.select("_wf_row", "doc_id"), "_wf_row")
+    kept = named.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_wf_row")).alias("first")).select("first._wf_row")
+    return base.join(kept, "_wf_row", "left_semi").select(*docs.columns)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

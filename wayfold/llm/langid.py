@@ -2,7 +2,8 @@
 
 A text is the vector of its byte n-grams (1 to 3 bytes, hashed into ``DIMS`` places, lower-case ASCII), weighed by
 log(1 + tf) * idf and normalised. Each language has several centroids, found by spherical k-means over a sample of labelled
-rows; a text gets the language of the centroid of largest cosine. It is rejected when its cosine lies below what texts of
+rows. The language is that of the centroid of largest cosine where only letters are looked at (other ASCII bytes count as
+blanks). Rejection looks at all bytes: a text is rejected when its cosine with the nearest centroid lies below what texts of
 its length show in training (the far-out fence Q1 - 3 IQR of the sample's cosines, by power of two of the length).
 
 Fitting reads at most about ``sample_rows`` labelled rows (spread evenly over languages, chosen by a hash of the id); that is
@@ -22,16 +23,20 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wayfold.llm.common import LOWER, column_bytes
+from wayfold.llm.common import LOWER, column_bytes, lean
 
-DIMS = 8192
+DIMS = 4096
 SAMPLE_ROWS = 4000
 CLUSTERS = 3
 _STEP = 1 << 20
 _MUL = (np.uint32(2654435761), np.uint32(2246822519), np.uint32(3266489917))
 
 
-def counts(text: np.ndarray) -> np.ndarray:
+#: Bytes as letters: ASCII lower-cased, what is no letter in ASCII a blank, the rest as it is.
+LETTERS = np.where((LOWER >= 97) & (LOWER <= 122) | (np.arange(256) >= 128), LOWER, 32).astype(np.uint8)
+
+
+def counts(text: np.ndarray, as_bytes: np.ndarray = LOWER) -> np.ndarray:
     """n-gram counts of one text (bytes), with a blank on either side; long texts go in parts."""
     out = np.zeros(DIMS, np.int64)
     n = len(text)
@@ -40,7 +45,7 @@ def counts(text: np.ndarray) -> np.ndarray:
         lead = min(at, 2)
         b = np.empty(len(part) + (at == 0) + (at + _STEP >= n), np.uint32)
         b[0] = 32
-        b[(at == 0) : (at == 0) + len(part)] = LOWER[part]
+        b[(at == 0) : (at == 0) + len(part)] = as_bytes[part]
         if at + _STEP >= n:
             b[-1] = 32
         shift = np.uint32(32 - DIMS.bit_length() + 1)
@@ -52,25 +57,31 @@ def counts(text: np.ndarray) -> np.ndarray:
 
 
 @dataclass
-class Model:
-    languages: list[str]
+class Centroids:
     idf: np.ndarray
-    centroids: np.ndarray  # row for each
-    of: np.ndarray  # language of each row
-    fences: np.ndarray  # by log2 of the text's length
+    rows: np.ndarray  # a centroid each
+    of: np.ndarray  # language of each
 
-    def weigh(self, c: np.ndarray) -> np.ndarray:
+    def cosines(self, c: np.ndarray) -> np.ndarray:
         v = np.log1p(c).astype(np.float32) * self.idf
         norm = float(np.sqrt(v @ v))
-        return v / norm if norm else v
+        return self.rows @ (v / norm if norm else v)
+
+
+@dataclass
+class Model:
+    languages: list[str]
+    letters: Centroids | None = None
+    whole: Centroids | None = None
+    fences: np.ndarray | None = None  # by log2 of the text's length
 
     def predict(self, text: np.ndarray) -> tuple[str, float, bool]:
         if not self.languages:
             return "und", 0.0, True
-        cosines = self.centroids @ self.weigh(counts(text))
+        cosines = self.letters.cosines(counts(text, LETTERS))
         best = int(np.argmax(cosines))
-        cosine = float(min(1.0, max(0.0, cosines[best])))
-        return self.languages[self.of[best]], cosine, cosine < self.fences[min(len(self.fences) - 1, len(text).bit_length())]
+        near = float(self.whole.cosines(counts(text)).max())
+        return self.languages[self.letters.of[best]], float(min(1.0, max(0.0, cosines[best]))), near < self.fences[min(len(self.fences) - 1, len(text).bit_length())]
 
 
 def _kmeans(x: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
@@ -90,7 +101,7 @@ def fit(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, clusters: int = CLUSTER
     good = docs.filter("lang is not null and text is not null").filter(F.col("text").rlike(r"\p{L}"))
     by = {r["lang"]: r["n"] for r in docs.filter("lang is not null and text is not null").groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not by:
-        return Model([], np.ones(DIMS, np.float32), np.zeros((0, DIMS), np.float32), np.zeros(0, int), np.zeros(33))
+        return Model([])
     each = max(1, sample_rows // len(by))
     share = F.create_map(*[F.lit(x) for lang, n in by.items() for x in (lang, min(1.0, each / n))])
     unit = (F.pmod(F.xxhash64(F.col("doc_id"), F.lit(seed)), F.lit(1 << 30)) / F.lit(float(1 << 30)))
@@ -99,41 +110,48 @@ def fit(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, clusters: int = CLUSTER
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offs = column_bytes(batch.column("text"))
-            idx, val = [], []
+            out: list[list[bytes]] = [[], [], [], []]
             for a, b in zip(offs[:-1], offs[1:], strict=True):
-                c = counts(data[a:b])
-                at = np.flatnonzero(c)
-                idx.append(at.astype("<u2").tobytes())
-                val.append(np.log1p(c[at]).astype("<f4").tobytes())
-            yield pa.RecordBatch.from_pydict({"lang": batch.column("lang"), "n": pa.array(np.diff(offs)), "idx": pa.array(idx, pa.binary()), "val": pa.array(val, pa.binary())})
-
-    rows = sorted(sample.mapInArrow(vectors, "lang string, n long, idx binary, val binary").collect(), key=lambda r: (r["lang"], bytes(r["idx"]), bytes(r["val"])))
-    x = np.zeros((len(rows), DIMS), np.float32)
-    for i, r in enumerate(rows):
-        x[i, np.frombuffer(r["idx"], "<u2")] = np.frombuffer(r["val"], "<f4")
-    idf = np.log((1 + len(rows)) / (1 + (x > 0).sum(axis=0))).astype(np.float32) + np.float32(0.1)
-    x *= idf
-    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+                for k, kind in ((0, LETTERS), (2, LOWER)):
+                    c = counts(data[a:b], kind)
+                    at = np.flatnonzero(c)
+                    out[k].append(at.astype("<u2").tobytes())
+                    out[k + 1].append(np.log1p(c[at]).astype("<f4").tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column("lang"), pa.array(np.diff(offs)), *[pa.array(x, pa.binary()) for x in out]], names=["lang", "n", "i0", "v0", "i1", "v1"])
+
+    rows = sorted(sample.mapInArrow(lean(vectors), "lang string, n long, i0 binary, v0 binary, i1 binary, v1 binary").collect(), key=lambda r: (r["lang"], bytes(r["i0"]), bytes(r["v0"]), bytes(r["i1"]), bytes(r["v1"])))
+    if not rows:
+        return Model([])
     languages = sorted({r["lang"] for r in rows})
     own = np.array([languages.index(r["lang"]) for r in rows], dtype=int)
-    rng = np.random.default_rng(seed)
-    found = [_kmeans(x[own == j], clusters, rng) for j in range(len(languages))]
-    of = np.repeat(np.arange(len(languages)), [len(c) for c in found])
-    centroids = np.concatenate(found) if found else np.zeros((0, DIMS), np.float32)
+    size = np.array([int(r["n"]).bit_length() for r in rows])
+
+    def learn(kind: int) -> tuple[Centroids, np.ndarray]:
+        x = np.zeros((len(rows), DIMS), np.float32)
+        for i, r in enumerate(rows):
+            x[i, np.frombuffer(r[f"i{kind}"], "<u2")] = np.frombuffer(r[f"v{kind}"], "<f4")
+        idf = np.log((1 + len(rows)) / (1 + (x > 0).sum(axis=0))).astype(np.float32) + np.float32(0.1)
+        x *= idf
+        x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+        rng = np.random.default_rng(seed)
+        found = [_kmeans(x[own == j], clusters, rng) for j in range(len(languages))]
+        got = Centroids(idf, np.concatenate(found), np.repeat(np.arange(len(languages)), [len(c) for c in found]))
+        return got, (x @ got.rows.T).max(axis=1)
+
+    letters, _ = learn(0)
+    whole, best = learn(1)
     fences = np.zeros(33)
-    if len(rows):
-        best = (x @ centroids.T).max(axis=1)
-        size = np.array([int(r["n"]).bit_length() for r in rows])
-        for k in range(33):
-            near = best[np.abs(size - k) <= 0] if (size == k).sum() >= 30 else best[np.abs(size - k) <= 2]
-            if len(near) >= 30:
-                q1, q3 = np.quantile(near, [0.25, 0.75])
-                fences[k] = max(0.0, q1 - 3 * (q3 - q1))
-    return Model(languages, idf, centroids, of, fences)
+    for k in range(33):
+        near = best[size == k] if (size == k).sum() >= 30 else best[np.abs(size - k) <= 2]
+        if len(near) >= 30:
+            q1, q3 = np.quantile(near, [0.25, 0.75])
+            fences[k] = max(0.0, q1 - 3 * (q3 - q1))
+    return Model(languages, letters, whole, fences)
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
     """``docs`` with lang_pred, score and rejected, from ``text`` alone."""
+    docs = docs.drop("lang_pred", "score", "rejected")  # columns of these names give way
     names = docs.columns
     schema = docs.select(*names, F.lit("").alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(False).alias("rejected")).schema
     held = docs.sparkSession.sparkContext.broadcast(model)  # a few hundred KB for each language, whatever the corpus
@@ -148,7 +166,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
             columns = [*batch.columns, pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64()), pa.array([bool(g[2]) for g in got], pa.bool_())]
             yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, "lang_pred", "score", "rejected"])
 
-    return docs.mapInArrow(tell, schema)
+    return docs.mapInArrow(lean(tell), schema)
 
 
 def held_out(doc_id) -> object:

@@ -20,7 +20,7 @@ MIN_RUN = 3
 
 
 def _keys(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("_d", F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1))).withColumn("_t", F.xxhash64("text"))
+    return docs.withColumn("_wf_d", F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1))).withColumn("_wf_t", F.xxhash64("text"))
 
 
 def _solid(text):
@@ -29,11 +29,11 @@ def _solid(text):
 
 
 def repeated_runs(docs: DataFrame, min_run: int = MIN_RUN) -> DataFrame:
-    """Runs to delete: _d, _t (the document) and runs, an array of (lo, hi) among its non-blank lines."""
-    hashed = _keys(docs).select("_d", "_t", F.transform(_solid(F.col("text")), lambda s: F.xxhash64(s["x"])).alias("h")).filter(F.size("h") >= min_run)
+    """Runs to delete: _wf_d, _wf_t (the document) and runs, an array of (lo, hi) among its non-blank lines."""
+    hashed = _keys(docs).select("_wf_d", "_wf_t", F.transform(_solid(F.col("text")), lambda s: F.xxhash64(s["x"])).alias("h")).filter(F.size("h") >= min_run)
     each = hashed.withColumn("s", F.explode(F.sequence(F.lit(0), F.size("h") - min_run)))
     window = [F.get("h", F.col("s") + k) for k in range(min_run)]
-    each = each.select("_d", "_t", "s", F.least(*window).alias("print"), F.xxhash64(*window).alias("k1"), F.xxhash64(F.lit(1), *window).alias("k2"))
+    each = each.select("_wf_d", "_wf_t", "s", F.least(*window).alias("print"), F.xxhash64(*window).alias("k1"), F.xxhash64(F.lit(1), *window).alias("k2"))
     # the selected fingerprints: the window minima, once for each place where they stand
     picked = hashed.select(
         F.explode(
@@ -43,27 +43,27 @@ def repeated_runs(docs: DataFrame, min_run: int = MIN_RUN) -> DataFrame:
     ).select(F.col("w.p").alias("print"))
     again = picked.groupBy("print").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("print")
     near = each.join(again, "print", "left_semi")
-    first = near.groupBy("k1", "k2").agg(F.min(F.struct("_d", "_t", "s")).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("k1", "k2", "first")
-    later = near.join(first, ["k1", "k2"]).filter(F.struct("_d", "_t", "s") > F.col("first")).select("_d", "_t", "s").distinct()
-    w = Window.partitionBy("_d", "_t").orderBy("s")
+    first = near.groupBy("k1", "k2").agg(F.min(F.struct("_wf_d", "_wf_t", "s")).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("k1", "k2", "first")
+    later = near.join(first, ["k1", "k2"]).filter(F.struct("_wf_d", "_wf_t", "s") > F.col("first")).select("_wf_d", "_wf_t", "s").distinct()
+    w = Window.partitionBy("_wf_d", "_wf_t").orderBy("s")
     part = later.withColumn("new", (F.col("s") > F.lag("s", 1, -(10**6)).over(w) + min_run).cast("int")).withColumn("run", F.sum("new").over(w))
-    runs = part.groupBy("_d", "_t", "run").agg(F.min("s").alias("lo"), (F.max("s") + (min_run - 1)).alias("hi"))
-    return runs.groupBy("_d", "_t").agg(F.sort_array(F.collect_list(F.struct("lo", "hi"))).alias("runs"))
+    runs = part.groupBy("_wf_d", "_wf_t", "run").agg(F.min("s").alias("lo"), (F.max("s") + (min_run - 1)).alias("hi"))
+    return runs.groupBy("_wf_d", "_wf_t").agg(F.sort_array(F.collect_list(F.struct("lo", "hi"))).alias("runs"))
 
 
 def dedup_lines(docs: DataFrame, min_run: int = MIN_RUN) -> DataFrame:
     """``docs`` with text without its later repeated runs, and n_lines, n_removed (non-blank lines)."""
-    names = docs.columns
-    runs = repeated_runs(docs.select("doc_id", "text"), min_run)
-    both = _keys(docs).join(runs, ["_d", "_t"], "left")
-    dead = F.expr("flatten(transform(runs, r -> sequence(r.lo, r.hi)))")
+    names = [c for c in docs.columns if c not in ("n_lines", "n_removed")]  # a column of that name gives way
+    runs = repeated_runs(docs.select("doc_id", "text"), min_run).withColumnRenamed("runs", "_wf_runs")
+    both = _keys(docs).join(runs, ["_wf_d", "_wf_t"], "left")
+    dead = F.expr("flatten(transform(_wf_runs, r -> sequence(r.lo, r.hi)))")
     solid = F.transform(_solid(F.col("text")), lambda s: s["i"])
-    both = both.withColumn("_dead", F.when(F.col("runs").isNotNull(), F.transform(dead, lambda k: F.get(solid, k))))
+    both = both.withColumn("_wf_dead", F.when(F.col("_wf_runs").isNotNull(), F.transform(dead, lambda k: F.get(solid, k))))
     count = F.when(F.col("text").isNull(), 0).otherwise(F.size(solid))
     lines = F.split(F.col("text"), "\n")
-    kept = F.array_join(F.transform(F.arrays_zip(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_dead")).alias("i")), lambda z: F.get(lines, z["i"])), "\n")
+    kept = F.array_join(F.transform(F.arrays_zip(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_wf_dead")).alias("i")), lambda z: F.get(lines, z["i"])), "\n")
     return both.select(
-        *[F.when(F.col("_dead").isNull(), F.col("text")).otherwise(kept).alias("text") if c == "text" else F.col(c) for c in names],
+        *[F.when(F.col("_wf_dead").isNull(), F.col("text")).otherwise(kept).alias("text") if c == "text" else F.col(c) for c in names],
         count.alias("n_lines"),
-        F.coalesce(F.size("_dead"), F.lit(0)).alias("n_removed"),
+        F.coalesce(F.size("_wf_dead"), F.lit(0)).alias("n_removed"),
     )

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from wayfold.llm.common import WORD, column_bytes, table, words
+from wayfold.llm.common import WORD, column_bytes, lean, slices, table, words
 
 BLOCK_TOKENS = 64
 SHARD_SLOTS = 1024
@@ -114,16 +114,16 @@ def lay_out(docs: DataFrame, owner: str = "query") -> DataFrame:
     sums = sums.withColumn("part", F.floor(F.col("bucket") * F.lit(parts) / F.lit(buckets)).cast("int")).withColumn("before", F.coalesce(F.sum("n").over(w), F.lit(0)))
     tops = sums.groupBy("source", "part").agg(F.sum("n").alias("n")).withColumn("base", F.coalesce(F.sum("n").over(Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     sums = sums.alias("s").join(tops.alias("t"), F.col("s.source").eqNullSafe(F.col("t.source")) & (F.col("s.part") == F.col("t.part"))).select("s.source", "s.bucket", (F.col("before") + F.col("base")).alias("start"))
-    inside = Window.partitionBy("source", "bucket").orderBy("row_key", "doc_id", "size", "row_no").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("source", "bucket").orderBy("row_key", "doc_id", "size", "_wf_row").rowsBetween(Window.unboundedPreceding, -1)
     docs = docs.withColumn("inside", F.coalesce(F.sum("size").over(inside), F.lit(0)))
-    return docs.alias("d").join(sums.alias("s"), F.col("d.source").eqNullSafe(F.col("s.source")) & (F.col("d.bucket") == F.col("s.bucket"))).select("d.row_key", "d.row_no", "d.doc_id", "d.source", "d.size", (F.col("start") + F.col("inside")).cast("long").alias("first"))
+    return docs.alias("d").join(sums.alias("s"), F.col("d.source").eqNullSafe(F.col("s.source")) & (F.col("d.bucket") == F.col("s.bucket"))).select("d.row_key", "d._wf_row", "d.doc_id", "d.source", "d.size", (F.col("start") + F.col("inside")).cast("long").alias("first"))
 
 
 def sized(docs: DataFrame) -> DataFrame:
-    """Each row's hash (its place in the order), number (if ``docs`` has row_no), doc_id, source and size in words."""
-    number = F.col("row_no") if "row_no" in docs.columns else F.lit(0).cast("long")
+    """Each row's hash (its place in the order), number (if ``docs`` has _wf_row), doc_id, source and size in words."""
+    number = F.col("_wf_row") if "_wf_row" in docs.columns else F.lit(0).cast("long")
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    return docs.select(F.xxhash64("doc_id", "source", "text").alias("row_key"), number.alias("row_no"), "doc_id", F.col("source").cast("string").alias("source"), size.alias("size"))
+    return docs.select(F.xxhash64("doc_id", "source", "text").alias("row_key"), number.alias("_wf_row"), "doc_id", F.col("source").cast("string").alias("source"), size.alias("size"))
 
 
 def mix_sources(
@@ -147,7 +147,7 @@ def mix_sources(
         "source_no int, source string, source_size long, target double, n_blocks long, quota long",
     )
     placed = lay_out(base, owner).alias("d").join(F.broadcast(facts).alias("f") if len(by) < 10_000 else facts.alias("f"), F.col("d.source").eqNullSafe(F.col("f.source")))
-    placed = placed.select("d.row_key", "d.row_no", "d.doc_id", "d.source", "d.size", "d.first", "f.source_no", "f.source_size", "f.target", "f.n_blocks", "f.quota")
+    placed = placed.select("d.row_key", "d._wf_row", "d.doc_id", "d.source", "d.size", "d.first", "f.source_no", "f.source_size", "f.target", "f.n_blocks", "f.quota")
     shards = -(-sum(quotas) // shard_slots)
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -169,7 +169,7 @@ def mix_sources(
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(number), shard, np.int64)), pa.array(number), pa.array(block)], names=["shard", "source_no", "block"])
 
     tasks = max(1, min(shards, 4 * spark.sparkContext.defaultParallelism + shards // 256))
-    slots = spark.range(0, shards, 1, tasks).mapInArrow(fill, "shard long, source_no int, block long")
+    slots = spark.range(0, shards, 1, tasks).mapInArrow(lean(fill), "shard long, source_no int, block long")
     return placed, slots
 
 
@@ -178,55 +178,55 @@ def pieces(placed: DataFrame, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
     last = F.col("first") + F.col("size")
     cut = placed.filter("size > 0 and quota > 0").withColumn("block", F.explode(F.sequence(F.floor(F.col("first") / block_tokens), F.floor((last - 1) / block_tokens))))
     lo, hi = F.greatest(F.col("first"), F.col("block") * block_tokens), F.least(last, (F.col("block") + 1) * block_tokens)
-    return cut.select("source_no", "block", "row_key", "row_no", "doc_id", "size", "first", (lo - F.col("first")).alias("from_token"), (hi - lo).alias("n"))
+    return cut.select("source_no", "block", "row_key", "_wf_row", "doc_id", "size", "first", (lo - F.col("first")).alias("from_token"), (hi - lo).alias("n"))
 
 
 def taken(placed: DataFrame, slots: DataFrame, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
     """Per document: the words that the mix takes of it, repeats counted."""
     used = slots.groupBy("source_no", "block").agg(F.count(F.lit(1)).alias("times"))
     key = ["source_no", "first", "row_key", "doc_id", "size"]
-    got = pieces(placed, block_tokens).join(used, ["source_no", "block"]).groupBy(*key).agg(F.sum(F.col("n") * F.col("times")).alias("taken"))
+    got = pieces(placed, block_tokens).join(used.hint("merge"), ["source_no", "block"]).groupBy(*key).agg(F.sum(F.col("n") * F.col("times")).alias("taken"))
     a, b = placed.alias("a"), got.alias("b")
     same = (F.col("a.source_no") == F.col("b.source_no")) & (F.col("a.first") == F.col("b.first")) & (F.col("a.size") == F.col("b.size"))
-    return a.join(b, same, "left").select("a.doc_id", "a.source", "a.row_key", "a.size", "a.source_size", "a.target", F.coalesce(F.col("b.taken"), F.lit(0)).cast("long").alias("taken"))
+    return a.join(b.hint("merge"), same, "left").select("a.doc_id", "a.source", "a.row_key", "a.size", "a.source_size", "a.target", F.coalesce(F.col("b.taken"), F.lit(0)).cast("long").alias("taken"))
 
 
 def mixed_documents(docs: DataFrame, owner: str = "query", block_tokens: int = BLOCK_TOKENS, **how) -> DataFrame:
     """The mix as documents: a row of ``docs`` for each time it is taken, its text the words of the blocks taken that time
     (the text itself where all are), stretches that don't adjoin parted by a line break. n_chars follows the text."""
     names = docs.columns
-    base = table(docs.withColumn("row_no", F.monotonically_increasing_id()), "mix-docs", owner)
+    base = table(docs.withColumn("_wf_row", F.monotonically_increasing_id()), "mix-docs", owner)
     placed, slots = mix_sources(base, block_tokens=block_tokens, owner=owner, **how)
     used = slots.groupBy("source_no", "block").agg(F.count(F.lit(1)).cast("int").alias("times"))
-    part = pieces(placed, block_tokens).join(used, ["source_no", "block"]).groupBy("row_no").agg(F.sort_array(F.collect_list(F.struct("from_token", "n", "times"))).alias("parts"))
-    both = base.join(part, "row_no").select(*names, "parts")
+    part = pieces(placed, block_tokens).join(used.hint("merge"), ["source_no", "block"]).groupBy("_wf_row").agg(F.sort_array(F.collect_list(F.struct("from_token", "n", "times"))).alias("_wf_parts"))
+    both = base.join(part.hint("merge"), "_wf_row").select(*names, "_wf_parts")
     schema = docs.schema
     at, has_n = names.index("text"), names.index("n_chars") if "n_chars" in names else -1
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data, offsets = column_bytes(batch.column("text"))
-            row, text = [], []
-            for d, parts in enumerate(batch.column("parts").to_pylist()):
-                own = data[offsets[d] : offsets[d + 1]]
-                starts, ends, _ = words(own, np.array([0, len(own)]))
-                raw = own.tobytes()
-                for time in range(1, max(p["times"] for p in parts) + 1):
-                    runs: list[list[int]] = []
-                    for p in parts:
-                        if p["times"] >= time:
-                            if runs and runs[-1][1] == p["from_token"]:
-                                runs[-1][1] += p["n"]
-                            else:
-                                runs.append([p["from_token"], p["from_token"] + p["n"]])
-                    whole = runs == [[0, len(starts)]]
-                    row.append(d)
-                    text.append((raw if whole else b"\n".join(raw[starts[a] : ends[b - 1]] for a, b in runs)).decode())
-            picked = pa.RecordBatch.from_arrays(batch.columns[:-1], names=names).take(pa.array(row, pa.int64()))
-            columns = list(picked.columns)
-            columns[at] = pa.array(text, pa.string())
-            if has_n >= 0:
-                columns[has_n] = pa.array([len(x) for x in text]).cast(columns[has_n].type)
-            yield pa.RecordBatch.from_arrays(columns, names=names)
-
-    return both.mapInArrow(cut, schema)
+        for whole in batches:
+            data, offsets = column_bytes(whole.column("text"))
+            for i, j in slices(offsets, 4 << 20):
+                batch = whole.slice(i, j - i)
+                row, text = [], []
+                for d, parts in enumerate(batch.column("_wf_parts").to_pylist()):
+                    own = data[offsets[i + d] : offsets[i + d + 1]]
+                    starts, ends, _ = words(own, np.array([0, len(own)]))
+                    raw = own.tobytes()
+                    for time in range(1, max(p["times"] for p in parts) + 1):
+                        runs: list[list[int]] = []
+                        for p in parts:
+                            if p["times"] >= time:
+                                if runs and runs[-1][1] == p["from_token"]:
+                                    runs[-1][1] += p["n"]
+                                else:
+                                    runs.append([p["from_token"], p["from_token"] + p["n"]])
+                        row.append(d)
+                        text.append((raw if runs == [[0, len(starts)]] else b"\n".join(raw[starts[a] : ends[b - 1]] for a, b in runs)).decode())
+                columns = list(pa.RecordBatch.from_arrays(batch.columns[:-1], names=names).take(pa.array(row, pa.int64())).columns)
+                columns[at] = pa.array(text, pa.string())
+                if has_n >= 0:
+                    columns[has_n] = pa.array([len(x) for x in text]).cast(columns[has_n].type)
+                yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    return both.mapInArrow(lean(cut), schema)
