@@ -11,7 +11,7 @@ id; fewer than k rows give all there are; an empty table gives no rows.
 
 from __future__ import annotations
 
-import json
+from collections.abc import Iterator
 from itertools import combinations
 from math import log2
 
@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from wayfold.llm.common import table
+from wayfold.llm.common import lean, table
 from wayfold.llm.vectors import nearest, usable
 
 
@@ -38,7 +38,7 @@ def sign_codes(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embed
             x = np.frombuffer(b"".join(batch.column("vec").to_pylist()), np.float64).reshape(batch.num_rows, bits)
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(((x > 0) * weight).sum(axis=1, dtype=np.uint64).view(np.int64))], names=["id", "code"])
 
-    return rows.mapInArrow(pack, "id long, code long"), bits
+    return rows.mapInArrow(lean(pack), "id long, code long"), bits
 
 
 def search(codes: DataFrame, bits: int, asks, k: int = 10, segments: int | None = None, owner: str = "query") -> DataFrame:
@@ -55,15 +55,23 @@ def search(codes: DataFrame, bits: int, asks, k: int = 10, segments: int | None
     part = lambda c, j: F.shiftrightunsigned(c, bounds[j]).bitwiseAND(F.lit((1 << widths[j]) - 1))
     pieces = lambda c: F.array(*[F.struct(F.lit(j).alias("seg"), part(c, j).alias("val")) for j in range(segments)])
     index = base.select("code", "ids", F.explode(pieces(F.col("code"))).alias("p")).select("code", "ids", "p.seg", "p.val")
+
+    def flip(batches: Iterator[pa.RecordBatch], r: int) -> Iterator[pa.RecordBatch]:
+        """For each query and index the values that differ from its own in exactly ``r`` bits."""
+        for batch in batches:
+            q = batch.column("q").to_numpy().view(np.uint64)
+            for j in range(segments):
+                masks = np.array([sum(1 << b for b in c) for c in combinations(range(widths[j]), r)], dtype=np.uint64)
+                own = (q >> np.uint64(bounds[j])) & np.uint64((1 << widths[j]) - 1)
+                for lo in range(0, len(q) if len(masks) else 0, 256):
+                    val = (own[lo : lo + 256, None] ^ masks).ravel().view(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(q[lo : lo + 256], len(masks)).view(np.int64)), pa.array(np.full(len(val), j, np.int32)), pa.array(val)], names=["q", "seg", "val"])
+
     need = min(k, max(0, total - 1)) + 1  # a query's own row counts at distance 0
     active = table(asking.select("q").distinct(), "mih-active", owner)
     best = None
     for r in range(max(widths) + 1):
-        masks = [(j, sum(1 << b for b in c)) for j in range(segments) for c in combinations(range(widths[j]), r)]
-        flips = F.from_json(F.lit(json.dumps([{"seg": j, "mask": m} for j, m in masks])), "array<struct<seg int, mask long>>")
-        probes = active.select("q", F.explode(flips).alias("p")).select("q", "p.seg", "p.mask")
-        own = F.element_at(F.array(*[part(F.col("q"), j) for j in range(segments)]), F.col("seg") + 1)
-        met = probes.withColumn("val", own.bitwiseXOR(F.col("mask"))).join(index, ["seg", "val"])
+        met = active.mapInArrow(lean(lambda x, r=r: flip(x, r)), "q long, seg int, val long").join(index.hint("merge"), ["seg", "val"])
         apart = F.col("q").bitwiseXOR(F.col("code"))
         dists = F.array(*[F.bit_count(part(apart, j)) for j in range(segments)])
         once = (F.array_min(dists) == r) & (F.array_position(dists, r) == F.col("seg") + 1)
