@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wayfold.llm import jaccard, langid, lines, mixing, packing
-from wayfold.llm.common import read_table, release, small_batches, table
+from wayfold.llm.common import read_table, small_batches, table
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,7 +23,6 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    release("pipeline-1")
     out = lines.dedup_lines(docs).filter("n_lines = 0 or n_removed < n_lines")
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
@@ -31,7 +30,6 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    release("pipeline-2")
     owner = "pipeline-3"
     base = table(docs.withColumn("_wf_row", F.monotonically_increasing_id()), "pipeline-rows", owner)
     group = jaccard.near_duplicates(base.select(F.col("_wf_row").alias("doc_id"), "text"), ngram=5, percent=80, owner=owner)
@@ -41,12 +39,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    release("pipeline-3")
     return mixing.mixed_documents(docs, owner="pipeline-4")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    release("pipeline-4")
     return packing.pack_documents(docs, owner="pipeline-5").drop("row_no")
 
 

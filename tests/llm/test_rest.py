@@ -58,7 +58,7 @@ def vectors(spark):
     base = rng.normal(size=(400, 16))
     rows = [(k, [float(v) for v in x], "i", "q") for k, x in enumerate(base)]
     rows += [(1000 + k, rows[0][1], "i", "q") for k in range(30)] + [(900, None, "i", "q"), (901, [0.0] * 16, "i", "q"), (902, [float("nan")] * 16, "i", "q"), (903, [1.0] * 3, "i", "q"), (904, [None] * 16, "i", "q"), (None, rows[1][1], "i", "q")]
-    return spark.createDataFrame(rows, VECTORS).repartition(3), {r[0]: np.array(r[1]) for r in rows if r[0] is not None and r[0] not in range(900, 905)}
+    return spark.createDataFrame(rows, VECTORS).repartition(3), {r[0]: np.array(r[1], np.float32).astype(float) for r in rows if r[0] is not None and r[0] not in range(900, 905)}
 
 
 def test_nearest_neighbours(spark, vectors):
@@ -170,7 +170,7 @@ def test_pipeline(spark, tiny):
     kept = docs
     for name, stage in corpus_pipeline.STAGES:
         before = kept
-        kept = spark.createDataFrame(stage(spark, before, tiny).toPandas()) if name == "packing" else stage(spark, before, tiny).persist()
+        kept = stage(spark, before, tiny).persist()
         if name != "packing":
             assert kept.columns == docs.columns, name
         if name in ("language_id", "line_dedup", "near_duplicates"):

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import re
 import tempfile
 import uuid
@@ -54,6 +55,9 @@ def table(df: DataFrame, tag: str, owner: str = "query", partition_by: list[str]
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
+    # shuffle files of what is written now go as soon as the driver collects their owners; else they stay until it happens to
+    gc.collect()
+    df.sparkSession.sparkContext._jvm.System.gc()
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -188,7 +192,6 @@ def lean(work):
             yield from work(batches)
         finally:
             import ctypes
-            import gc
 
             gc.collect()
             pa.default_memory_pool().release_unused()
