@@ -25,7 +25,7 @@ def test_track_flow(spark, nine):
     assert len(v) == 2 and {c >> 45 & 0xFFFF for c in v[0].codes} == {598, 599}
     back = trajectory.decode(spark.createDataFrame(v), 120)
     assert back.agg(F.max(F.abs(F.col("latitude") - 23.397))).first()[0] < 0.003
-    same = trajectory.similarity(nine, nine, 120, 16).collect()
+    same = trajectory.similarity(nine, nine, 600, 16).collect()
     assert [r.similarity for r in same] == [1.0, 1.0]
     got = trajectory.compression(nine).orderBy("device_id").collect()
     assert got[0].org_bytes == 4 * (24 + 5) and 0 < got[0].st_similarity <= 1

@@ -85,8 +85,8 @@ def cell_center(cell: Column) -> Column:
     # leaf centres lie between the half steps of the finest grid
     u, v = uv((at["i"] + 0.5) / size), uv((at["j"] + 0.5) / size)
     x = F.when(face == 0, 1.0).when(face == 1, -u).when(face == 2, -u).when(face == 3, -1.0).when(face == 4, v).otherwise(v)
-    y = F.when(face == 0, u).when(face == 1, 1.0).when(face == 2, -v).when(face == 3, v).when(face == 4, -1.0).otherwise(u)
-    z = F.when(face == 0, v).when(face == 1, v).when(face == 2, 1.0).when(face == 3, u).when(face == 4, u).otherwise(-1.0)
+    y = F.when(face == 0, u).when(face == 1, 1.0).when(face == 2, -v).when(face == 3, -v).when(face == 4, -1.0).otherwise(u)
+    z = F.when(face == 0, v).when(face == 1, v).when(face == 2, 1.0).when(face == 3, -u).when(face == 4, -u).otherwise(-1.0)
     return F.struct(F.degrees(F.atan2(z, F.sqrt(x * x + y * y))).alias("lat"), F.degrees(F.atan2(y, x)).alias("lng"))
 
 

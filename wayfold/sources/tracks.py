@@ -54,7 +54,8 @@ def volunteer_files(spark: SparkSession, path: str, loaded: DataFrame | None = N
     )
     raw = raw.withColumn("file", F.col("_metadata.file_path")).filter(F.col("file").contains("volunteers") & ~F.col("file").rlike(r"/~\$[^/]*$"))
     raw = raw.withColumn("device_id", F.regexp_extract("file", r"([^/]+)\.csv$", 1))
-    bad = raw.groupBy("file").agg(F.max(F.col("_broken").isNotNull()).alias("bad")).filter("bad").select("file")
+    # a line is broken if Spark says so, or if it lacks its time: the parser can't be asked for its verdict alone
+    bad = raw.groupBy("file").agg(F.max(F.col("_broken").isNotNull() | F.col("geoTime").isNull() | F.col("latitude").isNull() | F.col("longitude").isNull()).alias("bad")).filter("bad").select("file")
     good = raw.join(bad, "file", "left_anti").filter("geoTime > 0")
     if loaded is not None:
         good = good.join(loaded.select("device_id").distinct(), "device_id", "left_anti")
