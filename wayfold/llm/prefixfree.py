@@ -5,16 +5,17 @@ cross documents and are judged on the input.
 
 1. Parse: a rolling hash over ``TRIGGER`` bytes that is 0 modulo ``MODULUS`` is a trigger; a phrase reaches from one trigger
    to the end of the next, so phrases overlap by a trigger and no phrase is a proper prefix of another.
-2. Dictionary: phrases are counted over the corpus. A repeated string that holds two triggers holds a whole phrase, and all
-   its whole phrases are repeated; only there can anything be found. Strings that hold fewer than two triggers are few and
-   are counted themselves, by 128-bit hashes.
-3. Records: for each trigger, the strings whose first trigger it is, as far as their phrases are repeated, make one record
-   (left phrase's end, trigger, right context). Equal records are one; with two copies all their strings are repeated.
-4. Order: records that are left single are dealt to shards by their first whole phrase. There the dictionary order of the
-   right contexts (with longest common prefixes of neighbours) and the suffixes of the left phrases combine into the order
-   of all strings: strings with the same left suffix are neighbours in the order of their right contexts, and a string is
-   repeated if a neighbour shares the rest of its ``length`` bytes. All this compares bytes, not hashes.
-5. Phrases that open more than ``CROWD`` distinct records don't go to one shard; their strings are counted by hash.
+2. Dictionary: of the runs of ``RUN`` phrases that lie whole inside a string, that of the least hash opens it. Equal strings
+   are opened by the same run at the same place. Only these runs are counted over the corpus; strings whose run occurs once
+   are not repeated. Strings too poor in triggers to hold a run are few and are counted themselves, by 128-bit hashes.
+3. Records: neighbouring strings opened by one run make one record (left context, run, right context). Equal records are
+   one; with two copies all their strings are repeated.
+4. Order: records that are left single are dealt to shards by their run. There the order of the parse's suffixes (right
+   contexts from the run on, with longest common prefixes of neighbours) and the suffixes of what lies left of it combine into
+   the corpus order of all strings: strings with the same left suffix are neighbours in the order of their right contexts, and
+   a string is repeated if a neighbour shares the rest of its ``length`` bytes. All this compares bytes, not hashes.
+5. Runs that open more than ``CROWD`` distinct records (more than a shard holds) don't go to one shard; their strings are
+   counted by hash, wherever they lie.
 
 Null and empty texts have no bytes. Rows with equal texts are each other's copies, so all their strings are repeated. Ids may
 be null or repeat. Runs without triggers (say, one byte over and over) are covered by 2. An empty table gives no rows.
@@ -30,13 +31,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wayfold.llm.common import Rolling, column_bytes, ragged, signed, slices, table
+from wayfold.llm.common import Rolling, column_bytes, lean, ragged, signed, slices, table
 
 LENGTH = 200
 TRIGGER = 8
-MODULUS = 24
-CROWD = 256
+MODULUS = 8
+RUN = 4
 SHARD_RECORDS = 20_000
+CROWD = SHARD_RECORDS
+_PLACE = np.uint64((1 << 24) - 1)
 
 
 def triggers(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -51,31 +54,44 @@ def triggers(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     return at, np.searchsorted(at, offsets)
 
 
-def _sparse(offsets: np.ndarray, at: np.ndarray, bounds: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Strings with fewer than two triggers inside: text and first byte."""
-    text, start = [], []
-    for d in range(len(offsets) - 1):
-        lo, hi = offsets[d], offsets[d + 1] - length  # last start
-        if hi < lo:
-            continue
-        g = at[bounds[d] : bounds[d + 1]]
-        # starts in (g[i-1], g[i]] have first trigger g[i]; they lack a second one below g[i+1] - (length - TRIGGER)
-        left = np.r_[lo, g + 1] if len(g) else np.array([lo])
-        right = np.r_[g, hi] if len(g) else np.array([hi])
-        second = np.r_[g[1:], np.full(2, 1 << 60)][: len(g) + 1] if len(g) else np.array([1 << 60])
-        right = np.minimum(np.minimum(right, hi), second - (length - TRIGGER) - 1)
-        some = right >= left
-        if some.any():
-            group, place = ragged((right - left + 1)[some])
-            start.append(left[some][group] + place)
-            text.append(np.full(len(group), d))
-    if not text:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    return np.concatenate(text), np.concatenate(start)
+def openings(data: np.ndarray, offsets: np.ndarray, length: int, roll: Rolling) -> tuple[np.ndarray, ...]:
+    """For stretches of strings that one run of phrases opens: text, run (its first trigger's number), first and last start; and
+    of strings without a run: text and start. Last: triggers and each text's bounds among them."""
+    at, bounds = triggers(data, offsets)
+    runs = max(0, len(at) - RUN)
+    reach = at[RUN:] + TRIGGER  # end of each run
+    # the runs inside a string change only where it loses or gains one, or where a text begins or ends
+    last = offsets[1:] - length
+    edge = np.unique(np.concatenate([at + 1, reach - length, offsets[:-1], last + 1]))
+    edge = edge[(edge >= 0) & (edge < offsets[-1])]
+    text = np.searchsorted(offsets, edge, side="right") - 1
+    stop = np.minimum(np.r_[edge[1:], offsets[-1]] - 1, last[text])
+    edge, text, stop = (x[stop >= edge] for x in (edge, text, stop))
+    lo, hi = np.searchsorted(at, edge), np.searchsorted(reach, edge + length, side="right")  # runs lo .. hi - 1
+    has = hi > lo
+    least = np.zeros(len(edge), np.int64)
+    if has.any():
+        levels = [(roll.spans(at[:runs], reach) & ~_PLACE) | (np.arange(runs, dtype=np.uint64) & _PLACE)]
+        span = hi - lo
+        while 2 << (len(levels) - 1) <= int(span.max()):
+            half = 1 << (len(levels) - 1)
+            levels.append(np.minimum(levels[-1][:-half], levels[-1][half:]))
+        k = np.frexp(np.maximum(span, 1).astype(np.float64))[1] - 1
+        for v in np.unique(k[has]):
+            m = has & (k == v)
+            value = np.minimum(levels[v][lo[m]], levels[v][hi[m] - (1 << v)])
+            place = (value & _PLACE).astype(np.int64)
+            least[m] = lo[m] + ((place - lo[m]) & int(_PLACE))
+    spare_group, spare_place = ragged((stop - edge + 1)[~has])
+    spare = (text[~has][spare_group], edge[~has][spare_group] + spare_place)
+    edge, text, stop, least = (x[has] for x in (edge, text, stop, least))
+    first = np.flatnonzero(np.r_[True, (text[1:] != text[:-1]) | (least[1:] != least[:-1]) | (edge[1:] != stop[:-1] + 1)]) if len(edge) else np.zeros(0, np.int64)
+    ends = stop[np.r_[first[1:] - 1, len(stop) - 1]] if len(edge) else edge
+    return text[first], least[first], edge[first], ends, *spare, at, bounds
 
 
 def _parse(docs: DataFrame, length: int) -> DataFrame:
-    """(h, h2, row, k): phrases (k their number in the text) and sparse strings (k = -1 - first byte). Of what occurs again in
+    """(h, h2, row, k): opening runs (k their number in the text) and strings without one (k = -1 - first byte). Of what occurs again in
     the same batch one row stays, marked; the others are known to be repeated and only pass through."""
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -85,14 +101,9 @@ def _parse(docs: DataFrame, length: int) -> DataFrame:
             parts: list[tuple[np.ndarray, ...]] = []
             for i, j in slices(offsets):
                 part, offs = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
-                at, bounds = triggers(part, offs)
                 roll = Rolling(part)
-                long = np.diff(offs) >= length
-                text = np.repeat(np.arange(j - i), np.diff(bounds))
-                whole = np.flatnonzero((text[1:] == text[:-1]) & long[text[1:]]) if len(text) else np.zeros(0, np.int64)
-                h = roll.spans(at[whole], at[whole + 1] + TRIGGER)
-                parts.append((h, np.zeros(len(h), np.uint64), row[i:j][text[whole]], whole - bounds[text[whole]]))
-                st, sb = _sparse(offs, at, bounds, length)
+                text, run, _, _, st, sb, at, bounds = openings(part, offs, length, roll)
+                parts.append((roll.spans(at[run], at[run + RUN] + TRIGGER), np.zeros(len(run), np.uint64), row[i:j][text], run - bounds[text]))
                 if len(st):
                     parts.append((roll.spans(sb, sb + length), Rolling(part, 2).spans(sb, sb + length), row[i:j][st], -1 - (sb - offs[st])))
             if not parts:
@@ -112,7 +123,7 @@ def _parse(docs: DataFrame, length: int) -> DataFrame:
             key = np.where(known, (r.view(np.uint64) ^ (k.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15))), h)
             yield pa.RecordBatch.from_arrays([pa.array(signed(key[keep])), pa.array(signed(h2[keep])), pa.array(r[keep]), pa.array(k[keep]), pa.array(mark[keep])], names=["h", "h2", "row", "k", "mark"])
 
-    return docs.select("row", "text").mapInArrow(parse, "h long, h2 long, row long, k long, mark int")
+    return docs.select("row", "text").mapInArrow(lean(parse), "h long, h2 long, row long, k long, mark int")
 
 
 def _again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -166,8 +177,6 @@ def merged(row: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray,
 
 def _cut(docs: DataFrame, length: int) -> DataFrame:
     """kind 0: finished documents; 1: documents with candidates; 2: records; 3: stretches known to be repeated."""
-    reach = length - TRIGGER
-
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = column_bytes(batch.column("text"))
@@ -178,52 +187,39 @@ def _cut(docs: DataFrame, length: int) -> DataFrame:
             for i, j in slices(offsets):
                 part, offs = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
                 raw, has = part.tobytes(), np.zeros(j - i, bool)
-                recs, known = [], []
+                known = []
                 busy = np.flatnonzero(dup_n[i:j])
                 if len(busy):
-                    at, bounds = triggers(part, offs)
-                for d in busy:
-                    k = dup_of[dup_at[i + d] : dup_at[i + d + 1]]
-                    g, lo, n = at[bounds[d] : bounds[d + 1]], offs[d], offs[d + 1]
-                    if (k < 0).any():  # sparse strings are settled
-                        s = lo - 1 - k[k < 0]
-                        known.append(np.stack([np.full(len(s), d), s, s + length]))
-                        has[d] = True
-                    if len(g) < 2 or not (k >= 0).any():
-                        continue
-                    again = np.zeros(len(g), bool)  # phrase m reaches from g[m] to g[m + 1]
-                    again[k[k >= 0]] = True
-                    # end[m]: the first phrase from m on that is not repeated
-                    stop = np.where(again, len(g), np.arange(len(g)))
-                    end = np.minimum.accumulate(stop[::-1])[::-1]
-                    beyond = np.r_[g[1:], 1 << 60][np.minimum(end, len(g) - 1)]  # its last trigger must lie outside
-                    m = np.flatnonzero(again)
-                    z_lo = np.maximum(np.r_[lo, g[:-1] + 1][m], g[m + 1] - reach)
-                    z_hi = np.minimum(np.minimum(g[m], n - length), np.where(beyond[m] == 1 << 60, 1 << 60, beyond[m] - reach - 1))
-                    ok = z_hi >= z_lo
-                    if ok.any():
-                        m = m[ok]
-                        recs.append(np.stack([np.full(len(m), d), z_lo[ok], z_hi[ok], g[m], g[m + 1]]))
-                        has[d] = True
-                if recs:
-                    d, z_lo, z_hi, g, g1 = np.concatenate(recs, axis=1)
                     roll = Rolling(part)
+                    text, run, first, last, _, _, at, bounds = openings(part, offs, length, roll)
+                    number, ok = run - bounds[text], np.zeros(len(run), bool)
+                    left, right = np.searchsorted(text, busy), np.searchsorted(text, busy, side="right")
+                    for d, x, y in zip(busy, left, right, strict=True):
+                        k = dup_of[dup_at[i + d] : dup_at[i + d + 1]]
+                        ok[x:y] = np.isin(number[x:y], k)
+                        if (k < 0).any():  # strings without a run are settled
+                            s = offs[d] - 1 - k[k < 0]
+                            known.append(np.stack([np.full(len(s), d), s, s + length]))
+                    d, g, g1, z_lo, z_hi = text[ok], at[run[ok]], at[run[ok] + RUN], first[ok], last[ok]
+                    has[d] = True
+                if len(busy) and len(d):
                     z1, z2 = roll.spans(z_lo, z_hi + length), Rolling(part, 2).spans(z_lo, z_hi + length)
                     order = np.lexsort((z2, z1))
-                    first = np.r_[True, (z1[order][1:] != z1[order][:-1]) | (z2[order][1:] != z2[order][:-1])]
-                    group = np.cumsum(first) - 1
+                    fresh = np.r_[True, (z1[order][1:] != z1[order][:-1]) | (z2[order][1:] != z2[order][:-1])]
+                    group = np.cumsum(fresh) - 1
                     count = np.bincount(group)
                     several = np.empty(len(order), bool)
                     several[order] = (count > 1)[group]
                     if several.any():
                         known.append(np.stack([d, z_lo, z_hi + length])[:, several])
-                    rep = order[first]
+                    rep = order[fresh]
                     yield _kind(
                         2, len(rep), row=pa.array(row[i:j][d[rep]]), z1=pa.array(signed(z1[rep])), z2=pa.array(signed(z2[rep])), phrase=pa.array(signed(roll.spans(g[rep], g1[rep] + TRIGGER))), n=pa.array(np.minimum(count, 2)),
-                        lo=pa.array((z_lo - offs[d])[rep]), hi=pa.array((z_hi - offs[d])[rep]), left_n=pa.array((g - z_lo)[rep]), bytes=pa.array([raw[a : b + length] for a, b in zip(z_lo[rep], z_hi[rep], strict=True)], pa.binary()),
+                        lo=pa.array((z_lo - offs[d])[rep]), hi=pa.array((z_hi - offs[d])[rep]), left_n=pa.array((g - z_lo)[rep]), bytes=pa.array([raw[x : y + length] for x, y in zip(z_lo[rep], z_hi[rep], strict=True)], pa.binary()),
                     )
                 if known:
                     d, a, b = merged(*np.concatenate(known, axis=1))
+                    has[d] = True
                     yield _kind(3, len(d), row=pa.array(row[i:j][d]), lo=pa.array(a - offs[d]), hi=pa.array(b - offs[d]))
                 ids, text = batch.column("doc_id").slice(i, j - i), batch.column("text").slice(i, j - i)
                 rest = np.flatnonzero(~has)
@@ -233,7 +229,7 @@ def _cut(docs: DataFrame, length: int) -> DataFrame:
                 if len(some):
                     yield _kind(1, len(some), row=pa.array(row[i:j][some]), doc_id=ids.take(pa.array(some)), text=text.take(pa.array(some)))
 
-    return docs.select("row", "doc_id", "text", "dup").mapInArrow(cut, _CUT)
+    return docs.select("row", "doc_id", "text", "dup").mapInArrow(lean(cut), _CUT)
 
 
 def order_records(left: np.ndarray, left_n: np.ndarray, right: np.ndarray, right_n: np.ndarray, fewest: np.ndarray, length: int) -> np.ndarray:
@@ -325,7 +321,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, owner: str = "query")
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("row", F.xxhash64("text"))
     parts = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
     parsed = _parse(base, length).repartition(parts, "h").sortWithinPartitions("h", "h2")
-    dup = parsed.mapInArrow(_again, "row long, k long").groupBy("row").agg(F.collect_set("k").alias("dup"))
+    dup = parsed.mapInArrow(lean(_again), "row long, k long").groupBy("row").agg(F.collect_set("k").alias("dup"))
     cut = table(_cut(base.join(dup, "row", "left"), length), "pfp-cut", owner, ["kind"])
     records = cut.filter("kind = 2").select("row", "z1", "z2", "phrase", "n", "lo", "hi", "left_n", "bytes")
     heads = records.groupBy("z1", "z2").agg(F.sum("n").alias("n"), *[F.first(c).alias(c) for c in ("row", "phrase", "lo", "left_n", "bytes")])
@@ -337,11 +333,11 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, owner: str = "query")
     shards = max(1, -(-tagged.filter(F.col("heads") <= CROWD).count() // SHARD_RECORDS))
     calm = tagged.filter(F.col("heads") <= CROWD).select("row", "z1", "z2", F.least("n", F.lit(2)).alias("n"), "phrase", "lo", "left_n", "bytes", F.pmod(F.xxhash64("phrase"), F.lit(shards)).alias("shard"))
     ordered = calm.repartition(shards, "shard").groupBy("shard").applyInArrow(lambda t: _order_shard(t, length), "row long, lo long, hi long")
-    crowd = tagged.filter(F.col("heads") > CROWD).select("row", "n", "lo", "bytes").mapInArrow(lambda x: _strings(x, length), "row long, n long, at long, w1 long, w2 long")
+    crowd = tagged.filter(F.col("heads") > CROWD).select("row", "n", "lo", "bytes").mapInArrow(lean(lambda x: _strings(x, length)), "row long, n long, at long, w1 long, w2 long")
     often = crowd.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("w1", "w2")
     more = crowd.filter("n = 1").join(often, ["w1", "w2"], "left_semi").select("row", F.col("at").alias("lo"), (F.col("at") + length).alias("hi"))
     spans = cut.filter("kind = 3").select("row", "lo", "hi").unionByName(whole).unionByName(ordered).unionByName(more)
-    return cut, spans.groupBy("row").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
+    return cut, table(spans.groupBy("row").agg(F.collect_set(F.struct("lo", "hi")).alias("spans")), "pfp-spans", owner)
 
 
 def _without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -369,4 +365,4 @@ def dedup_bytes(docs: DataFrame, length: int = LENGTH, owner: str = "query") ->
     zero = F.lit(0).cast("long")
     clean = cut.filter("kind = 0").select("doc_id", "n_bytes", zero.alias("n_removed"), zero.alias("n_spans"), F.col("sha").alias("kept_sha256"))
     rest = cut.filter("kind = 1").select("row", "doc_id", "text").join(spans, "row", "left")
-    return clean.unionByName(rest.select("doc_id", "text", "spans").mapInArrow(_without, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"))
+    return clean.unionByName(rest.select("doc_id", "text", "spans").mapInArrow(lean(_without), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"))
