@@ -10,7 +10,7 @@ doc_id is removed. Windows are judged on the input. In steps:
 3. The first copy of each segment is dealt to a shard by its anchor, so equal windows meet there. A shard indexes its
    segments, in the order of their doc_id, as an FM-index (suffix order, wavelet matrix), and streams them against it:
    backward search with matching statistics, bounded to places before the segment's own document.
-4. Anchors with more than ``CROWD`` distinct segments (say, a passage that a third of all documents hold) don't go to one
+4. Anchors with more than ``CROWD`` distinct segments (more than a shard holds; say, a passage of a third of all documents) don't go to one
    shard: their windows are compared one by one through their hashes, wherever those lie.
 5. The stretches found are put together by document and taken out; kept words are joined by one space.
 
@@ -28,13 +28,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wayfold.llm.common import Rolling, column_bytes, signed, slices, table, words
+from wayfold.llm.common import Rolling, column_bytes, lean, signed, slices, table, words
 from wayfold.llm.fmindex import earlier_matches
 
 WINDOW = 50
 GRAM = 10
-CROWD = 256
 SHARD_WORDS = 400_000
+CROWD = SHARD_WORDS // (2 * WINDOW)
 _LAST = (1 << 63) - 1
 _PLACE = np.uint64((1 << 24) - 1)
 
@@ -98,7 +98,7 @@ def _anchor_rows(docs: DataFrame, window: int, gram: int) -> DataFrame:
                     pair = np.unique(np.stack([text[fresh], grams[at[fresh]].view(np.int64)]), axis=1)
                     yield pa.RecordBatch.from_arrays([pa.array(pair[1]), pa.array(key[i:j][pair[0]])], names=["anchor", "key"])
 
-    return docs.select("key", "text").mapInArrow(pick, "anchor long, key long")
+    return docs.select("key", "text").mapInArrow(lean(pick), "anchor long, key long")
 
 
 _CUT = "kind int, row long, key long, doc_id long, text string, n_words long, sha string, s1 long, s2 long, anchor long, at long, windows int, bytes binary"
@@ -149,7 +149,7 @@ def _cut(docs: DataFrame, window: int, gram: int) -> DataFrame:
                 if len(some):
                     yield kinds(1, len(some), row=pa.array(row[i:j]).take(some), key=pa.array(key[i:j]).take(some), doc_id=batch.column("doc_id").slice(i, j - i).take(some), text=batch.column("text").slice(i, j - i).take(some))
 
-    return docs.select("row", "key", "doc_id", "text", "shared").mapInArrow(cut, _CUT)
+    return docs.select("row", "key", "doc_id", "text", "shared").mapInArrow(lean(cut), _CUT)
 
 
 _ANSWER = "s1 long, s2 long, lo int, hi int"
@@ -230,14 +230,14 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, owne
     shards = max(1, -(-total // SHARD_WORDS))
     calm = tagged.filter(F.col("n") <= CROWD).select("least", "s1", "s2", "bytes", F.pmod(F.xxhash64("anchor"), F.lit(shards)).alias("shard"))
     answers = calm.repartition(max(1, shards), "shard").groupBy("shard").applyInArrow(lambda t: _search_shard(t, window), _ANSWER)
-    crowd = tagged.filter(F.col("n") > CROWD).select("s1", "s2", "least", "bytes").mapInArrow(lambda x: _windows(x, window), "s1 long, s2 long, least long, off int, w1 long, w2 long")
+    crowd = tagged.filter(F.col("n") > CROWD).select("s1", "s2", "least", "bytes").mapInArrow(lean(lambda x: _windows(x, window)), "s1 long, s2 long, least long, off int, w1 long, w2 long")
     early = crowd.groupBy("w1", "w2").agg(F.min("least").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
     more = crowd.join(early, ["w1", "w2"]).filter(F.col("least") > F.col("first")).select("s1", "s2", F.col("off").alias("lo"), (F.col("off") + window).alias("hi"))
     found = table(answers.unionByName(more), "sub-answers", owner)
     places = segments.select("row", "key", "s1", "s2", "at", "windows").join(heads.select("s1", "s2", "least"), ["s1", "s2"])
     whole = places.filter("key > least").select("row", F.col("at").alias("lo"), (F.col("at") + F.col("windows") + (window - 1)).alias("hi"))
     some = places.filter("key = least").join(found, ["s1", "s2"]).select("row", (F.col("at") + F.col("lo")).alias("lo"), (F.col("at") + F.col("hi")).alias("hi"))
-    return cut, whole.unionByName(some).groupBy("row").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
+    return cut, table(whole.unionByName(some).groupBy("row").agg(F.collect_set(F.struct("lo", "hi")).alias("spans")), "sub-spans", owner)
 
 
 def dedup_words(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, owner: str = "query") -> DataFrame:
@@ -245,4 +245,4 @@ def dedup_words(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, owner:
     cut, spans = repeated_spans(docs, window, gram, owner)
     clean = cut.filter("kind = 0").select("doc_id", "n_words", F.lit(0).cast("long").alias("n_removed"), F.col("sha").alias("kept_sha256"))
     rest = cut.filter("kind = 1").select("row", "doc_id", "text").join(spans, "row", "left")
-    return clean.unionByName(rest.select("doc_id", "text", "spans").mapInArrow(_without, "doc_id long, n_words long, n_removed long, kept_sha256 string"))
+    return clean.unionByName(rest.select("doc_id", "text", "spans").mapInArrow(lean(_without), "doc_id long, n_words long, n_removed long, kept_sha256 string"))
