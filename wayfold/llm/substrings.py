@@ -218,19 +218,20 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, owne
     """(cut, spans): the rows of ``_cut``, and for each row number with something to remove its spans (lo, hi) in words."""
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("key", F.coalesce("doc_id", F.lit(_LAST))).withColumn("row", F.xxhash64("doc_id", "text"))
     picked = table(_anchor_rows(base, window, gram), "sub-anchors", owner)
-    several = picked.groupBy("anchor").agg(F.min("key").alias("x"), F.max("key").alias("y")).filter("x < y").select("anchor")
+    # written tables as join sides: a join with an aggregate would tie the other side to its partitions, hot anchors and all
+    several = table(picked.groupBy("anchor").agg(F.min("key").alias("x"), F.max("key").alias("y")).filter("x < y").select("anchor"), "sub-several", owner)
     shared = picked.join(several, "anchor", "left_semi").groupBy("key").agg(F.collect_set("anchor").alias("shared"))
     cut = table(_cut(base.join(shared, "key", "left"), window, gram), "sub-cut", owner, ["kind"])
     segments = cut.filter("kind = 2").select("row", "key", "s1", "s2", "anchor", "at", "windows", "bytes")
     heads = segments.groupBy("s1", "s2").agg(F.min("key").alias("least"), F.first("anchor").alias("anchor"), F.first("windows").alias("windows"), F.first("bytes").alias("bytes"))
     heads = table(heads, "sub-heads", owner)
-    crowds = heads.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.min("least").alias("x"), F.max("least").alias("y"))
-    tagged = heads.join(crowds, "anchor").filter("x < y")  # alone or of one document: nothing earlier
-    total = tagged.filter(F.col("n") <= CROWD).agg(F.sum(F.col("windows") + window)).first()[0] or 0
-    shards = max(1, -(-total // SHARD_WORDS))
-    calm = tagged.filter(F.col("n") <= CROWD).select("least", "s1", "s2", "bytes", F.pmod(F.xxhash64("anchor"), F.lit(shards)).alias("shard"))
+    crowds = heads.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.min("least").alias("x"), F.max("least").alias("y"), F.sum(F.col("windows") + window).alias("words"))
+    crowds = table(crowds.filter("x < y").select("anchor", "n", "words"), "sub-crowds", owner)  # alone or of one document: nothing earlier
+    few, many = (crowds.filter(x) for x in (F.col("n") <= CROWD, F.col("n") > CROWD))
+    shards = max(1, -(-(few.agg(F.sum("words")).first()[0] or 0) // SHARD_WORDS))
+    calm = heads.join(few.select("anchor"), "anchor", "left_semi").select("least", "s1", "s2", "bytes", F.pmod(F.xxhash64("anchor"), F.lit(shards)).alias("shard"))
     answers = calm.repartition(max(1, shards), "shard").groupBy("shard").applyInArrow(lambda t: _search_shard(t, window), _ANSWER)
-    crowd = tagged.filter(F.col("n") > CROWD).select("s1", "s2", "least", "bytes").mapInArrow(lean(lambda x: _windows(x, window)), "s1 long, s2 long, least long, off int, w1 long, w2 long")
+    crowd = heads.join(many.select("anchor"), "anchor", "left_semi").select("s1", "s2", "least", "bytes").mapInArrow(lean(lambda x: _windows(x, window)), "s1 long, s2 long, least long, off int, w1 long, w2 long")
     early = crowd.groupBy("w1", "w2").agg(F.min("least").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
     more = crowd.join(early, ["w1", "w2"]).filter(F.col("least") > F.col("first")).select("s1", "s2", F.col("off").alias("lo"), (F.col("off") + window).alias("hi"))
     found = table(answers.unionByName(more), "sub-answers", owner)
