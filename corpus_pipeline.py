@@ -32,7 +32,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     owner = "pipeline-3"
     base = table(docs.withColumn("_wf_row", F.monotonically_increasing_id()), "pipeline-rows", owner)
-    group = jaccard.near_duplicates(base.select(F.col("_wf_row").alias("doc_id"), "text"), ngram=5, percent=80, owner=owner)
+    group = jaccard.near_duplicates(base.select(F.col("_wf_row").alias("doc_id"), "text"), ngram=5, percent=80, owner=owner, every=False)
     named = group.select(F.col("doc_id").alias("_wf_row"), F.col("component_id").alias("component")).join(base.select("_wf_row", "doc_id"), "_wf_row")
     kept = named.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_wf_row")).alias("first")).select("first._wf_row")
     return base.join(kept, "_wf_row", "left_semi").select(*docs.columns)

@@ -17,6 +17,10 @@ only token). Two documents link when their Jaccard similarity is ``percent`` per
    that hang together are verified in one place, so that each set moves once; what hangs together in more than
    ``BLOCK_TOKENS`` tokens is verified pair by pair instead. Only texts that verification may need are moved: a bitmap of
    2 MB, whatever the corpus, holds which these are.
+5. That gives enough links to connect every class with all it is linked with. The rest lie inside components of three
+   classes or more: their classes are dealt into blocks of about ``LINK_ROWS`` sets or ``LINK_TOKENS`` tokens, and each pair
+   of blocks, a task's work, counts the shared tokens of all its pairs of fitting length. So all links are found, and a
+   component of many near copies costs its square, as it has that many links.
 
 Null and empty texts have an empty set and link with nothing. A null doc_id takes part and shows the least id it is linked
 with, or null. Rows may repeat or share ids. An empty table gives no rows.
@@ -44,6 +48,7 @@ BITS, WIDE = 1024, 16384
 WIDE_FROM = 1350
 BLOCK_TOKENS = 2_000_000
 BLOOM_BITS = 1 << 24
+LINK_ROWS, LINK_TOKENS = 1024, 500_000
 _NONE = (1 << 63) - 1
 _PAIRS = "a long, b long"
 
@@ -314,12 +319,8 @@ def _shared(p: bytes, q: bytes) -> tuple[int, int]:
 _LINKS = "a long, b long, shared long"
 
 
-def _verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame, ngram: int, percent: int, owner: str) -> DataFrame:
-    """Pairs whose whole sets reach the threshold: a, b, shared."""
-    label = components(pairs, owner)
-    who = classes.select("c", "least", "n").join(label.withColumnRenamed("v", "c"), "c")
-    size = who.groupBy("label").agg(F.sum("n").alias("tokens")).filter(F.col("tokens") > BLOCK_TOKENS).select("label", F.lit(True).alias("big"))
-    who = table(who.join(size, "label", "left").select("c", "least", "label", F.coalesce("big", F.lit(False)).alias("big")), "jaccard-who", owner)
+def _sets(who: DataFrame, texts: DataFrame, ngram: int, owner: str) -> DataFrame:
+    """Whole token sets of the classes ``who`` (c, least, label, big): c, tokens, label, big; a class may come twice."""
     needed = texts.sparkSession.sparkContext.broadcast(_bloom(who.select(F.col("least").alias("id"))))
 
     def maybe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -341,7 +342,16 @@ def _verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame, ngram: int
 
     keyed = texts.select(F.coalesce("doc_id", F.lit(_NONE)).alias("least"), "text").withColumn("h", F.xxhash64("least")).mapInArrow(lean(maybe), "least long, text string")
     got = keyed.join(who, "least").select("c", "text", "label", "big").mapInArrow(lean(sets), "c long, tokens binary, label long, big boolean")
-    got = table(got, "jaccard-sets", owner)
+    return table(got, "jaccard-sets", owner)
+
+
+def _verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame, ngram: int, percent: int, owner: str) -> DataFrame:
+    """Pairs whose whole sets reach the threshold: a, b, shared."""
+    label = components(pairs, owner)
+    who = classes.select("c", "least", "n").join(label.withColumnRenamed("v", "c"), "c")
+    size = who.groupBy("label").agg(F.sum("n").alias("tokens")).filter(F.col("tokens") > BLOCK_TOKENS).select("label", F.lit(True).alias("big"))
+    who = table(who.join(size, "label", "left").select("c", "least", "label", F.coalesce("big", F.lit(False)).alias("big")), "jaccard-who", owner)
+    got = _sets(who, texts, ngram, owner)
 
     def together(mine: pa.Table, there: pa.Table) -> pa.Table:
         tokens = dict(zip(there.column("c").to_pylist(), there.column("tokens").to_pylist(), strict=True))
@@ -362,18 +372,84 @@ def _verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame, ngram: int
     return near.unionByName(full.select("a", "b", "x", "y").mapInArrow(lean(apiece), _LINKS))
 
 
-def join(docs: DataFrame, ngram: int = 3, percent: int = 90, owner: str = "query") -> tuple[DataFrame, DataFrame, DataFrame]:
+def _linked(n: np.ndarray, tokens: np.ndarray, first: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Linked pairs of sets: places x and y, shared tokens. ``n`` (ascending): sizes; ``tokens``: the sets one after another,
+    distinct in a set; ``first``: the block of each. Of one block all pairs, of two those across."""
+    number = np.unique(tokens, return_inverse=True)[1]
+    starts = np.cumsum(n) - n
+    one = (first == first[0]).all()
+    mark = np.zeros(len(number), bool)
+    here = first == first.min()
+    there = np.arange(len(n)) if one else np.flatnonzero(~here)
+    text = number if one else number[np.repeat(~here, n)]
+    size = n[there]
+    begin = np.cumsum(size) - size
+    for x in np.flatnonzero(here):
+        lo = x + 1 if one else int(np.searchsorted(size, -(-percent * n[x] // 100)))
+        hi = int(np.searchsorted(size, n[x] * 100 // percent, side="right"))
+        if lo >= hi:
+            continue
+        own = number[starts[x] : starts[x] + n[x]]
+        mark[own] = True
+        shared = np.add.reduceat(mark[text[begin[lo] : begin[hi - 1] + size[hi - 1]]], begin[lo:hi] - begin[lo], dtype=np.int64)
+        mark[own] = False
+        ok = np.flatnonzero(100 * shared >= percent * (n[x] + size[lo:hi] - shared))
+        yield np.full(len(ok), x), there[lo + ok], shared[ok]
+
+
+def _all_links(links: DataFrame, classes: DataFrame, texts: DataFrame, ngram: int, percent: int, owner: str) -> DataFrame:
+    """All links, from ``links`` that connect each class with all it is linked with."""
+    label = components(links.select("a", "b"), owner)
+    sized = label.withColumnRenamed("v", "c").join(classes.select("c", "least", "n"), "c")
+    many = sized.groupBy("label").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("tokens")).filter("k > 2")
+    many = table(many.select("label", F.greatest(F.ceil(F.col("k") / LINK_ROWS), F.ceil(F.col("tokens") / LINK_TOKENS)).cast("int").alias("blocks")), "jaccard-many", owner)
+    if many.isEmpty():
+        return links
+    who = table(sized.join(many, "label").select("c", "least", "label", F.lit(False).alias("big")), "jaccard-who", owner)
+    sets = _sets(who, texts, ngram, owner).dropDuplicates(["c"]).join(many, "label")
+    dealt = sets.withColumn("block", F.pmod(F.xxhash64("c"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("label", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "c", "tokens")
+
+    def among(t: pa.Table) -> pa.Table:
+        i, j = t.column("i")[0].as_py(), t.column("j")[0].as_py()
+        c, block, raw = t.column("c").to_numpy(), t.column("block").to_numpy(), t.column("tokens").to_pylist()
+        n = np.array([len(x) // 8 for x in raw])
+        order = np.lexsort((c, n))
+        a, b, shared = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        if len(np.unique(block)) == (1 if i == j else 2):
+            c = c[order]
+            for x, y, k in _linked(n[order], np.frombuffer(b"".join([raw[o] for o in order]), np.uint64), block[order], percent):
+                a.append(np.minimum(c[x], c[y]))
+                b.append(np.maximum(c[x], c[y]))
+                shared.append(k)
+        return pa.table({"a": np.concatenate(a), "b": np.concatenate(b), "shared": np.concatenate(shared)})
+
+    within = dealt.groupBy("label", "i", "j").applyInArrow(among, _LINKS)
+    pairs = links.join(label.join(many, "label", "left_anti").select(F.col("v").alias("a")), "a", "left_semi").select("a", "b", "shared")
+    return table(pairs.unionByName(within), "jaccard-links", owner)
+
+
+def join(docs: DataFrame, ngram: int = 3, percent: int = 90, owner: str = "query", every: bool = True) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Self-join of ``docs`` (doc_id, text). Returns (profiles, classes, links).
 
-    profiles: doc_id, n, h1 for each row. classes: c (the h1 of its rows), n, least (its least doc_id). links: a, b, shared:
-    linked pairs of classes, enough of them to connect every class with all it is linked with."""
+    profiles: doc_id, n, h1 for each row. classes: c (the h1 of its rows), n, docs (how many rows), least (its least doc_id).
+    links: a, b, shared: all linked pairs of classes, a < b; without ``every`` only enough of them to connect every class
+    with all it is linked with, for users who ask for components alone."""
+    profiles, classes, links = _connect(docs, ngram, percent, owner)
+    if every:
+        links = _all_links(links, classes, docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), ngram, percent, owner)
+    return profiles, classes, links
+
+
+def _connect(docs: DataFrame, ngram: int, percent: int, owner: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What ``join`` returns, with enough links to connect every class with all it is linked with."""
     spark: SparkSession = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     counts = _sketch(texts.select("text"), ngram)
     load = float(counts.mean())
     profiles = table(_profiles(texts, counts > load + 8 * load**0.5 + 24, ngram, percent), "jaccard-profiles", owner)
     least = F.min(F.coalesce("doc_id", F.lit(_NONE))).alias("least")
-    few = profiles.filter("n > 0").groupBy(F.col("h1").alias("c")).agg(least, F.first("n").alias("n"), F.first("rare").alias("rare"), F.first("prefix").alias("prefix"), F.first("bits").alias("bits"), F.first("wide").alias("wide"))
+    few = profiles.filter("n > 0").groupBy(F.col("h1").alias("c")).agg(least, F.count(F.lit(1)).alias("docs"), F.first("n").alias("n"), F.first("rare").alias("rare"), F.first("prefix").alias("prefix"), F.first("bits").alias("bits"), F.first("wide").alias("wide"))
     classes = table(few, "jaccard-classes", owner)
     big = classes.filter(F.col("n") >= _least_size(percent))
     parts = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
@@ -395,13 +471,19 @@ def join(docs: DataFrame, ngram: int = 3, percent: int = 90, owner: str = "query
     return profiles, classes, table(first.unionByName(second), "jaccard-links", owner)
 
 
-def near_duplicates(docs: DataFrame, ngram: int = 3, percent: int = 90, owner: str = "query") -> DataFrame:
-    """Each row of ``docs``: doc_id, n_shingles, component_id (the least doc_id it can reach by links), set_hash."""
-    profiles, classes, links = join(docs, ngram, percent, owner)
+def near_duplicates(docs: DataFrame, ngram: int = 3, percent: int = 90, owner: str = "query", every: bool = True) -> DataFrame:
+    """Each row of ``docs``: doc_id, n_shingles, component_id (the least doc_id it can reach by links), set_hash and, with
+    ``every``, n_links (how many other rows it is linked with, equal sets included)."""
+    profiles, classes, links = join(docs, ngram, percent, owner, every)
     label = components(links.select("a", "b"), owner)
-    rooted = classes.select("c", "least").join(label.withColumnRenamed("v", "c"), "c", "left").withColumn("root", F.coalesce("label", "c"))
+    rooted = classes.select("c", "least", "docs").join(label.withColumnRenamed("v", "c"), "c", "left").withColumn("root", F.coalesce("label", "c"))
     low = rooted.groupBy("root").agg(F.min("least").alias("component"))
-    of = rooted.join(low, "root").select(F.col("c").alias("h1"), "component")
+    of = rooted.join(low, "root").select(F.col("c").alias("h1"), "component", "docs")
+    if every:
+        ends = links.select(F.col("a").alias("h1"), F.col("b").alias("c")).unionByName(links.select(F.col("b").alias("h1"), F.col("a").alias("c")))
+        others = ends.join(classes.select("c", "docs"), "c").groupBy("h1").agg(F.sum("docs").alias("others"))
+        of = of.join(others, "h1", "left").withColumn("n_links", F.col("docs") - 1 + F.coalesce("others", F.lit(0)))
     out = profiles.select("doc_id", "n", "h1").join(of, "h1", "left")
     component = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.nullif("component", F.lit(_NONE)))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("h1").alias("set_hash"))
+    count = [F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")] if every else []
+    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("h1").alias("set_hash"), *count)
