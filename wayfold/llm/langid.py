@@ -4,7 +4,12 @@ A text is the vector of its byte n-grams (1 to 3 bytes, hashed into ``DIMS`` pla
 log(1 + tf) * idf and normalised. Each language has several centroids, found by spherical k-means over a sample of labelled
 rows. The language is that of the centroid of largest cosine where only letters are looked at (other ASCII bytes count as
 blanks). Rejection looks at all bytes: a text is rejected when its cosine with the nearest centroid lies below what texts of
-its length show in training (the far-out fence Q1 - 3 IQR of the sample's cosines, by power of two of the length).
+its length show in training (the far-out fence Q1 - 3 IQR of the sample's cosines, by power of two of the length). Every
+length has a fence. Cosines fall with very long texts, so those longer than the sample shows are judged by the mean cosine of
+equal windows, each as long as a class that the sample fills. Those shorter than it shows are judged by beginnings of sample
+texts cut to their length, and a gap between filled classes by the lower fence of its neighbours. A sample of less than
+``FEW`` rows has no quartiles to trust: its fences are half the lower quartile of cosines with the nearest other row
+(an eighth of that with its own beginning where it is alone).
 
 Fitting reads at most about ``sample_rows`` labelled rows (spread evenly over languages, chosen by a hash of the id); that is
 the only bound, prediction reads every whole text. Null texts and texts without a letter are ``und`` with score 0 and count
@@ -28,6 +33,8 @@ from wayfold.llm.common import LOWER, column_bytes, lean
 DIMS = 4096
 SAMPLE_ROWS = 4000
 CLUSTERS = 3
+FEW = 30
+HEAD = 2048  # bytes kept of the beginning of each sample text
 _STEP = 1 << 20
 _MUL = (np.uint32(2654435761), np.uint32(2246822519), np.uint32(3266489917))
 
@@ -74,14 +81,23 @@ class Model:
     letters: Centroids | None = None
     whole: Centroids | None = None
     fences: np.ndarray | None = None  # by log2 of the text's length
+    longest: int = 0  # log2 of the length from which texts go in windows
+    judge: int = 0  # log2 of the length of these windows
 
     def predict(self, text: np.ndarray) -> tuple[str, float, bool]:
         if not self.languages:
             return "und", 0.0, True
         cosines = self.letters.cosines(counts(text, LETTERS))
         best = int(np.argmax(cosines))
-        near = float(self.whole.cosines(counts(text)).max())
-        return self.languages[self.letters.of[best]], float(min(1.0, max(0.0, cosines[best]))), near < self.fences[min(len(self.fences) - 1, len(text).bit_length())]
+        return self.languages[self.letters.of[best]], float(min(1.0, max(0.0, cosines[best]))), self.far(text)
+
+    def far(self, text: np.ndarray) -> bool:
+        n = len(text)
+        if n.bit_length() <= self.longest:
+            return float(self.whole.cosines(counts(text)).max()) < self.fences[n.bit_length()]
+        parts = -(-n // ((1 << self.judge) - 1))
+        near = [float(self.whole.cosines(counts(text[n * k // parts : n * (k + 1) // parts])).max()) for k in range(parts)]
+        return sum(near) / parts < self.fences[self.judge]
 
 
 def _kmeans(x: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
@@ -110,23 +126,24 @@ def fit(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, clusters: int = CLUSTER
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offs = column_bytes(batch.column("text"))
-            out: list[list[bytes]] = [[], [], [], []]
+            out: list[list[bytes]] = [[], [], [], [], []]
             for a, b in zip(offs[:-1], offs[1:], strict=True):
                 for k, kind in ((0, LETTERS), (2, LOWER)):
                     c = counts(data[a:b], kind)
                     at = np.flatnonzero(c)
                     out[k].append(at.astype("<u2").tobytes())
                     out[k + 1].append(np.log1p(c[at]).astype("<f4").tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column("lang"), pa.array(np.diff(offs)), *[pa.array(x, pa.binary()) for x in out]], names=["lang", "n", "i0", "v0", "i1", "v1"])
+                out[4].append(data[a : min(b, a + HEAD)].tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column("lang"), pa.array(np.diff(offs)), *[pa.array(x, pa.binary()) for x in out]], names=["lang", "n", "i0", "v0", "i1", "v1", "head"])
 
-    rows = sorted(sample.mapInArrow(lean(vectors), "lang string, n long, i0 binary, v0 binary, i1 binary, v1 binary").collect(), key=lambda r: (r["lang"], bytes(r["i0"]), bytes(r["v0"]), bytes(r["i1"]), bytes(r["v1"])))
+    rows = sorted(sample.mapInArrow(lean(vectors), "lang string, n long, i0 binary, v0 binary, i1 binary, v1 binary, head binary").collect(), key=lambda r: (r["lang"], bytes(r["i0"]), bytes(r["v0"]), bytes(r["i1"]), bytes(r["v1"])))
     if not rows:
         return Model([])
     languages = sorted({r["lang"] for r in rows})
     own = np.array([languages.index(r["lang"]) for r in rows], dtype=int)
     size = np.array([int(r["n"]).bit_length() for r in rows])
 
-    def learn(kind: int) -> tuple[Centroids, np.ndarray]:
+    def learn(kind: int) -> tuple[Centroids, np.ndarray]:  # and the rows' vectors
         x = np.zeros((len(rows), DIMS), np.float32)
         for i, r in enumerate(rows):
             x[i, np.frombuffer(r[f"i{kind}"], "<u2")] = np.frombuffer(r[f"v{kind}"], "<f4")
@@ -136,17 +153,46 @@ def fit(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, clusters: int = CLUSTER
         rng = np.random.default_rng(seed)
         found = [_kmeans(x[own == j], clusters, rng) for j in range(len(languages))]
         got = Centroids(idf, np.concatenate(found), np.repeat(np.arange(len(languages)), [len(c) for c in found]))
-        return got, (x @ got.rows.T).max(axis=1)
-
-    letters, _ = learn(0)
-    whole, best = learn(1)
-    fences = np.zeros(33)
+        return got, x
+
+    letters = learn(0)[0]
+    whole, x = learn(1)
+    few = len(rows) < FEW
+
+    def nearest(vectors: np.ndarray, row: np.ndarray) -> np.ndarray:
+        """The largest cosine of each vector, made of a sample row, with a centroid; of few rows, with another row."""
+        if not few:
+            return (vectors @ whole.rows.T).max(axis=1)
+        cosines = vectors @ x.T
+        if len(rows) > 1:
+            cosines[np.arange(len(row)), row] = -1
+        return cosines.max(axis=1)
+
+    def fence(near: np.ndarray) -> float:
+        q1, q3 = np.quantile(near, [0.25, 0.75])
+        return max(0.0, float(q1 - 3 * (q3 - q1) if not few else q1 / 2 if len(rows) > 1 else q1 / 8))
+
+    best = nearest(x, np.arange(len(rows)))
+    fences = np.full(33, np.nan)
     for k in range(33):
-        near = best[size == k] if (size == k).sum() >= 30 else best[np.abs(size - k) <= 2]
-        if len(near) >= 30:
-            q1, q3 = np.quantile(near, [0.25, 0.75])
-            fences[k] = max(0.0, q1 - 3 * (q3 - q1))
-    return Model(languages, letters, whole, fences)
+        near = best[size == k] if (size == k).sum() >= FEW else best[np.abs(size - k) <= 2]
+        if len(near) >= FEW:
+            fences[k] = fence(near)
+    filled = np.flatnonzero(~np.isnan(fences))
+    longest = int(filled[-1] if len(filled) else size.max())
+    judge = max((k for k in range(longest + 1) if (size == k).sum() >= FEW), default=longest)
+    for k in range(1, int(filled[0]) if len(filled) else longest + 1):
+        length = max(1, (3 << k) >> 2)
+        able = np.array([i for i, r in enumerate(rows) if len(r["head"]) >= length], dtype=int)
+        if len(able) >= min(FEW, len(rows) // 2 + 1):
+            v = np.stack([np.log1p(counts(np.frombuffer(rows[i]["head"][:length], np.uint8))).astype(np.float32) for i in able]) * whole.idf
+            fences[k] = fence(nearest(v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12), able))
+    if np.isnan(fences[longest]):  # no class is filled
+        fences[longest] = fence(best[size >= longest - 2])
+    filled = np.flatnonzero(~np.isnan(fences))
+    for k in np.flatnonzero(np.isnan(fences)):
+        fences[k] = min(fences[j] for j in (*filled[filled < k][-1:], *filled[filled > k][:1]))
+    return Model(languages, letters, whole, fences, longest, judge)
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
