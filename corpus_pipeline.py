@@ -4,7 +4,8 @@ language ID: rows whose text is rejected (null, without a letter, or far from ev
 line dedup: later copies of runs of three lines or more go; a document of which no line is left goes.
 near duplicates: word 5-grams, Jaccard 0.8 or more; of each group of linked documents that of the least doc_id stays.
 mixing: sources by weight, block by block; a document appears once for each time it is taken.
-packing: pieces of documents in bins of 2048 words, none with two copies of a text.
+packing: pieces of documents in bins of 2048 words, none with two rests of a document (however the mix cut its repeats; rows
+without a doc_id count as one document here) or of equal texts.
 """
 
 from __future__ import annotations
@@ -43,7 +44,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(docs, owner="pipeline-5").drop("row_no")
+    return packing.pack_documents(docs, owner="pipeline-5", cluster="doc_id").drop("row_no")
 
 
 STAGES = [("language_id", language_id), ("line_dedup", line_dedup), ("near_duplicates", near_duplicates), ("mixing", mix), ("packing", pack)]
