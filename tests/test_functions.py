@@ -145,3 +145,31 @@ def test_kernel_edges():
     got = tracks.cluster(np.array([0, 1, 2]), np.array([23.0, 24.0, 23.0]), np.array([113.0, 113.0, 113.0001]), 50)
     assert len(got) == 2 and got[0][:2] == pytest.approx((24, 113)) and got[1][2] == 0
 
+
+
+def test_diameter_kernel():
+    """The hull path and the plain path against all pairs."""
+    import numpy as np
+
+    from wayfold.functions import tracks
+
+    rng = np.random.default_rng(2)
+    for n, centre, spread in ((1, 20, 1), (2, 20, 1), (300, 23, 0.01), (2000, -40, 3.0), (1500, 0, 80.0), (500, 89, 0.5)):
+        lat, lng = np.clip(centre + spread * rng.uniform(-1, 1, n), -90, 90), rng.uniform(-1, 1, n) * min(180, spread * 2) + 100
+        lat, lng = np.r_[lat, lat[:5]], np.r_[lng, lng[:5]]
+        want = tracks.distance(lat[:, None], lng[:, None], lat[None], lng[None]).max()
+        assert abs(tracks.diameter(lat, lng) - want) <= 1e-6 * max(1.0, want)
+        d = tracks.distance(lat[:, None], lng[:, None], lat[None], lng[None])[np.triu_indices(len(lat), 1)]
+        mean, variance = tracks.pair_moments(lat, lng)
+        assert mean == (0.0 if len(d) == 0 else pytest.approx(d.mean())) and variance == (0.0 if len(d) == 0 else pytest.approx(d.var(), rel=1e-6, abs=1e-3))
+
+
+def test_walks_are_inverse():
+    from wayfold.functions import cells
+
+    side = 1 << cells.CHUNK
+    for o in range(4):
+        for i in range(side):
+            for j in range(side):
+                t = cells._THERE[(o * side + i) * side + j]
+                assert cells._BACK[o * side * side + (t >> 2)] == i << 32 | j << 2 | t & 3

@@ -44,21 +44,56 @@ def ij(s: Column) -> Column:
     return F.greatest(F.lit(0), F.least(F.lit((1 << 30) - 1), F.floor(s * (1 << 30)))).cast("long")
 
 
+CHUNK = 3  # bits of i and j that one look-up follows
+
+
+def _walks() -> tuple[list[int], list[int]]:
+    """By rule from the tables above: for each orientation and ``CHUNK`` bits of i and of j their place on the curve and the
+    orientation after it (place << 2 | orientation); and back (i << 32 | j << 2 | orientation)."""
+    side = 1 << CHUNK
+    there, back = [0] * (4 * side * side), [0] * (4 * side * side)
+    for start in range(4):
+        for i in range(side):
+            for j in range(side):
+                o, place = start, 0
+                for k in range(CHUNK - 1, -1, -1):
+                    at = POSITION[o][2 * (i >> k & 1) + (j >> k & 1)]
+                    place, o = place * 4 + at, o ^ TURN[at]
+                there[(start * side + i) * side + j] = place << 2 | o
+                back[start * side * side + place] = i << 32 | j << 2 | o
+    return there, back
+
+
+_THERE, _BACK = _walks()
+
+
+def _bound(value: Column, body) -> Column:
+    """``body`` of ``value``, which is evaluated once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _long(n: int) -> Column:
+    return F.lit(n).cast("long")
+
+
 def hilbert(face: Column, i: Column, j: Column, level: int = MAX_LEVEL) -> Column:
-    """Id of the cell of ``level`` at (face, i, j): one fold along the bits, from the top."""
-    table = F.array(*[F.lit(p) for row in POSITION for p in row])
-    turn = F.array(*[F.lit(t) for t in TURN])
+    """Id of the cell of ``level`` at (face, i, j): one look-up for each ``CHUNK`` bits, from the top."""
+    table = F.array(*[F.lit(t) for t in _THERE])
+    steps, side = -(-level // CHUNK), (1 << CHUNK) - 1
 
-    state = F.struct(face.cast("long").alias("id"), bits(face, 1).cast("int").alias("o"), i.alias("i"), j.alias("j"))
+    def walk(at: Column) -> Column:
+        def step(state: Column, k: Column) -> Column:  # place on the curve << 2 | orientation
+            bit = lambda c: F.call_function("shiftright", c, k).bitwiseAND(_long(side))
+            place = state.bitwiseAND(_long(3)) * (1 << 2 * CHUNK) + bit(at["i"]) * (1 << CHUNK) + bit(at["j"])
+            return F.shiftleft(state.bitwiseAND(_long(-4)), 2 * CHUNK).bitwiseOR(F.get(table, place.cast("int")).cast("long"))
 
-    def fold(acc: Column, k: Column) -> Column:
-        bit = lambda c: F.call_function("shiftright", c, k).bitwiseAND(F.lit(1).cast("long"))
-        q = (2 * bit(acc["i"]) + bit(acc["j"])).cast("int")
-        pos = F.get(table, acc["o"] * 4 + q)
-        return F.struct((acc["id"] * 4 + pos).alias("id"), acc["o"].bitwiseXOR(F.get(turn, pos)).alias("o"), acc["i"].alias("i"), acc["j"].alias("j"))
+        start = at["face"].bitwiseAND(_long(1))
+        end = F.aggregate(F.sequence(F.lit(MAX_LEVEL - CHUNK), F.lit(MAX_LEVEL - CHUNK * steps), F.lit(-CHUNK)), start, step) if steps else start
+        place = F.shiftright(end, 2 + 2 * (CHUNK * steps - level))
+        marked = F.shiftleft(F.shiftleft(place, 1).bitwiseOR(_long(1)), 2 * (MAX_LEVEL - level))
+        return F.shiftleft(at["face"], 61).bitwiseOR(marked)
 
-    top = F.aggregate(F.sequence(F.lit(29), F.lit(30 - level), F.lit(-1)), state, fold)["id"] if level else face.cast("long")
-    return F.shiftleft(F.shiftleft(top, 1).bitwiseOR(F.lit(1).cast("long")), 2 * (MAX_LEVEL - level))
+    return _bound(F.struct(face.cast("long").alias("face"), i.alias("i"), j.alias("j")), walk)
 
 
 def cell_id(lat: Column, lng: Column, level: int = MAX_LEVEL) -> Column:
@@ -67,19 +102,28 @@ def cell_id(lat: Column, lng: Column, level: int = MAX_LEVEL) -> Column:
 
 
 def cell_center(cell: Column) -> Column:
-    """struct<lat, lng>: the centre of a cell, by the inverse fold."""
+    """struct<lat, lng>: the centre of a cell, by the inverse look-ups."""
+    return _bound(cell, _center)
+
+
+def _center(cell: Column) -> Column:
     level = level_of(cell)
-    inverse = F.array(*[F.lit(row.index(p)) for row in POSITION for p in range(4)])
-    turn = F.array(*[F.lit(t) for t in TURN])
+    table, bits_a_step = F.array(*[_long(t) for t in _BACK]), 2 * CHUNK
     face = F.shiftrightunsigned(cell, 61)
-    state = F.struct(F.lit(0).cast("long").alias("i"), F.lit(0).cast("long").alias("j"), bits(face, 1).cast("int").alias("o"))
+    start = face.bitwiseAND(_long(1))  # i << 32 | j << 2 | orientation
+
+    def step(state: Column, k: Column) -> Column:
+        place = F.call_function("shiftrightunsigned", cell, k).bitwiseAND(_long((1 << bits_a_step) - 1))
+        return F.shiftleft(state.bitwiseAND(_long(-4)), CHUNK).bitwiseOR(F.get(table, (state.bitwiseAND(_long(3)) * (1 << bits_a_step) + place).cast("int")))
 
-    def fold(acc: Column, k: Column) -> Column:
-        pos = F.call_function("shiftrightunsigned", cell, 2 * k + 1).bitwiseAND(F.lit(3).cast("long")).cast("int")
-        q = F.get(inverse, acc["o"] * 4 + pos)
-        return F.struct((acc["i"] * 2 + F.shiftright(q, 1)).alias("i"), (acc["j"] * 2 + q.bitwiseAND(F.lit(1))).alias("j"), acc["o"].bitwiseXOR(F.get(turn, pos)).alias("o"))
+    steps = F.ceil(level / CHUNK).cast("int")
+    end = F.when(level > 0, F.aggregate(F.sequence(F.lit(61 - bits_a_step), 61 - bits_a_step * F.greatest(steps, F.lit(1)), F.lit(-bits_a_step)), start, step)).otherwise(start)
+    over = CHUNK * steps - level  # bits of the last step below the level
+    down = lambda c: F.call_function("shiftright", c, over.cast("int"))
+    return _bound(F.struct(down(F.shiftright(end, 32)).alias("i"), down(F.shiftright(end, 2).bitwiseAND(_long((1 << 30) - 1))).alias("j")), lambda at: _lat_lng(face, level, at))
 
-    at = F.when(level > 0, F.aggregate(F.sequence(F.lit(29), F.greatest(30 - level, F.lit(0)), F.lit(-1)), state, fold)).otherwise(state)
+
+def _lat_lng(face: Column, level: Column, at: Column) -> Column:
     size = F.pow(F.lit(2.0), level)
     uv = lambda s: F.when(s >= 0.5, (4 * s * s - 1) / 3).otherwise((1 - 4 * (1 - s) * (1 - s)) / 3)
     # leaf centres lie between the half steps of the finest grid
@@ -149,6 +193,45 @@ def children(cell: Column) -> Column:
     return F.array(*[child(cell, k) for k in range(4)])
 
 
+def children_at_level(cell: Column, level: int) -> Column:
+    """Array of the descendants at ``level``, along the curve; of a cell that is finer than that, null."""
+    count = F.call_function("shiftleft", _long(1), 2 * (F.lit(level) - level_of(cell)))
+    first = parent(range_min(cell), level)
+    made = F.transform(F.sequence(_long(0), count - 1), lambda k: first + k * _long(2 << 2 * (MAX_LEVEL - level)))
+    return F.when(level_of(cell) <= level, made)
+
+
+def _along(cell: Column, move) -> Column:
+    """The cell of the same level whose place among all of them along the curve is ``move(place, their number)``."""
+    rest = (2 * (F.lit(MAX_LEVEL) - level_of(cell))).cast("int")
+    place = F.call_function("shiftrightunsigned", cell, rest + 1)
+    many = 6 * F.call_function("shiftleft", _long(1), (2 * level_of(cell)).cast("int"))
+    return F.call_function("shiftleft", 2 * move(place, many) + 1, rest)
+
+
+def advance(cell: Column, steps: Column | int) -> Column:
+    """``steps`` cells further along the curve (back, if negative), no further than the first cell or one past the last."""
+    n = F.lit(steps).cast("long") if isinstance(steps, int) else steps.cast("long")
+    return _along(cell, lambda place, many: F.greatest(_long(0), F.least(many, place + n)))
+
+
+def advance_wrap(cell: Column, steps: Column | int) -> Column:
+    """``steps`` cells along the curve, going on at its other end."""
+    n = F.lit(steps).cast("long") if isinstance(steps, int) else steps.cast("long")
+    return _along(cell, lambda place, many: F.pmod(place + n, many))
+
+
+# Fixed values of the quadratic projection: sizes of a level-0 cell on the unit sphere, and how many dimensions they have.
+METRICS = {"min_width": (2 * 2**0.5 / 3, 1), "avg_width": (1.434523672886099389, 1), "avg_edge": (1.459213746386106062, 1), "avg_diag": (2.060422738998471683, 1), "avg_area": (4 * 3.141592653589793 / 6, 2)}
+
+
+def closest_level(value: Column, metric: str = "avg_edge") -> Column:
+    """Level whose cells come nearest to ``value`` (radians, or steradians for areas), by ratio."""
+    size, dimensions = METRICS[metric]
+    level = F.round(F.log2(F.lit(size) / value) / dimensions).cast("int")
+    return F.when(value > 0, F.greatest(F.lit(0), F.least(F.lit(MAX_LEVEL), level))).otherwise(MAX_LEVEL)
+
+
 def next_cell(cell: Column) -> Column:
     return cell + F.shiftleft(lowest_bit(cell), 1)
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,10 +20,14 @@ def family(hashes: int, seed: int = 7) -> list[tuple[int, int]]:
 
 def dense_codes(vectors: DataFrame, key: str) -> DataFrame:
     """``vectors`` (key, id, codes) with the codes of each key numbered from 0 in their order, and p, the least prime above
-    the number of codes. Numbering runs inside a key, so keys are numbered in parallel."""
-    each = vectors.select(key, F.explode(F.array_distinct("codes")).alias("code")).distinct()
-    numbered = each.withColumn("x", F.row_number().over(Window.partitionBy(key).orderBy("code")) - 1)
-    count = numbered.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+    the number of codes. Numbering runs inside a slot of a key, and the slots' sizes say where each begins, so a day is not
+    one task's work."""
+    each = vectors.select(key, F.explode(F.array_distinct("codes")).alias("code")).distinct().withColumn("slot", F.shiftright("code", 45))
+    sizes = each.groupBy(key, "slot").agg(F.count(F.lit(1)).alias("n"))
+    begins = sizes.select(key, "slot", (F.sum("n").over(Window.partitionBy(key).orderBy("slot")) - F.col("n")).alias("begin"))
+    inside = each.withColumn("rn", F.row_number().over(Window.partitionBy(key, "slot").orderBy("code")) - 1)
+    numbered = inside.join(begins, [key, "slot"]).select(key, "code", (F.col("begin") + F.col("rn")).alias("x"))
+    count = sizes.groupBy(key).agg(F.sum("n").alias("n"))
     divides = lambda x: F.exists(F.sequence(F.lit(2), F.greatest(F.lit(2), F.floor(F.sqrt(x)).cast("int"))), lambda d: (x % d == 0) & (d < x))
     ahead = F.sequence((F.col("n") + 1).cast("int"), (F.col("n") + 500).cast("int"))  # no gap between primes of 32 bits is wider
     count = count.withColumn("p", F.array_min(F.filter(ahead, lambda x: (x >= 2) & ~divides(x))))
@@ -30,11 +36,21 @@ def dense_codes(vectors: DataFrame, key: str) -> DataFrame:
 
 
 def signatures(dense: DataFrame, hashes: int, seed: int = 7) -> DataFrame:
-    """Column sig: the least hash of each function over the ids xs. Native: no function leaves the JVM."""
-    functions = F.array(*[F.struct(F.lit(a).cast("long").alias("a"), F.lit(b).cast("long").alias("b")) for a, b in family(hashes, seed)])
-    p = F.col("p").cast("long")
-    least = F.transform(functions, lambda f: F.array_min(F.transform("xs", lambda x: ((F.pmod(f["a"], p - 1) + 1) * x + F.pmod(f["b"], p)) % p)))
-    return dense.withColumn("sig", least)
+    """Column sig: the least hash of each function over the ids xs, all functions of a set at once (Arrow batches: the native
+    fold of hashes x ids lambdas is interpreted)."""
+    a, b = (np.array(v, dtype=np.int64) for v in zip(*family(hashes, seed), strict=True))
+
+    def least(xs: pd.Series, p: pd.Series) -> pd.Series:
+        def one(x: np.ndarray, q: int) -> np.ndarray:
+            out = np.full(hashes, np.iinfo(np.int64).max)
+            first, add = (a % (q - 1) + 1)[:, None], (b % q)[:, None]
+            for lo in range(0, len(x), 4096):  # q < 2**31, so products fit
+                out = np.minimum(out, ((first * x[None, lo : lo + 4096] + add) % q).min(axis=1))
+            return out
+
+        return pd.Series([one(np.asarray(x, dtype=np.int64), int(q)) for x, q in zip(xs, p, strict=True)])
+
+    return dense.withColumn("sig", F.pandas_udf(least, "array<long>")("xs", "p"))
 
 
 def buckets(signed: DataFrame, key: str, bands: int, min_size: int = 2) -> DataFrame:

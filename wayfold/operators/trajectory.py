@@ -32,50 +32,50 @@ def purify(points: DataFrame, speed: float = tracks.SPEED, reach: float = tracks
     return points.select(*_FIXES).groupBy(*KEY).applyInPandas(lambda p: _purified(p, speed, reach)[_FIXES], _FIX)
 
 
-def two_sigma(points: DataFrame, span: int, k: float = 2.0) -> DataFrame:
-    """Fixes of each slot of ``span`` seconds that lie with the others."""
+def _calm(pdf: pd.DataFrame, span: int, k: float) -> pd.DataFrame:
+    """Fixes of a device-day that lie with the others of their slot, with the slot."""
+    slot = (pdf["capturetime"].to_numpy() - int(pd.Timestamp(pdf["day"].iloc[0]).timestamp())) // span
+    order = np.argsort(slot, kind="stable")
+    lat, lng, keep = pdf["latitude"].to_numpy()[order], pdf["longitude"].to_numpy()[order], np.ones(len(pdf), bool)
+    slot = slot[order]
+    cut = np.flatnonzero(np.r_[True, slot[1:] != slot[:-1]])
+    for a, b in zip(cut, np.r_[cut[1:], len(slot)], strict=True):
+        if b - a > 1:
+            keep[a:b] = tracks.calm(lat[a:b], lng[a:b], k)
+    return pdf[_FIXES].iloc[order].assign(slot=slot.astype(np.int32))[keep]
 
-    def keep(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pdf[tracks.calm(pdf["latitude"].to_numpy(), pdf["longitude"].to_numpy(), k)]
 
-    slotted = points.select(*_FIXES).withColumn("slot", time_slot(F.col("capturetime"), F.col("day"), span))
-    return slotted.groupBy(*KEY, "slot").applyInPandas(keep, f"{_FIX}, slot int")
+def two_sigma(points: DataFrame, span: int, k: float = 2.0) -> DataFrame:
+    """Fixes of each slot of ``span`` seconds that lie with the others; one pass over each device-day."""
+    return points.select(*_FIXES).groupBy(*KEY).applyInPandas(lambda p: _calm(p, span, k), f"{_FIX}, slot int")
 
 
 def clean(points: DataFrame, span: int, k: float = 2.0) -> DataFrame:
     """``two_sigma`` of ``purify``, in one pass over each device-day."""
 
+    return points.select(*_FIXES).groupBy(*KEY).applyInPandas(lambda p: _calm(_purified(p, tracks.SPEED, tracks.REACH), span, k), f"{_FIX}, slot int")
+
+
+def _measured(points: DataFrame, keys: list[str], measure, schema: str, *more: str) -> DataFrame:
+    """``measure(lat, lng, rows)`` of each group, a tuple of what ``schema`` names."""
+    kinds = dict(points.dtypes)
+    names = [x.split()[0] for x in schema.split(", ")]
+
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = _purified(pdf, tracks.SPEED, tracks.REACH)
-        slot = (pdf["capturetime"].to_numpy() - int(pd.Timestamp(pdf["day"].iloc[0]).timestamp())) // span
-        lat, lng, keep = pdf["latitude"].to_numpy(), pdf["longitude"].to_numpy(), np.ones(len(pdf), bool)
-        cut = np.flatnonzero(np.r_[True, slot[1:] != slot[:-1]])
-        for a, b in zip(cut, np.r_[cut[1:], len(slot)], strict=True):
-            if b - a > 1:
-                keep[a:b] = tracks.calm(lat[a:b], lng[a:b], k)
-        return pdf[_FIXES].assign(slot=slot.astype(np.int32))[keep]
+        got = measure(pdf["latitude"].to_numpy(), pdf["longitude"].to_numpy(), pdf)
+        return pdf[keys].iloc[:1].assign(**dict(zip(names, got, strict=True)))
 
-    return points.select(*_FIXES).groupBy(*KEY).applyInPandas(one, f"{_FIX}, slot int")
+    return points.select(*dict.fromkeys([*keys, "latitude", "longitude", *more])).groupBy(*keys).applyInPandas(one, ", ".join([f"{k} {kinds[k]}" for k in keys] + [schema]))
 
 
 def average_distance(points: DataFrame, keys: list[str]) -> DataFrame:
-    """Mean and population variance of the pairwise distances of each group (0 for a single fix): higher-order functions over
-    the group's positions, no self-join."""
-    p = F.collect_list(F.struct(F.col("latitude").alias("a"), F.col("longitude").alias("b")))
-    grouped = points.groupBy(*keys).agg(p.alias("p"))
-    d = F.flatten(F.transform("p", lambda x, i: F.transform(F.slice("p", i + 2, F.size("p")), lambda y: geo.haversine(x["a"], x["b"], y["a"], y["b"]))))
-    grouped = grouped.select(*keys, F.size("p").alias("n"), d.alias("d"))
-    add = lambda c: F.aggregate(c, F.lit(0.0), lambda s, x: s + x)
-    mean = F.when(F.size("d") > 0, add(F.col("d")) / F.size("d")).otherwise(0.0)
-    grouped = grouped.withColumn("mean", mean)
-    return grouped.select(*keys, "n", "mean", F.when(F.size("d") > 0, add(F.transform("d", lambda x: (x - F.col("mean")) * (x - F.col("mean")))) / F.size("d")).otherwise(0.0).alias("variance"))
+    """Mean and population variance of the pairwise distances of each group (0 for a single fix), in blocks of rows."""
+    return _measured(points, keys, lambda lat, lng, _: (len(lat), *tracks.pair_moments(lat, lng)), "n int, mean double, variance double")
 
 
 def diameter(points: DataFrame, keys: list[str] = KEY) -> DataFrame:
-    """Largest pairwise distance of each group, 0 for a single position: a fold over its distinct positions."""
-    p = F.collect_set(F.struct(F.col("latitude").alias("a"), F.col("longitude").alias("b")))
-    far = F.aggregate("p", F.lit(0.0), lambda s, x: F.greatest(s, F.aggregate("p", F.lit(0.0), lambda t, y: F.greatest(t, geo.haversine(x["a"], x["b"], y["a"], y["b"])))))
-    return points.groupBy(*keys).agg(p.alias("p")).select(*keys, far.alias("diameter"))
+    """Largest pairwise distance of each group, 0 for a single position: of its convex hull's corners."""
+    return _measured(points, keys, lambda lat, lng, _: (tracks.diameter(lat, lng),), "diameter double")
 
 
 def grid_quantised(points: DataFrame, span: int = 120, level: int = 15) -> DataFrame:
@@ -118,11 +118,14 @@ def grid_vectors(points: DataFrame, span: int = 3600, level: int = 14) -> DataFr
 
 
 def moving(points: DataFrame, min_distance: float = 2000.0, min_cells: int = 5, level: int = 16) -> DataFrame:
-    """Device-days (keys only) of more than one fix that span ``min_distance`` metres and ``min_cells`` cells. Native, and put
-    before the Python operators, so device-days that drop out never reach them."""
-    cell = cells.cell_id(F.col("latitude"), F.col("longitude"), level)
-    some = points.groupBy(*KEY).agg(F.count_distinct(cell).alias("cells"), F.count(F.lit(1)).alias("n")).filter((F.col("cells") >= min_cells) & (F.col("n") > 1))
-    return diameter(points.join(some.select(*KEY), KEY, "left_semi")).filter(F.col("diameter") >= min_distance).select(*KEY)
+    """Device-days (keys only) of more than one fix that span ``min_distance`` metres and ``min_cells`` cells: one pass over each
+    device-day, put before the sequential operators, so device-days that drop out never reach them."""
+    placed = points.withColumn("cell", cells.cell_id(F.col("latitude"), F.col("longitude"), level))
+
+    def measure(lat: np.ndarray, lng: np.ndarray, pdf: pd.DataFrame) -> tuple[bool]:
+        return (len(lat) > 1 and pdf["cell"].nunique() >= min_cells and tracks.diameter(lat, lng) >= min_distance,)
+
+    return _measured(placed, KEY, measure, "moves boolean", "cell").filter("moves").select(*KEY)
 
 
 def all_vectors(points: DataFrame, min_distance: float = 2000.0, min_cells: int = 5, span: int = 120, level: int = 16) -> DataFrame:

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from wayfold.functions import cells, geo, scalars
+from wayfold.functions import cells, geo, rects, scalars
 from wayfold.operators import cluster, filters, graphs, lsh, patterns, spatial, trajectory
 from wayfold.sources.tracks import points
 
@@ -179,19 +179,12 @@ def pairwise_distance(spark, d):
     return trajectory.average_distance(points(spark, d), ["device_id", "day"]).select("device_id", "day", "n", F.round("mean", 4).alias("mean"), F.round("variance", 2).alias("variance"))
 
 
-@query(_with(_POINTS, f"d AS (SELECT a.device_id, a.day, a.event_id, a.event_id < b.event_id AS half, {_hav('a.latitude', 'a.longitude', 'b.latitude', 'b.longitude')} AS h FROM p a JOIN p b ON a.device_id = b.device_id AND a.day = b.day)",
-             "m AS (SELECT device_id, day, avg(h) FILTER (WHERE half) AS mean, var_pop(h) FILTER (WHERE half) AS v FROM d GROUP BY ALL)", "e AS (SELECT device_id, day, event_id, avg(h) AS own FROM d GROUP BY ALL)",
-             select="SELECT event_id FROM e JOIN m USING (device_id, day) WHERE own <= 50 OR v IS NULL OR v <= 20 OR abs(own - mean) <= 2.0 * sqrt(v)"))
+@query(_with(_POINTS, f"t AS (SELECT *, ((capturetime - epoch(day)::BIGINT) // {4 * SPAN})::INT AS slot FROM p)",
+             f"d AS (SELECT a.device_id, a.day, a.slot, a.event_id, a.event_id < b.event_id AS half, {_hav('a.latitude', 'a.longitude', 'b.latitude', 'b.longitude')} AS h FROM t a JOIN t b ON a.device_id = b.device_id AND a.day = b.day AND a.slot = b.slot)",
+             "m AS (SELECT device_id, day, slot, avg(h) FILTER (WHERE half) AS mean, var_pop(h) FILTER (WHERE half) AS v FROM d GROUP BY ALL)", "e AS (SELECT device_id, day, slot, event_id, avg(h) AS own FROM d GROUP BY ALL)",
+             select="SELECT t.device_id, t.day, t.slot, capturetime FROM e JOIN m USING (device_id, day, slot) JOIN t USING (event_id) WHERE own <= 50 OR v IS NULL OR v <= 20 OR abs(own - mean) <= 2.0 * sqrt(v)"), dates=("day",))
 def two_sigma_filter(spark, d):
-    p = points(spark, d).select("device_id", "day", F.struct(F.col("latitude").alias("a"), F.col("longitude").alias("b"), "event_id").alias("s"))
-    g = p.groupBy("device_id", "day").agg(F.collect_list("s").alias("p"))
-    add = lambda c: F.aggregate(c, F.lit(0.0), lambda s, x: s + x)
-    far = lambda x, y: geo.haversine(x["a"], x["b"], y["a"], y["b"])
-    g = g.withColumn("own", F.transform("p", lambda x: add(F.transform("p", lambda y: far(x, y))) / F.size("p")))
-    g = g.withColumn("q", F.flatten(F.transform("p", lambda x, i: F.transform(F.slice("p", i + 2, F.size("p")), lambda y: far(x, y)))))
-    g = g.withColumn("mean", F.when(F.size("q") > 0, add(F.col("q")) / F.size("q")).otherwise(0.0)).withColumn("v", F.when(F.size("q") > 0, add(F.transform("q", lambda x: (x - F.col("mean")) * (x - F.col("mean")))) / F.size("q")).otherwise(0.0))
-    each = g.select("mean", "v", F.explode(F.arrays_zip("p", "own")).alias("e")).select(F.col("e.p.event_id").alias("event_id"), F.col("e.own").alias("own"), "mean", "v")
-    return each.filter("own <= 50 or v <= 20 or abs(own - mean) <= 2.0 * sqrt(v)").select("event_id")
+    return trajectory.two_sigma(points(spark, d), 4 * SPAN).select("device_id", "day", "slot", "capturetime")
 
 
 @query(_with(_POINTS, select="SELECT device_id, day, round(min(latitude), 6) AS lat_lo, round(max(latitude), 6) AS lat_hi, round(min(longitude), 6) AS lng_lo, round(max(longitude), 6) AS lng_hi FROM p GROUP BY ALL"), dates=("day",))
@@ -265,7 +258,12 @@ def slot_cells(spark, d):
     return points(spark, d).groupBy("device_id", "day", slot.alias("slot"), cells.cell_id(F.col("latitude"), F.col("longitude"), 15).alias("cell")).agg(F.round(a, 6).alias("lat"), F.min("capturetime").alias("first"))
 
 
-@query()
+_CENTRES = f"""ce AS (SELECT *, ((i >> {30 - LEVEL}) + 0.5) / (1 << {LEVEL}) AS s, ((j >> {30 - LEVEL}) + 0.5) / (1 << {LEVEL}) AS t FROM st),
+cu AS (SELECT *, CASE WHEN s >= 0.5 THEN (4 * s * s - 1) / 3 ELSE (1 - 4 * (1 - s) * (1 - s)) / 3 END AS a, CASE WHEN t >= 0.5 THEN (4 * t * t - 1) / 3 ELSE (1 - 4 * (1 - t) * (1 - t)) / 3 END AS b FROM ce),
+cx AS (SELECT device_id, day, capturetime, CASE face WHEN 0 THEN 1 WHEN 1 THEN -a WHEN 2 THEN -a ELSE -1 END AS cx, CASE face WHEN 0 THEN a WHEN 1 THEN 1 WHEN 2 THEN -b ELSE -b END AS cy, CASE face WHEN 0 THEN b WHEN 1 THEN b WHEN 2 THEN 1 ELSE -a END AS cz FROM cu)"""
+
+
+@query(_with(_POINTS, _cells(LEVEL), _CENTRES, select=f"SELECT DISTINCT device_id, day, capturetime - (capturetime - epoch(day)::BIGINT) % {SPAN} AS capturetime, round(degrees(atan2(cz, sqrt(cx * cx + cy * cy))), 6) AS latitude, round(degrees(atan2(cy, cx)), 6) AS longitude, 2 AS data_type FROM cx", recursive=True), dates=("day",))
 def decode_codes(spark, d):
     v = trajectory.grid_vectors(points(spark, d), SPAN, LEVEL)
     out = trajectory.decode(v, SPAN)
@@ -380,10 +378,16 @@ def group_patterns(spark, d):
     return patterns.group_patterns(points(spark, d), 2000.0, 5, SPAN, LEVEL)
 
 
-@query()
+_PFAMILY = ", ".join(f"({i}, {a}, {b})" for i, (a, b) in enumerate(lsh.family(lsh.PERSONAL[0])))
+_DAY_PAIRS = f"""v AS (SELECT DISTINCT device_id AS day, day::VARCHAR AS id, {_CODE} AS code FROM c), {_DENSE},
+{_SIGNED.replace(_FAMILY, _PFAMILY)}, {_BUCKETS.replace(f"i % {_BANDS} ", f"i % {lsh.PERSONAL[1]} ")}, {_LSH_PAIRS}"""
+
+
+@query(_with(_POINTS, _cells(LEVEL), _DAY_PAIRS, "u AS (SELECT day, a, b FROM lp UNION SELECT day, b, a FROM lp)", "r AS (SELECT day, a, b FROM u UNION SELECT r.day, r.a, u.b FROM r JOIN u ON u.day = r.day AND u.a = r.b)",
+             select="SELECT DISTINCT device_id, members FROM (SELECT day AS device_id, a, string_agg(b, ',' ORDER BY b) AS members FROM r GROUP BY ALL)", recursive=True))
 def date_merge(spark, d):
     v = trajectory.grid_vectors(points(spark, d), SPAN, LEVEL).select("device_id", F.col("day").cast("string").alias("id"), "codes")
-    return patterns.merge_dates(lsh.lsh_pairs(v, "device_id", *lsh.PERSONAL))
+    return patterns.merge_dates(lsh.lsh_pairs(v, "device_id", *lsh.PERSONAL)).select("device_id", F.array_join("members", ",").alias("members"))
 
 
 @query()
@@ -490,9 +494,18 @@ def shortest_path(spark, d):
     return graphs.shortest_paths(graphs.undirected(_edges(spark, d)).distinct().coalesce(1), 0)
 
 
-@query()
+_BEFORE = "(u.weight < r.weight OR u.weight = r.weight AND (least(u.src, u.dst) < r.src OR least(u.src, u.dst) = r.src AND greatest(u.src, u.dst) < r.dst))"
+_FOREST = _with(_EDGES, f"r AS (SELECT src, dst, weight, src AS at FROM e UNION SELECT r.src, r.dst, r.weight, u.dst AS at FROM r JOIN u ON u.src = r.at AND {_BEFORE})", select="SELECT src, dst, weight FROM e WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.src = e.src AND r.dst = e.dst AND r.at = e.dst)", recursive=True)
+
+
+@query(_FOREST)
 def spanning_tree(spark, d):
-    return graphs.spanning_trees(_edges(spark, d).withColumn("graph", F.lit(1)))
+    return graphs.minimum_spanning_forest(_edges(spark, d).coalesce(1))
+
+
+@query(_FOREST)
+def spanning_trees_by_graph(spark, d):
+    return graphs.spanning_trees(_edges(spark, d).withColumn("graph", F.lit(1))).select("src", "dst", "weight")
 
 
 # ---------------------------------------------------------------- spatial joins
@@ -546,3 +559,124 @@ def stream_slots(spark, d):
     from wayfold.streaming.slots import slot_counts
 
     return slot_counts(points(spark, d)).select("device_id", "slot_start", "n", F.round("latitude", 9).alias("latitude"), F.round("longitude", 9).alias("longitude"))
+
+
+@query(_with(_POINTS, select="SELECT device_id, count(*) AS n, true AS few FROM p GROUP BY 1"))
+def covering_holds(spark, d):
+    """Every fix lies in a cell of the covering of its device's box, of 8 cells at most."""
+    laid = covering(spark, d).withColumnRenamed("id", "device_id")
+    leaf = points(spark, d).select("device_id", "event_id", cells.cell_id(F.col("latitude"), F.col("longitude")).alias("leaf"))
+    inside = leaf.join(laid, "device_id").filter(cells.contains(F.col("cell"), F.col("leaf"))).select("device_id", "event_id").distinct()
+    few = laid.groupBy("device_id").agg((F.count(F.lit(1)) <= 8).alias("few"))
+    return inside.groupBy("device_id").agg(F.count(F.lit(1)).alias("n")).join(few, "device_id")
+
+
+# ---------------------------------------------------------------- walking along the curve, points, rectangles
+
+
+@query(_with(_POINTS, _cells(10), "n AS (SELECT DISTINCT cell, cell // (1::BIGINT << 41) AS place FROM c)",
+             select="""SELECT cell, unnest(range(0, 64)) AS k, ((place * 64 + k) * 2 + 1) * (1::BIGINT << 34) AS child13, ((place + 3) * 2 + 1) * (1::BIGINT << 40) AS ahead, ((CASE WHEN place > 100000 THEN place - 100000 ELSE 0 END) * 2 + 1) * (1::BIGINT << 40) AS back,
+  ((CASE WHEN place + 4 * 1048576 >= 6 * 1048576 THEN place - 2 * 1048576 ELSE place + 4 * 1048576 END) * 2::HUGEINT + 1) * (1::HUGEINT << 40) - CASE WHEN (CASE WHEN place + 4 * 1048576 >= 6 * 1048576 THEN place - 2 * 1048576 ELSE place + 4 * 1048576 END) >= 4 * 1048576 THEN (1::HUGEINT << 64) ELSE 0 END AS around FROM n""".replace("AS around", "AS around_"), recursive=True).replace("SELECT cell, unnest", "SELECT * EXCLUDE (around_), around_::BIGINT AS around FROM (SELECT cell, unnest") + ")")
+def cell_walk(spark, d):
+    c = F.col("cell")
+    n = points(spark, d).select(cells.cell_id(F.col("latitude"), F.col("longitude"), 10).alias("cell")).distinct()
+    n = n.select("cell", F.posexplode(cells.children_at_level(c, 13)).alias("k", "child13"), cells.advance(c, 3).alias("ahead"), cells.advance(c, -100_000).alias("back"), cells.advance_wrap(c, 4 << 20).alias("around"))
+    return n.withColumn("k", F.col("k").cast("long"))
+
+
+@query("SELECT o_orderkey, greatest(0, least(30, round(log2(1.459213746386106062 / (1 + o_custkey)) + 20)))::INT AS level FROM orders")
+def closest_level(spark, d):
+    return spark.read.parquet(f"{d}/orders.parquet").select("o_orderkey", cells.closest_level((1 + F.col("o_custkey")) / F.lit(float(1 << 20))).alias("level"))
+
+
+@query("SELECT k, lat BETWEEN -90 AND 90 AND lng BETWEEN -180 AND 180 AS valid, greatest(-90, least(90, lat)) AS lat, CASE WHEN (lng + 7200) % 360 > 180 THEN (lng + 7200) % 360 - 360 ELSE (lng + 7200) % 360 END AS lng FROM (SELECT s_suppkey::BIGINT AS k, (s_suppkey * 7 % 240 - 120)::DOUBLE AS lat, (s_suppkey * 37 % 1000 - 500)::DOUBLE AS lng FROM supplier)")
+def normal_points(spark, d):
+    k = F.col("s_suppkey").cast("long")
+    lat, lng = (k * 7 % 240 - 120).cast("double"), (k * 37 % 1000 - 500).cast("double")
+    at = rects.normalized_point(lat, lng)
+    return spark.read.parquet(f"{d}/supplier.parquet").select(k.alias("k"), rects.is_valid_point(lat, lng).alias("valid"), at["lat"].alias("lat"), at["lng"].alias("lng"))
+
+
+# rectangles a and b and a point of each supplier; in SQL by west side and width
+_RECTS = """r0 AS (SELECT s_suppkey::BIGINT AS k FROM supplier),
+r AS (SELECT k, (k * 7 % 120 - 60)::DOUBLE AS a_lo, (k * 7 % 120 - 60 + k % 20)::DOUBLE AS a_hi, (k * 37 % 360 - 180)::DOUBLE AS a, (k * 13 % 200)::DOUBLE AS wa,
+  (k * 11 % 120 - 60)::DOUBLE AS b_lo, (k * 11 % 120 - 60 + k % 47)::DOUBLE AS b_hi, (k * 53 % 360 - 180)::DOUBLE AS b, (k * 29 % 190)::DOUBLE AS wb, (k * 17 % 170 - 85)::DOUBLE AS lat, (k * 71 % 360 - 180)::DOUBLE AS lng FROM r0),
+o AS (SELECT *, (b - a + 360) % 360 AS ab, (a - b + 360) % 360 AS ba, (lng - a + 360) % 360 AS po FROM r)"""
+
+
+def _turned(x: str) -> str:
+    return f"CASE WHEN {x} > 180 THEN ({x} + 180) % 360 - 180 ELSE {x} END"
+
+
+def _rects(spark, d) -> DataFrame:
+    k = F.col("s_suppkey").cast("long")
+
+    def one(lat, high, west, wide):
+        east = west + wide
+        return rects.rect(lat, lat + high, west.cast("double"), F.when(east > 180, (east + 180) % 360 - 180).otherwise(east))
+
+    a, b = one(k * 7 % 120 - 60, k % 20, k * 37 % 360 - 180, k * 13 % 200), one(k * 11 % 120 - 60, k % 47, k * 53 % 360 - 180, k * 29 % 190)
+    return spark.read.parquet(f"{d}/supplier.parquet").select(k.alias("k"), a.alias("a"), b.alias("b"), (k * 17 % 170 - 85).cast("double").alias("lat"), (k * 71 % 360 - 180).cast("double").alias("lng"))
+
+
+def _sides(r: Column) -> list:
+    return [r[c].alias(c) for c in ("lat_lo", "lat_hi", "lng_lo", "lng_hi")]
+
+
+@query(_with(_RECTS, select="SELECT k, lat BETWEEN a_lo AND a_hi AND po <= wa AS has_point, a_lo <= b_lo AND b_hi <= a_hi AND ab + wb <= wa AS has_rect, a_lo <= b_hi AND b_lo <= a_hi AND (ab <= wa OR ba <= wb) AS meets FROM o"))
+def rect_relations(spark, d):
+    a, b = F.col("a"), F.col("b")
+    return _rects(spark, d).select("k", rects.contains(a, F.col("lat"), F.col("lng")).alias("has_point"), rects.contains_rect(a, b).alias("has_rect"), rects.intersects(a, b).alias("meets"))
+
+
+@query(_with(_RECTS, "w AS (SELECT *, CASE WHEN po <= wa THEN a WHEN 360 - po < po - wa THEN lng ELSE a END AS lo, CASE WHEN po <= wa THEN a + wa WHEN 360 - po < po - wa THEN a + wa ELSE lng END AS hi FROM o)",
+             select=f"SELECT k, least(a_lo, lat) AS lat_lo, greatest(a_hi, lat) AS lat_hi, lo AS lng_lo, {_turned('hi')} AS lng_hi FROM w"))
+def rect_add_point(spark, d):
+    return _rects(spark, d).select("k", rects.add_point(F.col("a"), F.col("lat"), F.col("lng")).alias("r")).select("k", *_sides(F.col("r")))
+
+
+@query(_with(_RECTS, "w AS (SELECT *, ab > 0 AND ab <= wa AND ba <= wb AS round, CASE WHEN ab <= wa THEN true WHEN ba <= wb THEN false ELSE ab - wa <= ba - wb END AS first FROM o)",
+             "z AS (SELECT *, CASE WHEN first THEN a ELSE b END AS lo, CASE WHEN first THEN greatest(wa, ab + wb) ELSE greatest(wb, ba + wa) END AS wide FROM w)",
+             select=f"SELECT k, least(a_lo, b_lo) AS lat_lo, greatest(a_hi, b_hi) AS lat_hi, CASE WHEN round OR wide >= 360 THEN -180 ELSE lo END AS lng_lo, CASE WHEN round OR wide >= 360 THEN 180 ELSE {_turned('lo + wide')} END AS lng_hi FROM z"))
+def rect_union(spark, d):
+    return _rects(spark, d).select("k", rects.union(F.col("a"), F.col("b")).alias("r")).select("k", *_sides(F.col("r")))
+
+
+@query(_with(_RECTS, "w AS (SELECT *, CASE WHEN ab <= wa AND ba <= wb AND ab > 0 THEN CASE WHEN wb < wa THEN b ELSE a END WHEN ab <= wa THEN b ELSE a END AS lo, CASE WHEN ab <= wa AND ba <= wb AND ab > 0 THEN least(wa, wb) WHEN ab <= wa THEN least(wb, wa - ab) ELSE least(wa, wb - ba) END AS wide FROM o WHERE a_lo <= b_hi AND b_lo <= a_hi AND (ab <= wa OR ba <= wb))",
+             select=f"SELECT k, greatest(a_lo, b_lo) AS lat_lo, least(a_hi, b_hi) AS lat_hi, lo AS lng_lo, {_turned('lo + wide')} AS lng_hi FROM w"))
+def rect_intersection(spark, d):
+    return _rects(spark, d).select("k", rects.intersection(F.col("a"), F.col("b")).alias("r")).filter("r is not null").select("k", *_sides(F.col("r")))
+
+
+@query(_with(_RECTS, select=f"SELECT k, greatest(-90, a_lo - 7) AS lat_lo, least(90, a_hi + 7) AS lat_hi, CASE WHEN wa + 340 >= 360 THEN -180 WHEN a - 170 < -180 THEN a + 190 ELSE a - 170 END AS lng_lo, CASE WHEN wa + 340 >= 360 THEN 180 ELSE {_turned('a + wa + 170')} END AS lng_hi FROM r"))
+def rect_expanded(spark, d):
+    return _rects(spark, d).select("k", rects.expanded(F.col("a"), 7, 170).alias("r")).select("k", *_sides(F.col("r")))
+
+
+@query(_with(_RECTS, select="SELECT k, least(a_lo, b_lo) AS lat_lo, greatest(a_lo, b_lo) AS lat_hi, CASE WHEN ab <= 180 THEN a ELSE b END AS lng_lo, CASE WHEN ab <= 180 THEN b ELSE a END AS lng_hi FROM o"))
+def rect_of_points(spark, d):
+    a, b = F.col("a"), F.col("b")
+    return _rects(spark, d).select("k", rects.from_point_pair(a["lat_lo"], a["lng_lo"], b["lat_lo"], b["lng_lo"]).alias("r")).select("k", *_sides(F.col("r")))
+
+
+def _meridian(lat: str, lng: str, at: str, lo: str, hi: str) -> str:
+    """SQL: radians from a point to a stretch of a meridian."""
+    foot = f"degrees(atan2(sin(radians({lat})), cos(radians({lat})) * cos(radians({at} - ({lng})))))"
+    aside = f"abs(asin(cos(radians({lat})) * sin(radians({at} - ({lng})))))"
+    ends = ", ".join(_hav(lat, lng, e, at, "1.0") for e in (lo, hi))
+    return f"CASE WHEN {foot} BETWEEN {lo} AND {hi} AND cos(radians({at} - ({lng}))) > 0 THEN {aside} ELSE least({ends}) END"
+
+
+@query(_with(_RECTS, select=f"SELECT k, round(6371000.0 * CASE WHEN po <= wa THEN radians(greatest(a_lo - lat, lat - a_hi, 0)) ELSE least({_meridian('lat', 'lng', 'a', 'a_lo', 'a_hi')}, {_meridian('lat', 'lng', '(a + wa)', 'a_lo', 'a_hi')}) END, 2) AS metres FROM o"))
+def rect_point_distance(spark, d):
+    return _rects(spark, d).select("k", F.round(rects.distance_to_point(F.col("a"), F.col("lat"), F.col("lng")), 2).alias("metres"))
+
+
+def _gaps() -> str:
+    a, b = ("a_lo", "a_hi", "a", "(a + wa)"), ("b_lo", "b_hi", "b", "(b + wb)")
+    return ", ".join(_meridian(p[corner], p[x], q[y], q[0], q[1]) for x, y in ((3, 2), (2, 3)) for p, q, x, y in ((a, b, x, y), (b, a, y, x)) for corner in (0, 1))
+
+
+@query(_with(_RECTS, select=f"SELECT k, round(6371000.0 * CASE WHEN ab <= wa OR ba <= wb THEN radians(greatest(b_lo - a_hi, a_lo - b_hi, 0)) ELSE least({_gaps()}) END, 2) AS metres FROM o"))
+def rect_distance(spark, d):
+    return _rects(spark, d).select("k", F.round(rects.distance(F.col("a"), F.col("b")), 2).alias("metres"))
