@@ -109,3 +109,25 @@ def test_unions():
     assert S.normalize([*kids, kids[0]]) == [c] and S.normalize([c, kids[1]]) == [c]
     assert S.union_intersection([c], kids[:2]) == sorted(kids[:2]) and S.union_difference([c], kids[:1]) == sorted(kids[1:])
     assert S.leaf_count([c]) == 4**22 and len(S.denormalize([c], 10)) == 16 and len(S.expand([c], 8)) > 1
+
+
+def test_covering_options():
+    rng = np.random.default_rng(3)
+    for _ in range(6):
+        cap = S.Cap(S.point(rng.uniform(-80, 80), rng.uniform(-180, 180)), 10 ** rng.uniform(-4, -1))
+        inside = S.unit(cap.axis + cap.radius * rng.uniform(-0.57, 0.57, (200, 3)))
+        inside = inside[cap.contains(inside)]
+        for cells in (S.fast_covering(cap), S.simple_covering(cap, cap.axis, min(30, 3 + S.cell_level(S.fast_covering(cap)[0]))), S.covering(cap, 12, level_mod=2), S.covering(cap, 12, min_level=3, level_mod=3)):
+            assert all(any(S.cell_contains(c, p) for c in cells) for p in inside)
+        assert all(S.cell_level(c) % 2 == 0 for c in S.covering(cap, 12, level_mod=2))
+        assert all((S.cell_level(c) - 3) % 3 == 0 for c in S.covering(cap, 12, min_level=3, level_mod=3))
+        fine = S.covering(cap, 40)
+        few = S.normalize_covering(fine, 4)
+        assert len(few) <= max(4, len({c >> 61 for c in fine})) and S.union_difference(fine, few) == []
+        grown = S.expand_by(fine, cap.radius / 2)
+        ring = S.regular_loop(cap.axis, cap.radius * 1.45, 30)
+        assert all(any(S.cell_contains(c, p) for c in grown) for p in ring)
+        p = S.unit(rng.normal(size=3))
+        c = S.cell_of(cap.axis, 6)
+        far = S.cell_max_distance(c, p)
+        assert far >= max(float(S.angle(p, v)) for v in S.cell_vertices(c)) - 1e-9

@@ -385,6 +385,11 @@ def cell_distance(cid: int, p: np.ndarray) -> float:
     return 0.0 if cell_contains(cid, p) else loop_distance(cell_vertices(cid), p)
 
 
+def cell_max_distance(cid: int, p: np.ndarray) -> float:
+    """Angle from a point to the farthest point of a cell: what lies nearest to the antipode."""
+    return float(np.pi) - cell_distance(cid, -p)
+
+
 def _wrapped(face: int, i: int, j: int, level: int) -> int:
     """Cell of (i, j), which may lie one cell beyond its face."""
     if 0 <= i < 1 << 30 and 0 <= j < 1 << 30:
@@ -499,6 +504,15 @@ def expand(cells: list[int], level: int) -> list[int]:
     return normalize(out)
 
 
+def expand_by(cells: list[int], radius: float, max_level_diff: int = 4) -> list[int]:
+    """The union and all within ``radius`` (radians) of it, by cells no narrower than that and at most ``max_level_diff`` levels
+    finer than the union's coarsest."""
+    widest = int(np.floor(np.log2(2 * 2**0.5 / 3 / radius))) if radius > 0 else MAX_LEVEL
+    if widest < 0:
+        return [cell_at(f, 0, 0, 0) for f in range(6)] if cells else []
+    return expand(cells, min(MAX_LEVEL, widest, min(map(cell_level, cells), default=0) + max_level_diff))
+
+
 # ---------------------------------------------------------------- regions and coverings
 
 
@@ -626,9 +640,59 @@ class Union:
         return any(r.contains_cell(cid) for r in self.regions)
 
 
-def covering(region, max_cells: int = DEFAULT_MAX_CELLS, min_level: int = 0, max_level: int = MAX_LEVEL, interior: bool = False) -> list[int]:
+def _snapped(level: int, min_level: int, level_mod: int) -> int:
+    """The finest of the levels ``min_level``, ``min_level + level_mod``, ... that is no finer than ``level``."""
+    return max(min_level, level - (level - min_level) % level_mod)
+
+
+def normalize_covering(cells: list[int], max_cells: int = DEFAULT_MAX_CELLS, min_level: int = 0, max_level: int = MAX_LEVEL, level_mod: int = 1) -> list[int]:
+    """A covering made to fit the limits: cells too fine or between allowed levels become ancestors, and while there are too
+    many, the two neighbours along the curve with the deepest common ancestor are joined in it (never above ``min_level``)."""
+    fitted = normalize([cell_parent(c, _snapped(min(cell_level(c), max_level), min_level, level_mod)) if cell_level(c) > min_level else c for c in cells])
+    while len(fitted) > max_cells:
+        deepest, at = -1, -1
+        for k in range(len(fitted) - 1):
+            a, b = fitted[k], fitted[k + 1]
+            if a >> 61 == b >> 61:
+                level = min(cell_level(a), cell_level(b))
+                while cell_parent(a, level) != cell_parent(b, level):
+                    level -= 1
+                if level > deepest:
+                    deepest, at = level, k
+        if deepest < 0 or (level := _snapped(deepest, min_level, level_mod)) < min_level or deepest < min_level:
+            break
+        fitted = normalize([*fitted, cell_parent(fitted[at], level)])
+    return denormalize(fitted, min_level, level_mod)
+
+
+def simple_covering(region, start: np.ndarray, level: int) -> list[int]:
+    """All cells of ``level`` that meet a connected region, from the one of ``start`` on across edges."""
+    first = cell_of(start, level)
+    seen, todo, out = {first}, [first], []
+    while todo:
+        c = todo.pop()
+        if region.may_intersect(c):
+            out.append(c)
+            for k in edge_neighbors(c):
+                if k not in seen:
+                    seen.add(k)
+                    todo.append(k)
+    return sorted(out)
+
+
+def fast_covering(cap: "Cap", max_cells: int = DEFAULT_MAX_CELLS, min_level: int = 0, max_level: int = MAX_LEVEL, level_mod: int = 1) -> list[int]:
+    """A coarse covering of a cap without refinement: the cells around the vertex nearest to its centre, of the finest level
+    whose cells are wide enough; the faces if none is."""
+    level = int(np.floor(np.log2(2 * 2**0.5 / 3 / (2 * cap.radius)))) if cap.radius > 0 else MAX_LEVEL
+    level = min(MAX_LEVEL - 1, level - 1)
+    found = [cell_at(f, 0, 0, 0) for f in range(6)] if level < 0 else vertex_neighbors(cell_of(cap.axis), level)
+    return normalize_covering(found, max_cells, min_level, max_level, level_mod)
+
+
+def covering(region, max_cells: int = DEFAULT_MAX_CELLS, min_level: int = 0, max_level: int = MAX_LEVEL, interior: bool = False, level_mod: int = 1) -> list[int]:
     """Cells that cover a region (or lie inside it): the largest cells are refined first, among equals those with fewest
-    children that meet the region, while there is room for their children."""
+    children that meet the region, while there is room for their children. With ``level_mod`` levels are ``min_level`` plus a
+    multiple of it."""
     out: list[int] = []
     queue: list[tuple[int, int, int, list[int]]] = []
 
@@ -657,6 +721,8 @@ def covering(region, max_cells: int = DEFAULT_MAX_CELLS, min_level: int = 0, max
                 offer(k)
         else:
             out.append(c)
+    if level_mod > 1:
+        return denormalize(normalize(out), min_level, level_mod) if interior else normalize_covering(out, max_cells, min_level, max_level, level_mod)
     return normalize(out) if min_level == 0 else denormalize(normalize(out), min_level)
 
 

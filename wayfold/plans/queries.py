@@ -680,3 +680,29 @@ def _gaps() -> str:
 @query(_with(_RECTS, select=f"SELECT k, round(6371000.0 * CASE WHEN ab <= wa OR ba <= wb THEN radians(greatest(b_lo - a_hi, a_lo - b_hi, 0)) ELSE least({_gaps()}) END, 2) AS metres FROM o"))
 def rect_distance(spark, d):
     return _rects(spark, d).select("k", F.round(rects.distance(F.col("a"), F.col("b")), 2).alias("metres"))
+
+
+# ---------------------------------------------------------------- polygons
+
+
+@query("SELECT n_nationkey::INT AS k, true AS areas_add_up, true AS rest_is_less, n_nationkey % 3 <> 0 AS meets, n_nationkey % 5 = 0 AND n_nationkey % 3 <> 0 AS holds FROM nation")
+def polygon_booleans(spark, d):
+    """Two shapes for each nation: apart for every third key, one inside the other for every fifth of the rest."""
+
+    def combine(batches):
+        import numpy as np
+        import pandas as pd
+
+        from wayfold.functions import polygons, sphere
+
+        for pdf in batches:
+            out = []
+            for k in pdf["k"].tolist():
+                at, other = sphere.point(3.0 * k - 36, 14.0 * k - 170), sphere.point(3.0 * k - 36 + (40 if k % 3 == 0 else 0 if k % 5 == 0 else 4), 14.0 * k - 170)
+                a, b = [sphere.regular_loop(at, 0.1, 16)], [sphere.regular_loop(other, 0.04 if k % 5 == 0 else 0.09, 11)]
+                both, either, rest = polygons.intersection(a, b), polygons.union(a, b), polygons.difference(a, b)
+                x, y, z, u, v = (sphere.polygon_area(p) for p in (both, either, rest, a, b))
+                out.append((k, bool(np.isclose(x + y, u + v, rtol=1e-9)), bool(np.isclose(z, u - x, rtol=1e-9)), polygons.intersects(a, b), polygons.contains(a, b)))
+            yield pd.DataFrame(out, columns=["k", "areas_add_up", "rest_is_less", "meets", "holds"])
+
+    return spark.read.parquet(f"{d}/nation.parquet").select(F.col("n_nationkey").cast("int").alias("k")).mapInPandas(combine, "k int, areas_add_up boolean, rest_is_less boolean, meets boolean, holds boolean")
