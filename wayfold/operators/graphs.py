@@ -118,6 +118,29 @@ def spanning_trees(edges: DataFrame, key: str = "graph", method: str = "kruskal"
     return edges.groupBy(key).applyInPandas(lambda p: solve(p).assign(**{key: p[key].iloc[0]})[[key, "src", "dst", "weight"]], schema)
 
 
+def depth_first_orders(edges: DataFrame, source, key: str = "graph") -> DataFrame:
+    """(key, vertex, place): the order of a depth-first walk of each graph ``key`` from ``source``; a graph is one task's work."""
+    kinds = dict(edges.dtypes)
+
+    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
+        order = depth_first(pdf, source)
+        return pd.DataFrame({key: [pdf[key].iloc[0]] * len(order), "vertex": order, "place": range(len(order))})
+
+    return edges.groupBy(key).applyInPandas(walk, f"{key} {kinds[key]}, vertex {kinds['src']}, place int")
+
+
+def distances(edges: DataFrame, source, key: str = "graph") -> DataFrame:
+    """(key, vertex, distance) of each graph ``key`` from ``source``, nearest vertex first (weights are not negative); a graph is
+    one task's work. ``shortest_paths`` takes one large graph."""
+    kinds = dict(edges.dtypes)
+
+    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
+        found = dijkstra(pdf, source)
+        return pd.DataFrame({key: [pdf[key].iloc[0]] * len(found), "vertex": list(found), "distance": [float(d) for d in found.values()]})
+
+    return edges.groupBy(key).applyInPandas(solve, f"{key} {kinds[key]}, vertex {kinds['src']}, distance double")
+
+
 def minimum_spanning_forest(edges: DataFrame) -> DataFrame:
     """Spanning forest of one large graph, distributed: in each round every component takes its lightest outgoing edge
     (ties by vertex names), then components merge. Rounds grow with the logarithm of the number of vertices."""

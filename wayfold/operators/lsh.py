@@ -95,6 +95,36 @@ def hits_against_exact(lsh: DataFrame, exact: DataFrame, key: str = "day") -> Da
     return both.groupBy(key, "a", "b").agg(F.max("similarity").alias("similarity"), F.array_join(F.sort_array(F.collect_set("t"), asc=False), "#").alias("label"))
 
 
+def cost_report(costs: DataFrame) -> DataFrame:
+    """Costs (date, n, ms) as a row for each date: n and ms of each data set, ascending, as one text."""
+    each = F.transform(F.array_sort(F.collect_list(F.struct("n", "ms"))), lambda s: F.concat_ws(":", s["n"].cast("string"), s["ms"].cast("string")))
+    return costs.groupBy("date").agg(F.array_join(each, ", ").alias("costs")).orderBy("date")
+
+
+def timed_comparison(vectors: DataFrame, sizes: list[int], key: str = "day", least: float = 0.4) -> tuple[DataFrame, DataFrame]:
+    """For each number of devices (the first by name): LSH pairs against exact pairs, and what both took. Returns (hits, costs):
+    label counts by date and size, most telling first, and (date, n, ms) of LSH."""
+    import time
+
+    spark = vectors.sparkSession
+    hits, costs = None, []
+    for n in sizes:
+        some = vectors.join(vectors.select("id").distinct().orderBy("id").limit(n), "id", "left_semi").persist()
+        dates = sorted(str(r[0]) for r in some.select(key).distinct().collect())  # a row a day
+        for date in dates:
+            own = some.filter(F.col(key).cast("string") == date)
+            begin = time.perf_counter()
+            found = lsh_pairs(own, key).persist()
+            found.count()
+            costs.append((date, n, int(1000 * (time.perf_counter() - begin))))
+            told = hits_against_exact(found, jaccard_pairs(own, key, least), key).groupBy(F.lit(date).alias("date"), F.lit(n).alias("n"), "label").agg(F.count(F.lit(1)).alias("pairs"))
+            told = spark.createDataFrame(told.collect(), told.schema)  # three labels at most
+            hits = told if hits is None else hits.unionByName(told)
+            found.unpersist()
+        some.unpersist()
+    return hits.orderBy("date", "n", F.reverse("label")), spark.createDataFrame(costs, "date string, n int, ms long")
+
+
 def pair_report(pairs: DataFrame, key: str = "day", distinct_days: bool = True) -> DataFrame:
     """Pairs with the number of their hits and their days joined by '#', most hits first. Without ``distinct_days`` each
     cluster that a pair shares on a day counts."""

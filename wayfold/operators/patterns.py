@@ -15,6 +15,15 @@ def group_patterns(points: DataFrame, min_distance: float = 2000.0, min_cells: i
     return lsh.pair_report(lsh.lsh_pairs(vectors, "day"))
 
 
+def analyse(points: DataFrame, kind: int, **how) -> DataFrame:
+    """The entry by number: 0 finds devices that move together, 1 the days that each device repeats."""
+    if kind not in (0, 1):
+        raise ValueError("0 (groups) or 1 (repeated days)")
+    if kind == 0:
+        return group_patterns(points, **how)
+    return personal_patterns(trajectory.all_vectors(points, **how))
+
+
 def merge_sets(groups: list[set]) -> list[set]:
     """Unions of the sets that hang together by common elements."""
     out: list[set] = []

@@ -191,6 +191,19 @@ def reduction(points: DataFrame, quantised: DataFrame) -> DataFrame:
     return a.join(b, KEY).withColumn("reduction", F.round((F.col("n_raw") - F.col("n_quantised")) / F.col("n_raw"), 4))
 
 
+def quantisation_report(points: DataFrame, span: int = 120, level: int = 15, mode: str = "") -> DataFrame:
+    """Per device-day: fixes before and after quantising, the share saved, the similarity of both tracks, and the mode of travel
+    that the caller names. Rows are appended where the caller writes them."""
+    quantised = grid_quantised(points, span, level)
+    return reduction(points, quantised).join(similarity(points, quantised, span, level), KEY).withColumn("mode", F.lit(mode))
+
+
+def tagged_union(raw: DataFrame, quantised: DataFrame, purified: DataFrame) -> DataFrame:
+    """Fixes of all three forms, told apart by data_type (0 raw, 1 quantised, 2 purified)."""
+    forms = [df.select(*_FIXES).withColumn("data_type", F.lit(k)) for k, df in enumerate((raw, quantised, purified))]
+    return forms[0].unionByName(forms[1]).unionByName(forms[2])
+
+
 def day_pairs(points: DataFrame) -> DataFrame:
     """Each day with its successor among the days that have fixes."""
     days = points.select("day").distinct()

@@ -494,6 +494,19 @@ def shortest_path(spark, d):
     return graphs.shortest_paths(graphs.undirected(_edges(spark, d)).distinct().coalesce(1), 0)
 
 
+@query(ORACLE["shortest_path"])
+def distances_by_graph(spark, d):
+    both = graphs.undirected(_edges(spark, d)).withColumn("graph", F.lit(1))
+    return graphs.distances(both, 0).select("vertex", "distance")
+
+
+@query(_with(_EDGES, "r AS (SELECT 0 AS vertex UNION SELECT u.dst FROM r JOIN u ON u.src = r.vertex)", select="SELECT vertex::INT AS vertex, true AS once FROM r", recursive=True))
+def depth_first(spark, d):
+    """Each vertex once; the order itself is held against a model in the tests."""
+    both = graphs.undirected(_edges(spark, d)).withColumn("graph", F.lit(1))
+    return graphs.depth_first_orders(both, 0).groupBy("vertex").agg((F.count(F.lit(1)) == 1).alias("once"))
+
+
 _BEFORE = "(u.weight < r.weight OR u.weight = r.weight AND (least(u.src, u.dst) < r.src OR least(u.src, u.dst) = r.src AND greatest(u.src, u.dst) < r.dst))"
 _FOREST = _with(_EDGES, f"r AS (SELECT src, dst, weight, src AS at FROM e UNION SELECT r.src, r.dst, r.weight, u.dst AS at FROM r JOIN u ON u.src = r.at AND {_BEFORE})", select="SELECT src, dst, weight FROM e WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.src = e.src AND r.dst = e.dst AND r.at = e.dst)", recursive=True)
 
@@ -706,3 +719,28 @@ def polygon_booleans(spark, d):
             yield pd.DataFrame(out, columns=["k", "areas_add_up", "rest_is_less", "meets", "holds"])
 
     return spark.read.parquet(f"{d}/nation.parquet").select(F.col("n_nationkey").cast("int").alias("k")).mapInPandas(combine, "k int, areas_add_up boolean, rest_is_less boolean, meets boolean, holds boolean")
+
+
+@query("SELECT o_orderpriority AS date, string_agg(n || ':' || ms, ', ' ORDER BY n, ms) AS costs FROM (SELECT DISTINCT o_orderpriority, (o_custkey % 5)::INT AS n, (o_custkey % 7)::BIGINT AS ms FROM orders) GROUP BY 1")
+def cost_report(spark, d):
+    costs = spark.read.parquet(f"{d}/orders.parquet").select(F.col("o_orderpriority").alias("date"), (F.col("o_custkey") % 5).cast("int").alias("n"), (F.col("o_custkey") % 7).cast("long").alias("ms"))
+    return lsh.cost_report(costs.distinct())
+
+
+@query(_with(_POINTS, select=f"SELECT event_id, round(r * sin(t), 6) AS latitude, round(r * cos(t), 6) AS longitude, capturetime FROM (SELECT event_id, capturetime, sqrt(x * x + y * y) - 0.00002 * sin(y * {_BD}) AS r, atan2(y, x) - 0.000003 * cos(x * {_BD}) AS t FROM (SELECT event_id, capturetime, longitude - 0.0065 AS x, latitude - 0.006 AS y FROM p))"))
+def enriched_points(spark, d):
+    from wayfold.sources.tracks import enriched
+
+    raw = points(spark, d).withColumn("date", F.date_format("ts", "yyyy-MM-dd HH:mm:ss")).drop("ts", "day", "capturetime")
+    return enriched(raw, from_bd=True).select("event_id", F.round("latitude", 6).alias("latitude"), F.round("longitude", 6).alias("longitude"), "capturetime")
+
+
+@query()
+def quantisation_report(spark, d):
+    return trajectory.quantisation_report(points(spark, d), SPAN, LEVEL, "any")
+
+
+@query(_with(_POINTS, select="SELECT device_id, capturetime, latitude, longitude, k::INT AS data_type FROM p, range(3) t(k)").replace("latitude, longitude, k::INT", "round(latitude, 9) AS latitude, round(longitude, 9) AS longitude, k::INT"))
+def tagged_union(spark, d):
+    p = points(spark, d)
+    return trajectory.tagged_union(p, p, p).select("device_id", "capturetime", F.round("latitude", 9).alias("latitude"), F.round("longitude", 9).alias("longitude"), "data_type")

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from wayfold.functions import geo
 from wayfold.functions.scalars import epoch_seconds
 
 POINT = T.StructType(
@@ -83,6 +84,15 @@ def with_time(points: DataFrame, noon_quirk: bool = False) -> DataFrame:
     return points.withColumn("capturetime", seconds).withColumn("ts", F.timestamp_seconds("capturetime")).withColumn("day", F.to_date(F.substring("date", 1, 10)))
 
 
+def enriched(points: DataFrame, from_bd: bool = False, noon_quirk: bool = False) -> DataFrame:
+    """``with_time``, and, with ``from_bd``, positions turned from BD-09 into GCJ-02."""
+    timed = with_time(points, noon_quirk)
+    if not from_bd:
+        return timed
+    lat, lng = geo.bd_to_gcj(F.col("latitude"), F.col("longitude"))
+    return timed.withColumns({"latitude": lat, "longitude": lng})
+
+
 @dataclass
 class TrackSource:
     """Where fixes lie: a file format with a path, or ``jdbc``. Options go to the reader as they are; none has a default."""
@@ -95,6 +105,28 @@ class TrackSource:
         reader = spark.read.format(self.format).options(**self.options)
         return reader.load(self.path) if self.path else reader.load()
 
+    @classmethod
+    def configured(cls, spark: SparkSession, file: str | None = None, prefix: str = "wayfold.source.") -> "TrackSource":
+        """A source from ``key=value`` lines of a file (comments begin with #), else from the session's settings under
+        ``prefix``: format, path, and whatever else as an option. What neither names is an error; there are no defaults."""
+        if file is not None:
+            lines = (r["value"].strip() for r in spark.read.text(file).collect())  # a settings file
+            found = {k.strip(): v.strip() for k, sep, v in (x.partition("=") for x in lines if x and not x.startswith("#")) if sep}
+        else:
+            found = {k[len(prefix) :]: v for k, v in spark.conf.getAll.items() if k.startswith(prefix)}
+        if "format" not in found:
+            raise ValueError(f"no source is configured: {prefix}format is missing")
+        kind, path = found.pop("format"), found.pop("path", None)
+        return cls(kind, path, found)
+
+    def load_days(self, spark: SparkSession, days: list[str]) -> DataFrame:
+        """Fixes of some days, a JDBC partition for each; other formats filter, which the scan takes over."""
+        begins = [f"date >= '{d} 00:00:00' AND date <= '{d} 23:59:59'" for d in days]
+        if self.format != "jdbc":
+            return self.load(spark).filter(" OR ".join(f"({b})" for b in begins) or "false")
+        rest = {k: v for k, v in self.options.items() if k not in ("url", "dbtable")}
+        return spark.read.jdbc(self.options["url"], self.options["dbtable"], predicates=begins, properties=rest)
+
     def save(self, points: DataFrame, mode: str = "append") -> None:
         writer = points.write.format(self.format).options(**self.options).mode(mode)
         writer.save(self.path) if self.path else writer.save()
