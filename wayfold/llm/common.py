@@ -19,9 +19,12 @@ _LIVE: dict[str, list[tuple[SparkSession, str]]] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or one of our own if unset (tests)."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``. Where it is unset a local session (tests) gets one
+    of its own; on a cluster that is an error, as executors would not see it."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="wayfold-checkpoint-")
         spark.sparkContext.setCheckpointDir(found)
         found = spark.sparkContext.getCheckpointDir() or found
@@ -48,6 +51,12 @@ def release(owner: str) -> None:
             pass
 
 
+def adopt(owner: str, by: str) -> None:
+    """Make the scratch tables of ``owner`` those of ``by``."""
+    if owner in _LIVE:
+        _LIVE.setdefault(by, []).extend(_LIVE.pop(owner))
+
+
 def table(df: DataFrame, tag: str, owner: str = "query", partition_by: list[str] | None = None) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back: cuts lineage, survives lost executors."""
     path = scratch_path(df.sparkSession, tag, owner)
@@ -117,6 +126,7 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
 # ---------------------------------------------------------------- hashing
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
+SYMBOL_BYTES = 8
 _BASES = (0xD1342543DE82EF95, 0x2545F4914F6CDD1D, 0x9E3779B97F4A7C15)
 
 
@@ -130,7 +140,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-_BYTE = [mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(b)) | np.uint64(1) for b in _BASES]
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
@@ -148,18 +157,64 @@ def powers(which: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     return have
 
 
+def byte_symbols(data: np.ndarray) -> np.ndarray:
+    """Every ``SYMBOL_BYTES`` consecutive bytes as a scrambled number (one to one)."""
+    if len(data) < SYMBOL_BYTES:
+        return np.zeros(0, np.uint64)
+    return mix(np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(data, SYMBOL_BYTES)).view("<u8")[:, 0] + np.uint64(_BASES[2]))
+
+
 class Rolling:
-    """Prefix sums of a polynomial hash: the hash of any span of ``values`` (bytes, or 64-bit symbols) in O(1)."""
+    """Prefix sums of a polynomial hash: the hash of any span of ``width`` places or more in O(1).
 
-    def __init__(self, values: np.ndarray, which: int = 0):
-        n = len(values)
+    ``symbols`` are scrambled values of every ``width`` consecutive places. As they overlap, swapping two parts of a span
+    changes symbols at the seams too: spans that a power-of-two modulus would confuse place by place (Thue-Morse words and
+    their complements) don't cancel."""
+
+    def __init__(self, symbols: np.ndarray, which: int = 0, width: int = 1):
+        n, self.short = len(symbols), width - 1
         up, self.down = powers(which, n + 1)
-        symbols = _BYTE[which][values] if values.dtype == np.uint8 else values
         self.sums = np.zeros(n + 1, dtype=np.uint64)
         np.cumsum(symbols * up[:n], out=self.sums[1:])
 
     def spans(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        return mix((self.sums[ends] - self.sums[starts]) * self.down[starts] + (ends - starts).astype(np.uint64))
+        return mix((self.sums[ends - self.short] - self.sums[starts]) * self.down[starts] + (ends - starts).astype(np.uint64))
+
+
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hashes of the words at ``starts`` to ``ends``: scrambled (byte, place in the word) values summed. Being no polynomial,
+    it has no words that cancel for every base, as Thue-Morse words do modulo a power of two."""
+    if not len(starts):
+        return np.zeros(0, np.uint64)
+    n = len(data)
+    x = np.ones(n, np.uint64)
+    x[0] = 0
+    x[starts[1:]] -= np.diff(starts).astype(np.uint64)
+    x[starts[0]] -= np.uint64(starts[0])
+    np.cumsum(x, out=x)  # place in the word, at its bytes
+    x <<= np.uint64(8)
+    x |= data
+    x += np.uint64(0x9E3779B97F4A7C15)
+    x *= _M1
+    x ^= x >> np.uint64(32)
+    x *= _M2
+    x ^= x >> np.uint64(29)
+    sums = np.zeros(n + 1, np.uint64)
+    np.cumsum(x, out=sums[1:])
+    return mix(sums[ends] - sums[starts] + (ends - starts).astype(np.uint64))
+
+
+def chained(word: np.ndarray, length: int) -> np.ndarray:
+    """Hashes of every ``length`` consecutive words (by their hashes), scrambled after each word."""
+    n = len(word) - length + 1
+    if n <= 0:
+        return np.zeros(0, np.uint64)
+    out = np.full(n, length, np.uint64)
+    for k in range(length):
+        out *= _M1
+        out += word[k : k + n]
+        out = mix(out)
+    return out
 
 
 def signed(x: np.ndarray) -> np.ndarray:
@@ -191,20 +246,26 @@ def lean(work):
         try:
             yield from work(batches)
         finally:
-            import ctypes
-
-            gc.collect()
-            pa.default_memory_pool().release_unused()
-            try:
-                ctypes.CDLL("libc.so.6").malloc_trim(0)
-            except (OSError, AttributeError):  # another C library
-                pass
+            trim()
 
     return run
 
 
+def trim() -> None:
+    """Give unused memory back to the system."""
+    import ctypes
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def small_batches(spark: SparkSession, rows: int = 2000) -> None:
     """Documents are long: pass fewer rows at a time to Python than Spark's default, unless the user has chosen."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(key, "10000") == "10000":
-        spark.conf.set(key, str(rows))
+    for key, usual, ours in (("maxRecordsPerBatch", "10000", rows), ("maxBytesPerBatch", "67108864b", 32 << 20)):
+        key = f"spark.sql.execution.arrow.{key}"
+        if spark.conf.get(key, usual) == usual:
+            spark.conf.set(key, str(ours))

@@ -4,7 +4,8 @@ Every word covered by a window of ``window`` consecutive words whose word sequen
 doc_id is removed. Windows are judged on the input. In steps:
 
 1. Every window picks an anchor: the least hash among its ``gram``-word grams. Equal windows pick the same, at the same place.
-   Anchors that occur in one document only need no further look: (anchor, document) rows tell which these are.
+   Anchors that occur in one document only need no further look: (anchor, document) rows tell which these are. What a row
+   shares is gathered by row (a hash of id and text), so rows without an id are no hot group.
 2. The windows that pick an anchor of several documents are cut out as segments, one for each stretch of windows with one
    anchor. Equal segments are one; all but the copies of the least doc_id go at once.
 3. The first copy of each segment is dealt to a shard by its anchor, so equal windows meet there. A shard indexes its
@@ -16,6 +17,7 @@ doc_id is removed. Windows are judged on the input. In steps:
 
 Null or empty texts have no words. A null doc_id counts as larger than all others. Rows with the same doc_id never remove
 each other's words. Words are compared by 64-bit hashes, windows of a crowd by 128-bit hashes. An empty table gives no rows.
+Other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wayfold.llm.common import Rolling, column_bytes, lean, signed, slices, table, words
+from wayfold.llm.common import Rolling, chained, column_bytes, lean, signed, slices, table, word_hashes, words
 from wayfold.llm.fmindex import earlier_matches
 
 WINDOW = 50
@@ -72,11 +74,7 @@ def _parsed(data: np.ndarray, offsets: np.ndarray, i: int, j: int, gram: int):
     """Words and gram hashes of texts i to j."""
     part, offs = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
     starts, ends, bounds = words(part, offs)
-    word = Rolling(part).spans(starts, ends)
-    roll = Rolling(word, 1)
-    n = len(word)
-    grams = roll.spans(np.arange(n - gram + 1), np.arange(gram, n + 1)) if n >= gram else np.zeros(0, np.uint64)
-    return part, starts, ends, bounds, word, roll, grams
+    return part, starts, ends, bounds, chained(word_hashes(part, starts, ends), gram)
 
 
 def _stretches(text: np.ndarray, start: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -89,16 +87,16 @@ def _anchor_rows(docs: DataFrame, window: int, gram: int) -> DataFrame:
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = column_bytes(batch.column("text"))
-            key = batch.column("key").to_numpy()
+            key, row = batch.column("key").to_numpy(), batch.column("row").to_numpy()
             for i, j in slices(offsets):
-                *_, bounds, _, _, grams = _parsed(data, offsets, i, j, gram)
+                *_, bounds, grams = _parsed(data, offsets, i, j, gram)
                 text, _, at = anchors(grams, bounds, window, gram)
                 if len(at):
                     fresh = np.r_[True, at[1:] != at[:-1]]
                     pair = np.unique(np.stack([text[fresh], grams[at[fresh]].view(np.int64)]), axis=1)
-                    yield pa.RecordBatch.from_arrays([pa.array(pair[1]), pa.array(key[i:j][pair[0]])], names=["anchor", "key"])
+                    yield pa.RecordBatch.from_arrays([pa.array(pair[1]), pa.array(key[i:j][pair[0]]), pa.array(row[i:j][pair[0]])], names=["anchor", "key", "row"])
 
-    return docs.select("key", "text").mapInArrow(lean(pick), "anchor long, key long")
+    return docs.select("key", "row", "text").mapInArrow(lean(pick), "anchor long, key long, row long")
 
 
 _CUT = "kind int, row long, key long, doc_id long, text string, n_words long, sha string, s1 long, s2 long, anchor long, at long, windows int, bytes binary"
@@ -120,7 +118,7 @@ def _cut(docs: DataFrame, window: int, gram: int) -> DataFrame:
             shared_n = np.where(np.asarray(shared.is_valid()), np.diff(shared_at), 0)
             key, row = batch.column("key").to_numpy(), batch.column("row").to_numpy()
             for i, j in slices(offsets):
-                part, starts, ends, bounds, word, roll, grams = _parsed(data, offsets, i, j, gram)
+                part, starts, ends, bounds, grams = _parsed(data, offsets, i, j, gram)
                 raw, has = part.tobytes(), np.zeros(j - i, bool)
                 busy = np.flatnonzero(shared_n[i:j])
                 if len(busy):
@@ -136,10 +134,10 @@ def _cut(docs: DataFrame, window: int, gram: int) -> DataFrame:
                     w0 = start[first]
                     w1 = w0 + count + window - 1
                     spans = [raw[starts[x] : ends[y - 1]] for x, y in zip(w0, w1, strict=True)]
-                    twice = Rolling(word, 2)
                     if len(first):
+                        once, twice = Rolling(grams, 1, gram), Rolling(grams, 2, gram)
                         yield kinds(
-                            2, len(first), row=pa.array(row[i:j][t]), key=pa.array(key[i:j][t]), s1=pa.array(signed(roll.spans(w0, w1))), s2=pa.array(signed(twice.spans(w0, w1))),
+                            2, len(first), row=pa.array(row[i:j][t]), key=pa.array(key[i:j][t]), s1=pa.array(signed(once.spans(w0, w1))), s2=pa.array(signed(twice.spans(w0, w1))),
                             anchor=pa.array(a), at=pa.array(w0 - bounds[t]), windows=pa.array(count.astype(np.int32)), bytes=pa.array(spans, pa.binary()),
                         )
                 rest = np.flatnonzero(~has)
@@ -160,7 +158,7 @@ def _search_shard(rows: pa.Table, window: int) -> pa.Table:
     rows = rows.sort_by([("least", "ascending"), ("s1", "ascending"), ("s2", "ascending")])
     data, offsets = column_bytes(rows.column("bytes"))
     starts, ends, bounds = words(data, offsets)
-    symbol = np.unique(Rolling(data).spans(starts, ends), return_inverse=True)[1] + 1
+    symbol = np.unique(word_hashes(data, starts, ends), return_inverse=True)[1] + 1
     k = len(bounds) - 1
     seq = np.zeros(len(symbol) + k, np.int64)
     seq[np.arange(len(symbol)) + np.repeat(np.arange(k), np.diff(bounds))] = symbol
@@ -172,21 +170,21 @@ def _search_shard(rows: pa.Table, window: int) -> pa.Table:
     return pa.table({"s1": rows.column("s1").take(at), "s2": rows.column("s2").take(at), "lo": pa.array(lo.astype(np.int32)), "hi": pa.array(hi.astype(np.int32))})
 
 
-def _windows(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
+def _windows(batches: Iterator[pa.RecordBatch], window: int, gram: int) -> Iterator[pa.RecordBatch]:
     """Every window of the segments, as two hashes."""
     for batch in batches:
         data, offsets = column_bytes(batch.column("bytes"))
         for i, j in slices(offsets):
             part, offs = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
             starts, ends, bounds = words(part, offs)
-            word = Rolling(part).spans(starts, ends)
+            grams = chained(word_hashes(part, starts, ends), gram)
             count = np.diff(bounds) - window + 1
             of = np.repeat(np.arange(j - i), count)
             off = np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count)
             w0 = bounds[of] + off
             at = pa.array(of + i)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("s1").take(at), batch.column("s2").take(at), batch.column("least").take(at), pa.array(off.astype(np.int32)), pa.array(signed(Rolling(word, 1).spans(w0, w0 + window))), pa.array(signed(Rolling(word, 2).spans(w0, w0 + window)))],
+                [batch.column("s1").take(at), batch.column("s2").take(at), batch.column("least").take(at), pa.array(off.astype(np.int32)), pa.array(signed(Rolling(grams, 1, gram).spans(w0, w0 + window))), pa.array(signed(Rolling(grams, 2, gram).spans(w0, w0 + window)))],
                 names=["s1", "s2", "least", "off", "w1", "w2"],
             )
 
@@ -220,8 +218,8 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, owne
     picked = table(_anchor_rows(base, window, gram), "sub-anchors", owner)
     # written tables as join sides: a join with an aggregate would tie the other side to its partitions, hot anchors and all
     several = table(picked.groupBy("anchor").agg(F.min("key").alias("x"), F.max("key").alias("y")).filter("x < y").select("anchor"), "sub-several", owner)
-    shared = picked.join(several, "anchor", "left_semi").groupBy("key").agg(F.collect_set("anchor").alias("shared"))
-    cut = table(_cut(base.join(shared, "key", "left"), window, gram), "sub-cut", owner, ["kind"])
+    shared = picked.join(several, "anchor", "left_semi").groupBy("row").agg(F.collect_set("anchor").alias("shared"))
+    cut = table(_cut(base.join(shared, "row", "left"), window, gram), "sub-cut", owner, ["kind"])
     segments = cut.filter("kind = 2").select("row", "key", "s1", "s2", "anchor", "at", "windows", "bytes")
     heads = segments.groupBy("s1", "s2").agg(F.min("key").alias("least"), F.first("anchor").alias("anchor"), F.first("windows").alias("windows"), F.first("bytes").alias("bytes"))
     heads = table(heads, "sub-heads", owner)
@@ -231,7 +229,7 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, owne
     shards = max(1, -(-(few.agg(F.sum("words")).first()[0] or 0) // SHARD_WORDS))
     calm = heads.join(few.select("anchor"), "anchor", "left_semi").select("least", "s1", "s2", "bytes", F.pmod(F.xxhash64("anchor"), F.lit(shards)).alias("shard"))
     answers = calm.repartition(max(1, shards), "shard").groupBy("shard").applyInArrow(lambda t: _search_shard(t, window), _ANSWER)
-    crowd = heads.join(many.select("anchor"), "anchor", "left_semi").select("s1", "s2", "least", "bytes").mapInArrow(lean(lambda x: _windows(x, window)), "s1 long, s2 long, least long, off int, w1 long, w2 long")
+    crowd = heads.join(many.select("anchor"), "anchor", "left_semi").select("s1", "s2", "least", "bytes").mapInArrow(lean(lambda x: _windows(x, window, gram)), "s1 long, s2 long, least long, off int, w1 long, w2 long")
     early = crowd.groupBy("w1", "w2").agg(F.min("least").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
     more = crowd.join(early, ["w1", "w2"]).filter(F.col("least") > F.col("first")).select("s1", "s2", F.col("off").alias("lo"), (F.col("off") + window).alias("hi"))
     found = table(answers.unionByName(more), "sub-answers", owner)
