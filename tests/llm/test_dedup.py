@@ -2,9 +2,11 @@
 
 import collections
 import hashlib
+import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from wayfold.llm import fmindex, jaccard, lines, prefixfree, substrings
@@ -33,6 +35,25 @@ def test_bytes(odd, odd_docs, no_docs):
     assert got == want and prefixfree.dedup_bytes(no_docs, size).count() == 0
 
 
+def test_rows_that_occur_again():
+    """Sorted rows in batches of any cut, against counts."""
+    rng = random.Random(1)
+    for _ in range(200):
+        rows = sorted((rng.randint(0, 12), rng.randint(0, 1), i, rng.choice([0, 0, 0, 1])) for i in range(rng.randint(0, 60))) + [(100 + i, 5, i + 900, 2) for i in range(rng.randint(0, 3))]
+        h, h2, row, mark = ([r[k] for r in rows] for k in range(4))
+        whole = pa.RecordBatch.from_pydict({"h": pa.array(h, pa.int64()), "h2": pa.array(h2, pa.int64()), "row": pa.array(row, pa.int64()), "k": pa.array(row, pa.int64()), "m": pa.array(row, pa.int64()), "mark": pa.array(mark, pa.int32())})
+        batches, at = [], 0
+        while at < len(rows):
+            n = rng.randint(0, 9)
+            batches.append(whole.slice(at, n))
+            at += n
+        many = collections.Counter()
+        for a, b, _, m in rows:
+            many[a, b] += 1 + m if m < 2 else 0
+        got = sorted(x for b in prefixfree._again(iter(batches)) for x in b.column("row").to_pylist())
+        assert got == sorted(r for a, b, r, m in rows if m == 2 or many[a, b] > 1)
+
+
 def test_bytes_crowd(odd_docs, monkeypatch):
     want = multiset(prefixfree.dedup_bytes(odd_docs, 60), "doc_id", "kept_sha256")
     monkeypatch.setattr(prefixfree, "CROWD", 1)

@@ -7,7 +7,8 @@ cross documents and are judged on the input.
    to the end of the next, so phrases overlap by a trigger and no phrase is a proper prefix of another.
 2. Dictionary: of the runs of ``RUN`` phrases that lie whole inside a string, that of the least hash opens it. Equal strings
    are opened by the same run at the same place. Only these runs are counted over the corpus; strings whose run occurs once
-   are not repeated. Strings too poor in triggers to hold a run are few and are counted themselves, by 128-bit hashes.
+   are not repeated. Strings too poor in triggers to hold a run are counted themselves, by 128-bit hashes; those that occur
+   again nearby go on as stretches, so that a long text of one byte or of a short period is a few rows.
 3. Records: neighbouring strings opened by one run make one record (left context, run, right context). Equal records are
    one; with two copies all their strings are repeated.
 4. Order: records that are left single are dealt to shards by their run. There the order of the parse's suffixes (right
@@ -18,7 +19,8 @@ cross documents and are judged on the input.
    counted by hash, wherever they lie.
 
 Null and empty texts have no bytes. Rows with equal texts are each other's copies, so all their strings are repeated. Ids may
-be null or repeat. Runs without triggers (say, one byte over and over) are covered by 2. An empty table gives no rows.
+be null or repeat. Runs without triggers (say, one byte over and over) are covered by 2. Texts
+of more than ``PART_BYTES`` are parsed in overlapping parts. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -31,17 +33,34 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wayfold.llm.common import Rolling, column_bytes, lean, ragged, signed, slices, table
+from wayfold.llm.common import SYMBOL_BYTES, Rolling, byte_symbols, column_bytes, lean, ragged, signed, slices, table
 
 LENGTH = 200
 TRIGGER = 8
 MODULUS = 8
+PART_BYTES, HELD_ROWS = 1 << 20, 1 << 20
 RUN = 4
 SHARD_RECORDS = 20_000
 CROWD = SHARD_RECORDS
 _PLACE = np.uint64((1 << 24) - 1)
 
 
+def _parts(offsets: np.ndarray, length: int) -> Iterator[tuple[int, int, int, int, int]]:
+    """Texts i to j, as bytes lo to hi and how many bytes of text i lie before lo. Texts of more than ``PART_BYTES`` go in parts
+    that overlap, so that each of their strings lies whole in exactly one."""
+    for i, j in slices(offsets, PART_BYTES // 2):
+        lo, hi = int(offsets[i]), int(offsets[j])
+        if hi - lo <= PART_BYTES:
+            yield i, j, lo, hi, 0
+        else:  # one long text
+            for at in range(lo, hi - length + 1, PART_BYTES):
+                yield i, j, at, min(hi, at + PART_BYTES + length - 1), at - lo
+
+
+def _offsets(offsets: np.ndarray, i: int, j: int, lo: int, hi: int) -> np.ndarray:
+    return np.clip(offsets[i : j + 1], lo, hi) - lo
+
+
 def triggers(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """First bytes of the triggers inside each text, and each text's bounds among them."""
     n = len(data)
@@ -91,65 +110,88 @@ def openings(data: np.ndarray, offsets: np.ndarray, length: int, roll: Rolling)
 
 
 def _parse(docs: DataFrame, length: int) -> DataFrame:
-    """(h, h2, row, k): opening runs (k their number in the text) and strings without one (k = -1 - first byte). Of what occurs again in
-    the same batch one row stays, marked; the others are known to be repeated and only pass through."""
+    """(h, h2, row, k, m): opening runs (k the place of their first trigger in the text) and ``m`` neighbouring strings without
+    one (k = -1 - first byte). Of what occurs again among the rows held at a time one row stays, marked; the others are known to be
+    repeated and only pass through, neighbouring strings as one row: a text of one byte over and over is a few rows."""
+
+    def flush(parts: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+        h, h2, r, k = (np.concatenate(x) for x in zip(*parts, strict=True))
+        order = np.lexsort((k, r, h2, h))
+        h, h2, r, k = h[order], h2[order], r[order], k[order]
+        first = np.r_[True, (h[1:] != h[:-1]) | (h2[1:] != h2[:-1])]
+        group = np.cumsum(first) - 1
+        several = (np.bincount(group) > 1)[group]
+        fresh = np.r_[True, (r[1:] != r[:-1]) | (k[1:] != k[:-1])] | first
+        known = several & fresh & ~first
+        kr, kk = r[known], k[known]
+        order = np.lexsort((-kk, kr))
+        kr, kk = kr[order], kk[order]
+        new = np.r_[True, (kr[1:] != kr[:-1]) | (kk[1:] != kk[:-1] - 1) | (kk[:-1] >= 0)][: len(kk)]
+        m = np.diff(np.r_[np.flatnonzero(new), len(kk)])
+        kr, kk = kr[new], kk[new]
+        key = kr.view(np.uint64) ^ (kk.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        ones = np.ones(int(first.sum()), np.int64)
+        return pa.RecordBatch.from_arrays(
+            [pa.array(signed(np.r_[h[first], key])), pa.array(signed(np.r_[h2[first], key])), pa.array(np.r_[r[first], kr]), pa.array(np.r_[k[first], kk]), pa.array(np.r_[ones, m]), pa.array(np.r_[several[first].astype(np.int32), np.full(len(kk), 2, np.int32)])],
+            names=["h", "h2", "row", "k", "m", "mark"],
+        )
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: list[tuple[np.ndarray, ...]] = []
+        held = 0
         for batch in batches:
             data, offsets = column_bytes(batch.column("text"))
             row = batch.column("row").to_numpy()
-            parts: list[tuple[np.ndarray, ...]] = []
-            for i, j in slices(offsets):
-                part, offs = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
-                roll = Rolling(part)
-                text, run, _, _, st, sb, at, bounds = openings(part, offs, length, roll)
-                parts.append((roll.spans(at[run], at[run + RUN] + TRIGGER), np.zeros(len(run), np.uint64), row[i:j][text], run - bounds[text]))
+            for i, j, lo, hi, base in _parts(offsets, length):
+                part, offs = data[lo:hi], _offsets(offsets, i, j, lo, hi)
+                symbols = byte_symbols(part)
+                roll = Rolling(symbols, 0, SYMBOL_BYTES)
+                text, run, _, _, st, sb, at, _ = openings(part, offs, length, roll)
+                parts.append((roll.spans(at[run], at[run + RUN] + TRIGGER), np.zeros(len(run), np.uint64), row[i:j][text], base + at[run] - offs[text]))
                 if len(st):
-                    parts.append((roll.spans(sb, sb + length), Rolling(part, 2).spans(sb, sb + length), row[i:j][st], -1 - (sb - offs[st])))
-            if not parts:
-                continue
-            h, h2, r, k = (np.concatenate(x) for x in zip(*parts, strict=True))
-            if not len(h):
-                continue
-            order = np.lexsort((k, r, h2, h))
-            h, h2, r, k = h[order], h2[order], r[order], k[order]
-            first = np.r_[True, (h[1:] != h[:-1]) | (h2[1:] != h2[:-1])]
-            group = np.cumsum(first) - 1
-            several = (np.bincount(group) > 1)[group]
-            fresh = np.r_[True, (r[1:] != r[:-1]) | (k[1:] != k[:-1])] | first
-            known = several & fresh & ~first
-            keep = first | known
-            mark = np.where(known, 2, np.where(several, 1, 0)).astype(np.int32)
-            key = np.where(known, (r.view(np.uint64) ^ (k.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15))), h)
-            yield pa.RecordBatch.from_arrays([pa.array(signed(key[keep])), pa.array(signed(h2[keep])), pa.array(r[keep]), pa.array(k[keep]), pa.array(mark[keep])], names=["h", "h2", "row", "k", "mark"])
-
-    return docs.select("row", "text").mapInArrow(lean(parse), "h long, h2 long, row long, k long, mark int")
+                    parts.append((roll.spans(sb, sb + length), Rolling(symbols, 2, SYMBOL_BYTES).spans(sb, sb + length), row[i:j][st], -1 - (base + sb - offs[st])))
+                held += len(run) + len(st)
+                if held > HELD_ROWS:
+                    yield flush(parts)
+                    parts, held = [], 0
+            if held:
+                yield flush(parts)
+                parts, held = [], 0
+
+    return docs.select("row", "text").mapInArrow(lean(parse), "h long, h2 long, row long, k long, m long, mark int")
 
 
 def _again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by (h, h2): those that occur more than once."""
-    left = None
+    """Of rows sorted by (h, h2): those that occur more than once. Of a group that goes on no more is held than one fresh row."""
+    left: pa.Table | None = None
+    known: tuple[int, int] | None = None  # the last group, once it is known to occur again
     for batch in batches:
         if not batch.num_rows:
             continue
         t = pa.Table.from_batches([batch]) if left is None else pa.concat_tables([left, pa.Table.from_batches([batch])])
-        h = t.column("h").to_numpy()
-        cut = int(np.searchsorted(h, h[-1], side="left"))
-        left = t.slice(cut)
-        if cut:
-            yield _repeated(t.slice(0, cut))
+        keep, known, open_ = _repeated(t, known)
+        yield _passed(t.slice(0, open_), keep[:open_])
+        left = t.slice(open_) if open_ < t.num_rows else None
     if left is not None:
-        yield _repeated(left)
+        yield _passed(left, left.column("mark").to_numpy() == 2)
 
 
-def _repeated(t: pa.Table) -> pa.RecordBatch:
+def _repeated(t: pa.Table, known: tuple[int, int] | None) -> tuple[np.ndarray, tuple[int, int] | None, int]:
+    """Which rows to keep, the last group if it occurs again, and where the rows begin that can't be told yet."""
     h, h2, mark = (t.column(c).to_numpy() for c in ("h", "h2", "mark"))
     fresh = mark < 2
     first = np.r_[True, (h[1:] != h[:-1]) | (h2[1:] != h2[:-1])]
     group = np.cumsum(first) - 1
-    several = (np.bincount(group, weights=np.where(fresh, 1 + (mark == 1), 0)) > 1)[group]
-    keep = pa.array(~fresh | several)
-    return pa.RecordBatch.from_arrays([t.column("row").combine_chunks().filter(keep), t.column("k").combine_chunks().filter(keep)], names=["row", "k"])
+    many = np.bincount(group, weights=np.where(fresh, 1 + (mark == 1), 0)) > 1
+    many[0] |= known == (int(h[0]), int(h2[0]))
+    if many[-1]:
+        return ~fresh | many[group], (int(h[-1]), int(h2[-1])), len(h)
+    return ~fresh | many[group], None, int(np.flatnonzero(first)[-1])
+
+
+def _passed(t: pa.Table, keep: np.ndarray) -> pa.RecordBatch:
+    rows = pa.array(keep)
+    return pa.RecordBatch.from_arrays([t.column(c).combine_chunks().filter(rows) for c in ("row", "k", "m")], names=["row", "k", "m"])
 
 
 _CUT = "kind int, row long, doc_id long, text string, n_bytes long, sha string, z1 long, z2 long, phrase long, n int, lo long, hi long, left_n int, bytes binary"
@@ -182,28 +224,31 @@ def _cut(docs: DataFrame, length: int) -> DataFrame:
             data, offsets = column_bytes(batch.column("text"))
             row = batch.column("row").to_numpy()
             dup = batch.column("dup")
-            dup_at, dup_of = dup.offsets.to_numpy(), dup.values.to_numpy()
+            dup_at, dup_of, dup_m = dup.offsets.to_numpy(), dup.values.field("k").to_numpy(), dup.values.field("m").to_numpy()
             dup_n = np.where(np.asarray(dup.is_valid()), np.diff(dup_at), 0)
-            for i, j in slices(offsets):
-                part, offs = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
-                raw, has = part.tobytes(), np.zeros(j - i, bool)
+            has = np.zeros(batch.num_rows, bool)
+            for i, j, lo, hi, base in _parts(offsets, length):
+                part, offs = data[lo:hi], _offsets(offsets, i, j, lo, hi)
+                raw = part.tobytes()
                 known = []
                 busy = np.flatnonzero(dup_n[i:j])
                 if len(busy):
-                    roll = Rolling(part)
-                    text, run, first, last, _, _, at, bounds = openings(part, offs, length, roll)
-                    number, ok = run - bounds[text], np.zeros(len(run), bool)
+                    symbols = byte_symbols(part)
+                    roll = Rolling(symbols, 0, SYMBOL_BYTES)
+                    text, run, first, last, _, _, at, _ = openings(part, offs, length, roll)
+                    number, ok = base + at[run] - offs[text], np.zeros(len(run), bool)
                     left, right = np.searchsorted(text, busy), np.searchsorted(text, busy, side="right")
                     for d, x, y in zip(busy, left, right, strict=True):
-                        k = dup_of[dup_at[i + d] : dup_at[i + d + 1]]
+                        mine = slice(dup_at[i + d], dup_at[i + d + 1])
+                        k, m = dup_of[mine], dup_m[mine]
                         ok[x:y] = np.isin(number[x:y], k)
-                        if (k < 0).any():  # strings without a run are settled
-                            s = offs[d] - 1 - k[k < 0]
-                            known.append(np.stack([np.full(len(s), d), s, s + length]))
+                        if base == 0 and (k < 0).any():  # strings without a run are settled
+                            s = -1 - k[k < 0]
+                            known.append(np.stack([np.full(len(s), d), s, s + m[k < 0] + (length - 1)]))
                     d, g, g1, z_lo, z_hi = text[ok], at[run[ok]], at[run[ok] + RUN], first[ok], last[ok]
-                    has[d] = True
+                    has[i + d] = True
                 if len(busy) and len(d):
-                    z1, z2 = roll.spans(z_lo, z_hi + length), Rolling(part, 2).spans(z_lo, z_hi + length)
+                    z1, z2 = roll.spans(z_lo, z_hi + length), Rolling(symbols, 2, SYMBOL_BYTES).spans(z_lo, z_hi + length)
                     order = np.lexsort((z2, z1))
                     fresh = np.r_[True, (z1[order][1:] != z1[order][:-1]) | (z2[order][1:] != z2[order][:-1])]
                     group = np.cumsum(fresh) - 1
@@ -211,23 +256,23 @@ def _cut(docs: DataFrame, length: int) -> DataFrame:
                     several = np.empty(len(order), bool)
                     several[order] = (count > 1)[group]
                     if several.any():
-                        known.append(np.stack([d, z_lo, z_hi + length])[:, several])
+                        known.append(np.stack([d, base + z_lo - offs[d], base + z_hi + length - offs[d]])[:, several])
                     rep = order[fresh]
                     yield _kind(
                         2, len(rep), row=pa.array(row[i:j][d[rep]]), z1=pa.array(signed(z1[rep])), z2=pa.array(signed(z2[rep])), phrase=pa.array(signed(roll.spans(g[rep], g1[rep] + TRIGGER))), n=pa.array(np.minimum(count, 2)),
-                        lo=pa.array((z_lo - offs[d])[rep]), hi=pa.array((z_hi - offs[d])[rep]), left_n=pa.array((g - z_lo)[rep]), bytes=pa.array([raw[x : y + length] for x, y in zip(z_lo[rep], z_hi[rep], strict=True)], pa.binary()),
+                        lo=pa.array((base + z_lo - offs[d])[rep]), hi=pa.array((base + z_hi - offs[d])[rep]), left_n=pa.array((g - z_lo)[rep]), bytes=pa.array([raw[x : y + length] for x, y in zip(z_lo[rep], z_hi[rep], strict=True)], pa.binary()),
                     )
                 if known:
                     d, a, b = merged(*np.concatenate(known, axis=1))
-                    has[d] = True
-                    yield _kind(3, len(d), row=pa.array(row[i:j][d]), lo=pa.array(a - offs[d]), hi=pa.array(b - offs[d]))
-                ids, text = batch.column("doc_id").slice(i, j - i), batch.column("text").slice(i, j - i)
-                rest = np.flatnonzero(~has)
-                sha = [hashlib.sha256(raw[offs[d] : offs[d + 1]]).hexdigest() for d in rest]
-                yield _kind(0, len(rest), doc_id=ids.take(pa.array(rest)), n_bytes=pa.array(np.diff(offs)[rest]), sha=pa.array(sha, pa.string()))
-                some = np.flatnonzero(has)
-                if len(some):
-                    yield _kind(1, len(some), row=pa.array(row[i:j][some]), doc_id=ids.take(pa.array(some)), text=text.take(pa.array(some)))
+                    has[i + d] = True
+                    yield _kind(3, len(d), row=pa.array(row[i:j][d]), lo=pa.array(a), hi=pa.array(b))
+            ids, text = batch.column("doc_id"), batch.column("text")
+            rest = np.flatnonzero(~has)
+            sha = [hashlib.sha256(data[offsets[d] : offsets[d + 1]]).hexdigest() for d in rest]
+            yield _kind(0, len(rest), doc_id=ids.take(pa.array(rest)), n_bytes=pa.array(np.diff(offsets)[rest]), sha=pa.array(sha, pa.string()))
+            some = np.flatnonzero(has)
+            if len(some):
+                yield _kind(1, len(some), row=pa.array(row[some]), doc_id=ids.take(pa.array(some)), text=text.take(pa.array(some)))
 
     return docs.select("row", "doc_id", "text", "dup").mapInArrow(lean(cut), _CUT)
 
@@ -308,9 +353,9 @@ def _strings(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Reco
         for i, j in slices(offsets, 1 << 19):
             part, offs = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
             of, off = ragged(np.diff(offs) - length + 1)
-            s = offs[of] + off
+            s, symbols = offs[of] + off, byte_symbols(part)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("row").take(pa.array(of + i)), batch.column("n").take(pa.array(of + i)), pa.array(base[i:j][of] + off), pa.array(signed(Rolling(part).spans(s, s + length))), pa.array(signed(Rolling(part, 2).spans(s, s + length)))],
+                [batch.column("row").take(pa.array(of + i)), batch.column("n").take(pa.array(of + i)), pa.array(base[i:j][of] + off), pa.array(signed(Rolling(symbols, 0, SYMBOL_BYTES).spans(s, s + length))), pa.array(signed(Rolling(symbols, 2, SYMBOL_BYTES).spans(s, s + length)))],
                 names=["row", "n", "at", "w1", "w2"],
             )
 
@@ -321,7 +366,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, owner: str = "query")
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("row", F.xxhash64("text"))
     parts = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
     parsed = _parse(base, length).repartition(parts, "h").sortWithinPartitions("h", "h2")
-    dup = parsed.mapInArrow(lean(_again), "row long, k long").groupBy("row").agg(F.collect_set("k").alias("dup"))
+    dup = parsed.mapInArrow(lean(_again), "row long, k long, m long").groupBy("row").agg(F.collect_set(F.struct("k", "m")).alias("dup"))
     cut = table(_cut(base.join(dup, "row", "left"), length), "pfp-cut", owner, ["kind"])
     records = cut.filter("kind = 2").select("row", "z1", "z2", "phrase", "n", "lo", "hi", "left_n", "bytes")
     heads = records.groupBy("z1", "z2").agg(F.sum("n").alias("n"), *[F.first(c).alias(c) for c in ("row", "phrase", "lo", "left_n", "bytes")])
@@ -347,15 +392,17 @@ def _without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         spans = batch.column("spans").to_pylist()
         for d, own in enumerate(spans):
             text = data[offsets[d] : offsets[d + 1]]
-            edge = np.zeros(len(text) + 1, np.int32)
-            for s in own or ():
-                edge[s["lo"]] += 1
-                edge[s["hi"]] -= 1
-            dead = np.cumsum(edge[:-1]) > 0
+            lo, hi = (np.array([x[k] for x in own or ()], np.int64) for k in ("lo", "hi"))
+            _, lo, hi = merged(np.zeros(len(lo), np.int64), lo, hi)
+            left, at = hashlib.sha256(), 0
+            for a, b in zip(lo.tolist(), hi.tolist(), strict=True):
+                left.update(text[at:a])
+                at = b
+            left.update(text[at:])
             n.append(len(text))
-            gone.append(int(dead.sum()))
-            runs.append(int(dead[:1].sum() + (dead[1:] & ~dead[:-1]).sum()))
-            sha.append(hashlib.sha256(text[~dead].tobytes()).hexdigest())
+            gone.append(int((hi - lo).sum()))
+            runs.append(len(lo))
+            sha.append(left.hexdigest())
         yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "n_bytes": pa.array(n, pa.int64()), "n_removed": pa.array(gone, pa.int64()), "n_spans": pa.array(runs, pa.int64()), "kept_sha256": pa.array(sha, pa.string())})
 
 
