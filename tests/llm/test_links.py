@@ -60,3 +60,50 @@ def test_all_links_of_chains(spark, monkeypatch):
         rows.append((100 + k, " ".join(copy)))
     rows += [(300, rows[-1][1]), (301, rows[-2][1]), (400, " ".join(words[:100])), (401, " ".join([*words[:99], "end"]))]
     assert found(spark, rows, 3, 80) == brute_links(rows, 3, 80)
+
+
+def test_words_that_polynomials_confuse(spark):
+    """Thue-Morse words and their complements differ, however long: no links, alone or among other words."""
+    word, rows = "a", []
+    for k in range(12):
+        word += word.translate(str.maketrans("ab", "ba"))
+        if len(word) in (1024, 4096):
+            other = word.translate(str.maketrans("ab", "ba"))
+            rest = [f"w{k}of{j}" for j in range(30)]
+            rows += [(9 * k + 1, word), (9 * k + 2, other), (9 * k + 3, " ".join([*rest, word])), (9 * k + 4, " ".join([*rest[:15], other, *rest[15:]])), (9 * k + 5, " ".join([*rest, other]))]
+    assert found(spark, rows, 3, 99) == brute_links(rows, 3, 99) == (set(), {i: 0 for i, _ in rows})
+
+
+def test_components_of_many_near_copies(spark, monkeypatch):
+    """3000 copies in 300 components that share their keys, in blocks: components as by brute force, few candidates."""
+    monkeypatch.setattr(jaccard, "GROUP", 700)
+    rng = np.random.default_rng(8)
+    sets = np.tile(np.arange(80), (3000, 1))
+    for k in range(300):
+        own = rng.choice(np.arange(10, 80), 9, replace=False)  # any two components differ in more than links allow
+        sets[k::300, own] = 1000 + 100 * k + np.arange(9)
+    for r in range(300, 3000):
+        at = rng.choice(np.arange(10, 80), int(rng.integers(1, 4)), replace=False)
+        sets[r, at] = 100_000 + 10 * r + np.arange(len(at))
+    bits = np.zeros((3000, 130_010), np.float32)
+    bits[np.arange(3000)[:, None], sets] = 1
+    shared = bits @ bits.T
+    linked, want = 100 * shared >= 90 * (160 - shared), np.full(3000, -1)
+    for r in range(3000):
+        todo = [r] if want[r] < 0 else []
+        while todo:
+            x = todo.pop()
+            if want[x] < 0:
+                want[x] = r
+                todo += np.flatnonzero(linked[x] & (want < 0)).tolist()
+    docs = spark.createDataFrame([(r, " ".join(f"t{x}" for x in row)) for r, row in enumerate(sets.tolist())], "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r.component_id for r in jaccard.near_duplicates(docs, 1, 90, every=False).collect()}
+    assert got == dict(enumerate(want.tolist())) and len(set(want.tolist())) > 200
+
+
+def test_many_rows_without_id(spark):
+    """Rows that share the missing id are told apart by their texts."""
+    rows = [(None, " ".join(f"t{j}" if j != k % 40 else f"own{k % 40}" for j in range(60))) for k in range(400)] + [(7, " ".join(f"t{j}" for j in range(60)))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = jaccard.near_duplicates(docs, 1, 90).collect()
+    assert {r.component_id for r in got} == {7} and sorted(r.n_links for r in got) == [400] * 401

@@ -9,86 +9,103 @@ only token). Two documents link when their Jaccard similarity is ``percent`` per
 2. Equal sets are one class from here on. Prefixes are extended by one, so that two linked sets share at least two tokens
    of their prefixes: either a rare one (indexed alone), or two frequent ones (indexed as pair combinations). Sets of more
    than ``LONG_PREFIX`` prefix tokens index frequent tokens alone, and near the border sets carry both kinds of key.
-3. Groups of a key give candidate pairs; groups of more than ``SMALL`` members first give only their pairs with one member.
-   What links there is merged, and then such a group yields only pairs between different components that pass the length
-   bound and a parity-bitmap bound on the symmetric difference (both exact). So groups of near copies don't emit their
-   square, and no partner is capped.
-4. Candidates pass the bitmap bound (long sets: a wider one) and are then verified on their whole token sets. Candidates
-   that hang together are verified in one place, so that each set moves once; what hangs together in more than
-   ``BLOCK_TOKENS`` tokens is verified pair by pair instead. Only texts that verification may need are moved: a bitmap of
+3. Groups of a key of up to ``SMALL`` members give all their pairs. Larger groups don't: a member that is not of the group's
+   commonest component gives only its ``GIVES`` nearest members of other components (by a parity-bitmap bound on the symmetric
+   difference, which is exact as a bound). What links there is merged, and whoever had more partners than it gave gives eight
+   times as many in the next round, until nobody is left with a pair between two components that was not verified. First
+   each class does so in the one group of its least key, where near copies meet, then in all its groups. Groups of more than
+   ``GROUP`` members are dealt into blocks, and each pair of blocks is a task's work. So groups of near copies don't emit
+   their square, and no partner is capped.
+4. Candidates pass the bitmap bound (larger sets have larger bitmaps) and are then verified on their whole token sets. Those of
+   small groups that hang together are verified in one place, so that each set moves once; what hangs together in more than
+   ``BLOCK_TOKENS`` tokens, and the few of large groups, are verified pair by pair. Only texts that verification may need are moved: a bitmap of
    2 MB, whatever the corpus, holds which these are.
 5. That gives enough links to connect every class with all it is linked with. The rest lie inside components of three
    classes or more: their classes are dealt into blocks of about ``LINK_ROWS`` sets or ``LINK_TOKENS`` tokens, and each pair
-   of blocks, a task's work, counts the shared tokens of all its pairs of fitting length. So all links are found, and a
-   component of many near copies costs its square, as it has that many links.
+   of blocks, a task's work, counts the shared tokens of all its pairs of fitting length. So all links are found; numbers of
+   links are added up where the sets lie, so that pairs need not leave the task. The work of a component of many near copies
+   is its square, as it may have that many links; users who ask for components alone (``every=False``) don't pay for it.
 
+Classes are told apart by 128 bits: where two share the first 64, the second hash names all but one of them.
 Null and empty texts have an empty set and link with nothing. A null doc_id takes part and shows the least id it is linked
-with, or null. Rows may repeat or share ids. An empty table gives no rows.
+with, or null. Rows may repeat or share ids. An empty table gives no rows. Other columns are not read.
 """
 
 from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayfold.llm.common import LOWER, Rolling, column_bytes, lean, mix, signed, slices, table, words
+from wayfold.llm.common import LOWER, chained, column_bytes, lean, mix, ragged, release, signed, slices, table, word_hashes, words
 from wayfold.llm.graph import components
 
 SLOTS = 1 << 21
 BLOCK = 1 << 16
-LONG_PREFIX = 60
+LONG_PREFIX = 20
 SMALL = 8
-BITS, WIDE = 1024, 16384
-WIDE_FROM = 1350
+GIVES, GROUP = 2, 4096
+BITS = ((0, 1024), (1350, 4096), (6000, 16384))  # sets of so many tokens at least have bitmaps of so many bits
 BLOCK_TOKENS = 2_000_000
 BLOOM_BITS = 1 << 24
-LINK_ROWS, LINK_TOKENS = 1024, 500_000
+LINK_ROWS, LINK_TOKENS = 4096, 1_000_000
 _NONE = (1 << 63) - 1
 _PAIRS = "a long, b long"
 
 
-def token_sets(data: np.ndarray, offsets: np.ndarray, ngram: int) -> Iterator[np.ndarray]:
-    """The set of each text: its distinct n-gram hashes, ascending."""
+def _grams(data: np.ndarray, offsets: np.ndarray, ngram: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """n-gram hashes of slices of texts, one text after another, and how many each text has."""
     for i, j in slices(offsets):
         lo, hi = offsets[i], offsets[j]
         part, offs = LOWER[data[lo:hi]], offsets[i : j + 1] - lo
         starts, ends, bounds = words(part, offs)
-        if not len(starts):
-            yield from (np.zeros(0, np.uint64) for _ in range(j - i))
-            continue
-        word = Rolling(part).spans(starts, ends)
-        roll = Rolling(word, 1)
-        n = len(word)
-        all_ = roll.spans(np.arange(n - ngram + 1), np.arange(ngram, n + 1)) if n >= ngram else np.zeros(0, np.uint64)
-        for a, b in zip(bounds[:-1], bounds[1:], strict=True):
-            if b - a >= ngram:
-                yield np.unique(all_[a : b - ngram + 1])
-            elif b > a:
-                yield roll.spans(np.array([a]), np.array([b]))
-            else:
-                yield np.zeros(0, np.uint64)
+        word, many = word_hashes(part, starts, ends), np.diff(bounds)
+        count = np.where(many >= ngram, many - ngram + 1, np.minimum(many, 1))
+        of, place = ragged(count)
+        at = bounds[:-1][of] + place
+        all_ = chained(word, ngram)
+        grams = all_[np.minimum(at, max(len(all_) - 1, 0))] if len(all_) else np.zeros(len(at), np.uint64)
+        begin = np.cumsum(count) - count
+        for d in np.flatnonzero((many > 0) & (many < ngram)):
+            grams[begin[d]] = chained(word[bounds[d] : bounds[d + 1]], int(many[d]))[0]
+        yield grams, count
+
+
+def slice_sets(data: np.ndarray, offsets: np.ndarray, ngram: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The sets of slices of texts: distinct n-gram hashes of one text after another, ascending in each, and their sizes."""
+    for grams, count in _grams(data, offsets, ngram):
+        end = np.cumsum(count)
+        for a, b in zip((end - count).tolist(), end.tolist(), strict=True):
+            grams[a:b].sort()
+        first = np.ones(len(grams), bool)
+        first[1:] = grams[1:] != grams[:-1]
+        first[(end - count)[count > 0]] = True
+        places = np.r_[0, np.cumsum(first)]
+        yield grams[first], places[end] - places[end - count]
+
+
+def token_sets(data: np.ndarray, offsets: np.ndarray, ngram: int) -> Iterator[np.ndarray]:
+    """The set of each text: its distinct n-gram hashes, ascending."""
+    for tokens, size in slice_sets(data, offsets, ngram):
+        end = np.cumsum(size)
+        yield from (tokens[a:b] for a, b in zip((end - size).tolist(), end.tolist(), strict=True))
 
 
 def _sketch(texts: DataFrame, ngram: int) -> np.ndarray:
-    """How many documents have a token of each slot."""
+    """How often tokens of each slot occur."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(SLOTS, np.uint32)
         for batch in batches:
-            held: list[np.ndarray] = []
-            for s in token_sets(*column_bytes(batch.column("text")), ngram):
-                held.append(s)
-                if len(held) == 512:
-                    total += np.bincount((np.concatenate(held) >> np.uint64(43)).astype(np.int64), minlength=SLOTS).astype(np.uint32)
-                    held = []
-            if held:
-                total += np.bincount((np.concatenate(held) >> np.uint64(43)).astype(np.int64), minlength=SLOTS).astype(np.uint32)
+            for grams, _ in _grams(*column_bytes(batch.column("text")), ngram):
+                slot, many = np.unique((grams >> np.uint64(43)).astype(np.int32), return_counts=True)
+                total[slot] += many.astype(np.uint32)
         for k in range(0, SLOTS, BLOCK):
             if (part := total[k : k + BLOCK]).any():
                 yield pa.RecordBatch.from_pydict({"block": pa.array([k // BLOCK], pa.int32()), "counts": pa.array([zlib.compress(part.tobytes(), 1)], pa.binary())})
@@ -119,41 +136,64 @@ def _need(n: np.ndarray, percent: int) -> np.ndarray:
     return -(-percent * n // 100)
 
 
+def _scrambled(s: np.ndarray) -> np.ndarray:
+    return mix(s + np.uint64(0x9E3779B97F4A7C15))
+
+
+def _names(m: np.ndarray) -> tuple[int, int]:
+    """Two hashes of a set, from its scrambled tokens."""
+    if not len(m):
+        return 0, 0
+    return int(signed(mix(np.add.reduce(m, keepdims=True) + np.uint64(len(m))))[0]), int(signed(np.bitwise_xor.reduce(mix(m), keepdims=True))[0])
+
+
 def _profiles(texts: DataFrame, frequent: np.ndarray, ngram: int, percent: int) -> DataFrame:
-    """For each row: id, n, h1, h2 (hashes of the set), prefix (tokens, rare ones first), rare (how many), bits and wide
-    (parity bitmaps; wide for long sets only)."""
+    """For each row: id, rep (names the row's text), n, h1, h2 (hashes of the set), prefix (tokens, rare ones first), rare (how
+    many) and bits (a parity bitmap, larger for larger sets)."""
     held = texts.sparkSession.sparkContext.broadcast(np.packbits(frequent))
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often = np.unpackbits(held.value).astype(bool)
+        least = _least_size(percent)
         for batch in batches:
-            n, h1, h2, prefix, rare, bits, wides = [], [], [], [], [], [], []
-            for s in token_sets(*column_bytes(batch.column("text")), ngram):
-                k = len(s)
-                n.append(k)
-                m = mix(s + np.uint64(0x9E3779B97F4A7C15))
-                h1.append(int(signed(mix(np.add.reduce(m, keepdims=True) + np.uint64(k)))[0]) if k else 0)
-                h2.append(int(signed(np.bitwise_xor.reduce(mix(m), keepdims=True))[0]) if k else 0)
-                if k >= _least_size(percent):
-                    length = min(k, k - int(_need(np.int64(k), percent)) + 2)
-                    is_often = often[(s >> np.uint64(43)).astype(np.int64)]
-                    low, high = s[~is_often][:length], s[is_often]
-                    prefix.append(np.concatenate([low, high[: length - len(low)]]).tobytes())
+            n, h1, h2, prefix, rare, bits = [], [], [], [], [], []
+            for tokens, size in slice_sets(*column_bytes(batch.column("text")), ngram):
+                end = np.cumsum(size)
+                begin = end - size
+                m = _scrambled(tokens)
+                sums, odds = np.r_[np.uint64(0), np.cumsum(m)], np.r_[np.uint64(0), np.bitwise_xor.accumulate(mix(m))]
+                n.append(size)
+                h1.append(np.where(size > 0, signed(mix(sums[end] - sums[begin] + size.astype(np.uint64))), 0))
+                h2.append(signed(odds[end] ^ odds[begin]))
+                is_often = often[(tokens >> np.uint64(43)).astype(np.int64)]
+                length = np.minimum(size, size - _need(size, percent) + 2)
+                place = (m >> np.uint64(50)).astype(np.int64)
+                for a, b, k in zip(begin.tolist(), end.tolist(), length.tolist(), strict=True):
+                    if b - a < least:
+                        prefix.append(b"")
+                        rare.append(0)
+                        bits.append(b"")
+                        continue
+                    s, o = tokens[a:b], is_often[a:b]
+                    low = s[~o][:k]
+                    prefix.append(low.tobytes() + s[o][: k - len(low)].tobytes())
                     rare.append(len(low))
-                    wide = (np.bincount((m >> np.uint64(50)).astype(np.int64), minlength=WIDE) & 1).astype(bool)
-                    bits.append(np.packbits(np.bitwise_xor.reduce(wide.reshape(WIDE // BITS, BITS), axis=0)).tobytes())
-                    wides.append(np.packbits(wide).tobytes() if k >= WIDE_FROM else None)
-                else:
-                    prefix.append(b"")
-                    rare.append(0)
-                    bits.append(b"")
-                    wides.append(None)
+                    wide = max(w for from_, w in BITS if b - a >= from_)
+                    odd = np.bincount(place[a:b] & (wide - 1), minlength=wide) & 1
+                    bits.append(np.packbits(odd.astype(bool)).tobytes())
+            n, h1, h2 = (np.concatenate([*x, np.zeros(0, np.int64)]) for x in (n, h1, h2))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(prefix, pa.binary()), pa.array(rare, pa.int32()), pa.array(bits, pa.binary()), pa.array(wides, pa.binary())],
-                names=["doc_id", "n", "h1", "h2", "prefix", "rare", "bits", "wide"],
+                [batch.column("doc_id"), batch.column("rep"), pa.array(n), pa.array(h1), pa.array(h2), pa.array(prefix, pa.binary()), pa.array(rare, pa.int32()), pa.array(bits, pa.binary())],
+                names=["doc_id", "rep", "n", "h1", "h2", "prefix", "rare", "bits"],
             )
 
-    return texts.mapInArrow(lean(make), "doc_id long, n long, h1 long, h2 long, prefix binary, rare int, bits binary, wide binary")
+    return texts.mapInArrow(lean(make), "doc_id long, rep long, n long, h1 long, h2 long, prefix binary, rare int, bits binary")
+
+
+@lru_cache(maxsize=None)
+def _two_of(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs of n places; n is at most a prefix's length below ``LONG_PREFIX``."""
+    return np.triu_indices(n, 1)
 
 
 def _keys(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
@@ -166,7 +206,7 @@ def _keys(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Record
                 t = np.frombuffer(raw, np.uint64)
                 mine, often = [t[:rare]], t[rare:]
                 if n <= _long(percent) * 100 // percent + 1 and len(often) > 1:
-                    x, y = np.triu_indices(len(often), 1)
+                    x, y = _two_of(len(often))
                     mine.append(mix(often[x] + mix(often[y])))
                 if n >= _long(percent):
                     mine.append(mix(often ^ np.uint64(0x5851F42D4C957F2D)))
@@ -179,20 +219,20 @@ def _keys(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Record
                     key, row, held = [], [], 0
 
 
-def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, np.ndarray]]:
+def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
     """Batches sorted by key, cut anew so that no group spans two."""
-    left: pa.Table | None = None
+    left: list[pa.RecordBatch] = []
     for batch in batches:
         if not batch.num_rows:
             continue
-        both = pa.Table.from_batches([batch]) if left is None else pa.concat_tables([left, pa.Table.from_batches([batch])])
-        key = both.column("key").to_numpy()
+        key = batch.column("key").to_numpy()
         cut = int(np.searchsorted(key, key[-1], side="left"))
-        left = both.slice(cut)
-        if cut:
-            yield both.slice(0, cut)
-    if left is not None:
-        yield left
+        if cut or left and key[0] != left[-1].column("key")[-1].as_py():
+            yield pa.Table.from_batches([*left, batch.slice(0, cut)] if cut else left)
+            left = []
+        left.append(batch.slice(cut))
+    if left:
+        yield pa.Table.from_batches(left)
 
 
 def _runs(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -201,72 +241,108 @@ def _runs(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _pairs(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """Of small groups all pairs of fitting length; of large ones each member with the least; rows of large groups as (c, null, key)."""
-    for t in _grouped(batches):
-        key, c, n = (t.column(x).to_numpy() for x in ("key", "c", "n"))
+    """Of small groups all pairs of fitting length; rows of large ones as (c, null, key). Never holds a whole large group."""
+
+    def told(key: np.ndarray, c: np.ndarray, n: np.ndarray, known: int | None) -> pa.RecordBatch:
         starts, size = _runs(key)
-        out_a, out_b = [], []
+        large = size > SMALL
+        if known is not None and len(key):
+            large[0] |= key[0] == known
+        out_a, out_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for m in range(2, SMALL + 1):
-            s = starts[size == m]
+            s = starts[(size == m) & ~large]
             for x in range(m) if len(s) else ():
                 for y in range(x + 1, m):
                     fit = 100 * n[s + x] >= percent * n[s + y]  # n ascends in a group
                     out_a.append(c[s + x][fit])
                     out_b.append(c[s + y][fit])
-        large = size > SMALL
         big = np.repeat(large, size)
-        which = np.repeat(np.arange(len(starts)), size)
-        if large.any():
-            least = np.minimum.reduceat(c, starts)[which][big]
-            own = c[big]
-            out_a.append(least[own != least])
-            out_b.append(own[own != least])
-        a = np.concatenate(out_a) if out_a else np.zeros(0, np.int64)
-        b = np.concatenate(out_b) if out_b else np.zeros(0, np.int64)
+        a, b = np.concatenate(out_a), np.concatenate(out_b)
         pair = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1) if len(a) else np.zeros((2, 0), np.int64)
-        k = int(big.sum())
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array(np.concatenate([pair[0], c[big]])),
-                pa.array(np.concatenate([pair[1], np.zeros(k, np.int64)])),
-                pa.array(np.concatenate([np.zeros(len(pair[0]), np.int64), key[big]])),
-                pa.array(np.concatenate([np.zeros(len(pair[0]), np.int64), n[big]])),
-                pa.array(np.concatenate([np.zeros(len(pair[0]), bool), np.ones(k, bool)])),
-            ],
-            names=["a", "b", "key", "n", "large"],
+        k, zeros = int(big.sum()), np.zeros(pair.shape[1], np.int64)
+        return pa.RecordBatch.from_arrays(
+            [pa.array(np.r_[pair[0], c[big]]), pa.array(np.r_[pair[1], np.zeros(k, np.int64)]), pa.array(np.r_[zeros, key[big]]), pa.array(np.r_[zeros != 0, np.ones(k, bool)])],
+            names=["a", "b", "key", "large"],
         )
 
+    held = tuple(np.zeros(0, np.int64) for _ in range(3))
+    known: int | None = None  # the last group's key, once it is known to be large
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        key, c, n = (np.concatenate([h, batch.column(x).to_numpy()]) for h, x in zip(held, ("key", "c", "n"), strict=True))
+        cut = int(np.searchsorted(key, key[-1], side="left"))
+        last = int(key[-1])
+        if known == last or len(key) - cut > SMALL:
+            yield told(key, c, n, known)
+            known, held = last, tuple(np.zeros(0, np.int64) for _ in range(3))
+        else:
+            yield told(key[:cut], c[:cut], n[:cut], known)
+            known, held = None, (key[cut:], c[cut:], n[cut:])
+    yield told(*held, known)
+
+
+def _nearest(batches: Iterator[pa.RecordBatch], percent: int, gives: int) -> Iterator[pa.RecordBatch]:
+    """Candidates of a large group: each member that is not of its commonest component with its ``gives`` nearest members of
+    other components, of those that pass the bounds on length and symmetric difference; ``more``: it has others. A pair that
+    several groups of a task give comes once."""
+    held: list[np.ndarray] = []
+
+    def once() -> pa.RecordBatch:
+        a, b, more = np.unique(np.concatenate([*held, np.zeros((3, 0), np.int64)], axis=1), axis=1)
+        held.clear()
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(more.astype(bool))], names=["a", "b", "more"])
 
-def _cross(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """Pairs of a large group between different components that pass the bounds on length and symmetric difference."""
     for t in _grouped(batches):
         key, c, n, label = (t.column(x).to_numpy() for x in ("key", "c", "n", "label"))
-        bits = np.frombuffer(b"".join(t.column("bits").to_pylist()), np.uint64).reshape(len(key), BITS // 64)
-        a, b = [], []
+        raw = t.column("bits").to_pylist()
+        size = np.array([len(r) for r in raw])  # ascends with n
         for s, m in zip(*_runs(key), strict=True):
-            if (label[s : s + m] == label[s]).all():
+            nn, cc, own = n[s : s + m], c[s : s + m], size[s : s + m]
+            names, of, many = np.unique(label[s : s + m], return_inverse=True, return_counts=True)
+            if len(names) == 1:
                 continue
-            for x in range(s, s + m - 1):  # n ascends: partners lie in a stretch
-                end = s + int(np.searchsorted(n[s : s + m], n[x] * 100 // percent, side="right"))
-                y = np.arange(x + 1, end)
-                y = y[label[y] != label[x]]
-                if len(y):
-                    apart = np.bitwise_count(bits[y] ^ bits[x]).sum(axis=1, dtype=np.int64)
-                    y = y[apart * (100 + percent) <= (100 - percent) * (n[y] + n[x])]
-                    a.append(np.full(len(y), c[x]))
-                    b.append(c[y])
-        if a:
-            a, b = np.concatenate(a), np.concatenate(b)
-            pair = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
-            yield pa.RecordBatch.from_arrays([pa.array(pair[0]), pa.array(pair[1])], names=["a", "b"])
+            maps = {b: (k := int(np.searchsorted(own, b)), _folded(raw[s + k : s + m], b)) for b in np.unique(own).tolist()}
+            for x in np.flatnonzero(of != many.argmax()):  # n ascends: partners lie in a stretch
+                lo, hi = int(np.searchsorted(nn, -(-percent * nn[x] // 100))), int(np.searchsorted(nn, nn[x] * 100 // percent, side="right"))
+                y = lo + np.flatnonzero(of[lo:hi] != of[x])
+                if not len(y):
+                    continue
+                common = np.minimum(own[y], own[x])
+                apart = np.empty(len(y), np.int64)
+                for b in np.unique(common).tolist():
+                    k, rows = maps[b]
+                    at = common == b
+                    apart[at] = np.bitwise_count(rows[y[at] - k] ^ rows[x - k]).sum(axis=1, dtype=np.int64)
+                fit = apart * (100 + percent) <= (100 - percent) * (nn[y] + nn[x])
+                y, far = y[fit], apart[fit] / (nn[y[fit]] + nn[x])
+                more = len(y) > gives
+                if more:
+                    y = y[np.argpartition(far, gives)[:gives]]
+                held.append(np.stack([np.minimum(cc[x], cc[y]), np.maximum(cc[x], cc[y]), np.full(len(y), more)]))
+        if sum(h.shape[1] for h in held) > 200_000:
+            yield once()
+    yield once()
+
+
+def _folded(raw: list[bytes], size: int) -> np.ndarray:
+    """Bitmaps of ``size`` bytes or more as rows of ``size`` bytes: parities of the parts add up."""
+    if all(len(r) == size for r in raw):
+        return np.frombuffer(b"".join(raw), np.uint64).reshape(len(raw), size // 8)
+    return np.stack([np.bitwise_xor.reduce(np.frombuffer(r, np.uint64).reshape(-1, size // 8), axis=0) for r in raw])
 
 
 def _apart(p: list[bytes], q: list[bytes]) -> np.ndarray:
-    x, y = (np.frombuffer(b"".join(v), np.uint64).reshape(len(v), -1) for v in (p, q))
-    return np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
+    """A lower bound of how many tokens only one of two sets has, by their bitmaps."""
+    size = np.array([min(len(a), len(b)) for a, b in zip(p, q, strict=True)])
+    out = np.zeros(len(p), np.int64)
+    for b in np.unique(size).tolist():
+        at = np.flatnonzero(size == b)
+        out[at] = np.bitwise_count(_folded([p[i] for i in at], b) ^ _folded([q[i] for i in at], b)).sum(axis=1, dtype=np.int64)
+    return out
 
 
-def _bounded(pairs: DataFrame, classes: DataFrame, percent: int, owner: str) -> DataFrame:
+def _bounded(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """Pairs that pass the bounds on length and symmetric difference."""
 
     def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -276,21 +352,13 @@ def _bounded(pairs: DataFrame, classes: DataFrame, percent: int, owner: str) ->
                 ok = (_apart(t.column("x").to_pylist(), t.column("y").to_pylist()) * (100 + percent) <= (100 - percent) * (na + nb)) & (100 * np.minimum(na, nb) >= percent * np.maximum(na, nb))
                 yield t.select(["a", "b"]).filter(pa.array(ok))
 
-    def through(pairs: DataFrame, kind: str) -> DataFrame:
-        mine = classes.filter(F.col(kind).isNotNull())
-        x = mine.select(F.col("c").alias("a"), F.col("n").alias("na"), F.col(kind).alias("x"))
-        y = mine.select(F.col("c").alias("b"), F.col("n").alias("nb"), F.col(kind).alias("y"))
-        return pairs.join(x, "a").join(y, "b").select("a", "b", "na", "nb", "x", "y").mapInArrow(lean(bound), _PAIRS)
-
-    narrow = table(through(pairs, "bits"), "jaccard-bounded", owner)
-    long = classes.filter("wide is not null").select("c")
-    both = narrow.join(long.withColumnRenamed("c", "a"), "a", "left_semi").join(long.withColumnRenamed("c", "b"), "b", "left_semi").select("a", "b")
-    rest = narrow.join(both, ["a", "b"], "left_anti")
-    return rest.unionByName(through(both, "wide"))
+    x = classes.select(F.col("c").alias("a"), F.col("n").alias("na"), F.col("bits").alias("x"))
+    y = classes.select(F.col("c").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("y"))
+    return pairs.join(x, "a").join(y, "b").select("a", "b", "na", "nb", "x", "y").mapInArrow(lean(bound), _PAIRS)
 
 
 def _bloom(ids: DataFrame) -> np.ndarray:
-    """A bitmap of the hashes of the column ``id``."""
+    """A bitmap of the hashes in the column ``rep``."""
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.zeros(BLOOM_BITS, bool)
@@ -304,7 +372,7 @@ def _bloom(ids: DataFrame) -> np.ndarray:
         return pd.DataFrame({"block": rows["block"].iloc[:1], "bits": [np.bitwise_or.reduce([np.frombuffer(b, np.uint8) for b in rows["bits"]]).tobytes()]})
 
     out = np.zeros(BLOOM_BITS // 8, np.uint8)
-    for r in ids.select(F.xxhash64("id")).mapInArrow(lean(mark), "block int, bits binary").groupBy("block").applyInPandas(any_of, "block int, bits binary").collect():  # 2 MB at most
+    for r in ids.select("rep").mapInArrow(lean(mark), "block int, bits binary").groupBy("block").applyInPandas(any_of, "block int, bits binary").collect():  # 2 MB at most
         out[r["block"] * BLOCK // 8 : (r["block"] + 1) * BLOCK // 8] = np.frombuffer(r["bits"], np.uint8)
     return out
 
@@ -320,37 +388,48 @@ _LINKS = "a long, b long, shared long"
 
 
 def _sets(who: DataFrame, texts: DataFrame, ngram: int, owner: str) -> DataFrame:
-    """Whole token sets of the classes ``who`` (c, least, label, big): c, tokens, label, big; a class may come twice."""
-    needed = texts.sparkSession.sparkContext.broadcast(_bloom(who.select(F.col("least").alias("id"))))
+    """Whole token sets of the classes ``who`` (c, rep, label, big): c, tokens, label, big; a class may come twice."""
+    needed = texts.sparkSession.sparkContext.broadcast(_bloom(who))
 
     def maybe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done: set[int] = set()  # a task passes each text on once, however often the row is repeated
         for batch in batches:
-            h = batch.column("h").to_numpy().view(np.uint64) % np.uint64(BLOOM_BITS)
-            yield batch.select(["least", "text"]).filter(pa.array((needed.value[(h >> np.uint64(3)).astype(np.int64)] >> (7 - (h & np.uint64(7)).astype(np.uint8)) & 1).astype(bool)))
+            rep = batch.column("rep").to_numpy()
+            h = rep.view(np.uint64) % np.uint64(BLOOM_BITS)
+            ok = (needed.value[(h >> np.uint64(3)).astype(np.int64)] >> (7 - (h & np.uint64(7)).astype(np.uint8)) & 1).astype(bool)
+            for i in np.flatnonzero(ok).tolist():
+                if (r := int(rep[i])) in done:
+                    ok[i] = False
+                done.add(r)
+            yield batch.filter(pa.array(ok))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             c, tokens, labels, big = [], [], [], []
             for w, s, v, g in zip(batch.column("c").to_pylist(), token_sets(*column_bytes(batch.column("text")), ngram), batch.column("label").to_pylist(), batch.column("big").to_pylist(), strict=True):
-                m = mix(s + np.uint64(0x9E3779B97F4A7C15))
-                if len(s) and int(signed(mix(np.add.reduce(m, keepdims=True) + np.uint64(len(s))))[0]) == w:  # an id may have several texts
+                if len(s) and w in _names(_scrambled(s)):  # two texts may have one rep
                     c.append(w)
                     tokens.append(s.tobytes())
                     labels.append(v)
                     big.append(g)
             yield pa.RecordBatch.from_pydict({"c": pa.array(c, pa.int64()), "tokens": pa.array(tokens, pa.binary()), "label": pa.array(labels, pa.int64()), "big": pa.array(big, pa.bool_())})
 
-    keyed = texts.select(F.coalesce("doc_id", F.lit(_NONE)).alias("least"), "text").withColumn("h", F.xxhash64("least")).mapInArrow(lean(maybe), "least long, text string")
-    got = keyed.join(who, "least").select("c", "text", "label", "big").mapInArrow(lean(sets), "c long, tokens binary, label long, big boolean")
+    keyed = texts.select("rep", "text").mapInArrow(lean(maybe), "rep long, text string")
+    got = keyed.join(who, "rep").select("c", "text", "label", "big").mapInArrow(lean(sets), "c long, tokens binary, label long, big boolean")
     return table(got, "jaccard-sets", owner)
 
 
-def _verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame, ngram: int, percent: int, owner: str) -> DataFrame:
-    """Pairs whose whole sets reach the threshold: a, b, shared."""
-    label = components(pairs, owner)
-    who = classes.select("c", "least", "n").join(label.withColumnRenamed("v", "c"), "c")
-    size = who.groupBy("label").agg(F.sum("n").alias("tokens")).filter(F.col("tokens") > BLOCK_TOKENS).select("label", F.lit(True).alias("big"))
-    who = table(who.join(size, "label", "left").select("c", "least", "label", F.coalesce("big", F.lit(False)).alias("big")), "jaccard-who", owner)
+def _verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame, ngram: int, percent: int, owner: str, few: bool = False) -> DataFrame:
+    """Pairs whose whole sets reach the threshold: a, b, shared. ``few``: about as many pairs as sets, so each by itself."""
+    if few:
+        ends = pairs.select(F.col("a").alias("c")).unionByName(pairs.select(F.col("b").alias("c"))).distinct()
+        who = classes.select("c", "rep").join(ends, "c").select("c", "rep", F.lit(0).cast("long").alias("label"), F.lit(True).alias("big"))
+        who = table(who, "jaccard-who", owner)
+    else:
+        label = components(pairs, owner)
+        who = classes.select("c", "rep", "n").join(label.withColumnRenamed("v", "c"), "c")
+        size = who.groupBy("label").agg(F.sum("n").alias("tokens")).filter(F.col("tokens") > BLOCK_TOKENS).select("label", F.lit(True).alias("big"))
+        who = table(who.join(size, "label", "left").select("c", "rep", "label", F.coalesce("big", F.lit(False)).alias("big")), "jaccard-who", owner)
     got = _sets(who, texts, ngram, owner)
 
     def together(mine: pa.Table, there: pa.Table) -> pa.Table:
@@ -365,11 +444,17 @@ def _verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame, ngram: int
             ok = pa.array([100 * k >= percent * u for k, u in out], pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array([k for k, _ in out], pa.int64())], names=["a", "b", "shared"]).filter(ok)
 
+    one = got.filter("big").dropDuplicates(["c"])
+
+    def by_pair(some: DataFrame) -> DataFrame:
+        full = some.select("a", "b").join(one.select(F.col("c").alias("a"), F.col("tokens").alias("x")), "a").join(one.select(F.col("c").alias("b"), F.col("tokens").alias("y")), "b")
+        return full.select("a", "b", "x", "y").mapInArrow(lean(apiece), _LINKS)
+
+    if few:
+        return by_pair(pairs)
     placed = pairs.join(who.select(F.col("c").alias("a"), "label", "big"), "a")
     near = placed.filter("not big").select("label", "a", "b").groupBy("label").cogroup(got.filter("not big").select("label", "c", "tokens").groupBy("label")).applyInArrow(together, _LINKS)
-    one = got.filter("big").dropDuplicates(["c"])
-    full = placed.filter("big").select("a", "b").join(one.select(F.col("c").alias("a"), F.col("tokens").alias("x")), "a").join(one.select(F.col("c").alias("b"), F.col("tokens").alias("y")), "b")
-    return near.unionByName(full.select("a", "b", "x", "y").mapInArrow(lean(apiece), _LINKS))
+    return near.unionByName(by_pair(placed.filter("big")))
 
 
 def _linked(n: np.ndarray, tokens: np.ndarray, first: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -397,93 +482,151 @@ def _linked(n: np.ndarray, tokens: np.ndarray, first: np.ndarray, percent: int)
         yield np.full(len(ok), x), there[lo + ok], shared[ok]
 
 
-def _all_links(links: DataFrame, classes: DataFrame, texts: DataFrame, ngram: int, percent: int, owner: str) -> DataFrame:
-    """All links, from ``links`` that connect each class with all it is linked with."""
-    label = components(links.select("a", "b"), owner)
-    sized = label.withColumnRenamed("v", "c").join(classes.select("c", "least", "n"), "c")
+def _all_links(links: DataFrame, label: DataFrame, classes: DataFrame, texts: DataFrame, ngram: int, percent: int, owner: str, count: bool = False) -> DataFrame:
+    """All links, from ``links`` that connect each class with all it is linked with. With ``count``, instead: c and others
+    (how many rows of other classes it is linked with), added up where the sets lie."""
+    mine = f"{owner}-try"
+    sized = label.withColumnRenamed("v", "c").join(classes.select("c", "rep", "n", "docs"), "c")
     many = sized.groupBy("label").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("tokens")).filter("k > 2")
-    many = table(many.select("label", F.greatest(F.ceil(F.col("k") / LINK_ROWS), F.ceil(F.col("tokens") / LINK_TOKENS)).cast("int").alias("blocks")), "jaccard-many", owner)
-    if many.isEmpty():
-        return links
-    who = table(sized.join(many, "label").select("c", "least", "label", F.lit(False).alias("big")), "jaccard-who", owner)
-    sets = _sets(who, texts, ngram, owner).dropDuplicates(["c"]).join(many, "label")
+    many = table(many.select("label", F.greatest(F.ceil(F.col("k") / LINK_ROWS), F.ceil(F.col("tokens") / LINK_TOKENS)).cast("int").alias("blocks")), "jaccard-many", mine)
+    who = table(sized.join(many, "label").select("c", "rep", "docs", "label", F.lit(False).alias("big")), "jaccard-who", mine)
+    sets = _sets(who, texts, ngram, mine).dropDuplicates(["c"]).join(many, "label").join(who.select("c", "docs"), "c")
     dealt = sets.withColumn("block", F.pmod(F.xxhash64("c"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("label", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "c", "tokens")
+    dealt = dealt.select("label", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "c", "docs", "tokens")
 
     def among(t: pa.Table) -> pa.Table:
         i, j = t.column("i")[0].as_py(), t.column("j")[0].as_py()
-        c, block, raw = t.column("c").to_numpy(), t.column("block").to_numpy(), t.column("tokens").to_pylist()
+        c, block, docs, raw = t.column("c").to_numpy(), t.column("block").to_numpy(), t.column("docs").to_numpy(), t.column("tokens").to_pylist()
         n = np.array([len(x) // 8 for x in raw])
         order = np.lexsort((c, n))
+        c, docs = c[order], docs[order]
         a, b, shared = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        others = np.zeros(len(c), np.int64)
         if len(np.unique(block)) == (1 if i == j else 2):
-            c = c[order]
             for x, y, k in _linked(n[order], np.frombuffer(b"".join([raw[o] for o in order]), np.uint64), block[order], percent):
-                a.append(np.minimum(c[x], c[y]))
-                b.append(np.maximum(c[x], c[y]))
-                shared.append(k)
+                if count:
+                    np.add.at(others, x, docs[y])
+                    np.add.at(others, y, docs[x])
+                else:
+                    a.append(np.minimum(c[x], c[y]))
+                    b.append(np.maximum(c[x], c[y]))
+                    shared.append(k)
+        if count:
+            return pa.table({"c": c, "others": others}).filter(pa.array(others > 0))
         return pa.table({"a": np.concatenate(a), "b": np.concatenate(b), "shared": np.concatenate(shared)})
 
-    within = dealt.groupBy("label", "i", "j").applyInArrow(among, _LINKS)
+    within = dealt.groupBy("label", "i", "j").applyInArrow(among, "c long, others long" if count else _LINKS)
     pairs = links.join(label.join(many, "label", "left_anti").select(F.col("v").alias("a")), "a", "left_semi").select("a", "b", "shared")
-    return table(pairs.unionByName(within), "jaccard-links", owner)
+    if not count:
+        return _settled(pairs.unionByName(within), "jaccard-links", owner)
+    docs = classes.select(F.col("c").alias("other"), "docs")
+    ends = pairs.select(F.col("a").alias("c"), F.col("b").alias("other")).unionByName(pairs.select(F.col("b").alias("c"), F.col("a").alias("other")))
+    two = ends.join(docs, "other").select("c", F.col("docs").alias("others"))
+    return _settled(two.unionByName(within).groupBy("c").agg(F.sum("others").alias("others")), "jaccard-links", owner)
+
+
+def row_hash() -> Column:
+    return F.xxhash64(F.col("doc_id").cast("long"), F.col("text"))
+
+
+def _texts(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_hash().alias("rep"), "text")
 
 
 def join(docs: DataFrame, ngram: int = 3, percent: int = 90, owner: str = "query", every: bool = True) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Self-join of ``docs`` (doc_id, text). Returns (profiles, classes, links).
 
-    profiles: doc_id, n, h1 for each row. classes: c (the h1 of its rows), n, docs (how many rows), least (its least doc_id).
+    profiles: doc_id, n, c for each row. classes: c, n, docs (how many rows), least (its least doc_id).
     links: a, b, shared: all linked pairs of classes, a < b; without ``every`` only enough of them to connect every class
     with all it is linked with, for users who ask for components alone."""
-    profiles, classes, links = _connect(docs, ngram, percent, owner)
+    profiles, classes, links, label = _connect(docs, ngram, percent, owner)
     if every:
-        links = _all_links(links, classes, docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), ngram, percent, owner)
+        links = _all_links(links, label, classes, _texts(docs), ngram, percent, owner)
     return profiles, classes, links
 
 
-def _connect(docs: DataFrame, ngram: int, percent: int, owner: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """What ``join`` returns, with enough links to connect every class with all it is linked with."""
+def _classes(profiles: DataFrame, owner: str) -> tuple[DataFrame, DataFrame]:
+    """Profiles with the name ``c`` of their class (null for empty sets), and the classes."""
+    least = F.min(F.coalesce("doc_id", F.lit(_NONE))).alias("least")
+    few = profiles.filter("n > 0").groupBy("h1", "h2").agg(least, F.min("rep").alias("rep"), F.count(F.lit(1)).alias("docs"), *[F.first(x).alias(x) for x in ("n", "rare", "prefix", "bits")])
+    few = table(few, "jaccard-classes", owner)
+    twice = few.groupBy("h1").agg(F.count(F.lit(1)).alias("k"), F.min("h2").alias("low")).filter("k > 1").select("h1", "low")
+    if twice.isEmpty():
+        return profiles.withColumn("c", F.when(F.col("n") > 0, F.col("h1"))), few.withColumnRenamed("h1", "c").drop("h2")
+    c = F.when(F.col("n") > 0, F.when(F.col("h2") > F.col("low"), F.col("h2")).otherwise(F.col("h1")))
+    return profiles.join(twice, "h1", "left").withColumn("c", c).drop("low"), few.join(twice, "h1", "left").withColumn("c", c).drop("low", "h1", "h2")
+
+
+def _settled(df: DataFrame, tag: str, owner: str) -> DataFrame:
+    """``df`` written; the tables of the trial it came from go."""
+    out = table(df, tag, owner)
+    release(f"{owner}-try")
+    return out
+
+
+def _connect(docs: DataFrame, ngram: int, percent: int, owner: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """What ``join`` returns, with enough links to connect every class with all it is linked with; and the components (v, label)
+    of linked classes."""
     spark: SparkSession = docs.sparkSession
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    texts = _texts(docs)
     counts = _sketch(texts.select("text"), ngram)
     load = float(counts.mean())
-    profiles = table(_profiles(texts, counts > load + 8 * load**0.5 + 24, ngram, percent), "jaccard-profiles", owner)
-    least = F.min(F.coalesce("doc_id", F.lit(_NONE))).alias("least")
-    few = profiles.filter("n > 0").groupBy(F.col("h1").alias("c")).agg(least, F.count(F.lit(1)).alias("docs"), F.first("n").alias("n"), F.first("rare").alias("rare"), F.first("prefix").alias("prefix"), F.first("bits").alias("bits"), F.first("wide").alias("wide"))
-    classes = table(few, "jaccard-classes", owner)
+    profiles, classes = _classes(table(_profiles(texts, counts > load + 8 * load**0.5 + 24, ngram, percent), "jaccard-profiles", owner), owner)
     big = classes.filter(F.col("n") >= _least_size(percent))
     parts = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
     keyed = big.select("c", "n", "rare", "prefix").mapInArrow(lean(lambda x: _keys(x, percent)), "key long, c long, n long")
     keyed = keyed.repartition(parts, "key").sortWithinPartitions("key", "n", "c")
-    met = table(keyed.mapInArrow(lean(lambda x: _pairs(x, percent)), "a long, b long, key long, n long, large boolean"), "jaccard-met", owner)
-    first = _verified(table(_bounded(met.filter("not large").select("a", "b").distinct(), big, percent, owner), "jaccard-first", owner), classes, texts, ngram, percent, owner)
-    first = table(first, "jaccard-links", owner)
-    large = met.filter("large").select("key", F.col("a").alias("c"), "n")
+    met = table(keyed.mapInArrow(lean(lambda x: _pairs(x, percent)), "a long, b long, key long, large boolean"), "jaccard-met", owner)
+    near = table(_bounded(met.filter("not large").select("a", "b").distinct(), big, percent), "jaccard-first", owner)
+    links = _settled(_verified(near, classes, texts, ngram, percent, f"{owner}-try"), "jaccard-links", owner)
+    label = components(links.select("a", "b"), owner)
+    large = met.filter("large").select("key", F.col("a").alias("c"))
     if large.isEmpty():
-        return profiles, classes, first
-    label = components(first.select("a", "b"), owner)
-    rows = large.join(label.withColumnRenamed("v", "c"), "c", "left").join(big.select("c", "bits"), "c").select("key", "c", "n", F.coalesce("label", "c").alias("label"), "bits")
-    rows = rows.repartition(parts, "key").sortWithinPartitions("key", "n", "c")
-    crossing = table(_bounded(rows.mapInArrow(lean(lambda x: _cross(x, percent)), _PAIRS).distinct(), big, percent, owner), "jaccard-cross", owner)
-    if crossing.isEmpty():
-        return profiles, classes, first
-    second = _verified(crossing, classes, texts, ngram, percent, owner)
-    return profiles, classes, table(first.unionByName(second), "jaccard-links", owner)
+        return profiles, classes, links, label
+    blocks = large.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / F.lit(GROUP)).cast("int").alias("blocks"))
+    least = large.groupBy("c").agg(F.min("key").alias("key")).select("key", "c")
+    gives, groups, tried = GIVES, least, near
+    while True:
+        more, found = _cross(groups, blocks, big, label, percent, gives, parts, owner)
+        new = table(found.join(tried, ["a", "b"], "left_anti"), "jaccard-cross", owner)
+        if not new.isEmpty():
+            tried = tried.unionByName(new)
+            good = _settled(_verified(new, classes, texts, ngram, percent, f"{owner}-try", few=True), "jaccard-more", owner)
+            if not good.isEmpty():
+                links = table(links.unionByName(good), "jaccard-links", owner)
+                label = components(links.select("a", "b"), owner)
+        if groups is least:
+            groups = large
+        elif not more:
+            return profiles, classes, links, label
+        else:
+            gives *= 8
+
+
+def _cross(groups: DataFrame, blocks: DataFrame, classes: DataFrame, label: DataFrame, percent: int, gives: int, parts: int, owner: str) -> tuple[bool, DataFrame]:
+    """Candidates between different components in ``groups`` (key, c), and whether there are more."""
+    rows = groups.join(label.withColumnRenamed("v", "c"), "c", "left").select("key", "c", F.coalesce("label", "c").alias("label"))
+    rows = table(rows, "jaccard-rows", f"{owner}-try")
+    mixed = rows.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").join(blocks, "key").select("key", "blocks")
+    dealt = rows.join(mixed, "key").withColumn("block", F.pmod(F.xxhash64("c"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    of = F.when(F.col("blocks") > 1, F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other"))).otherwise(F.col("key"))
+    dealt = dealt.select(of.alias("key"), "c", "label").join(classes.select("c", "n", "bits"), "c").select("key", "c", "n", "label", "bits")
+    dealt = dealt.repartition(parts, "key").sortWithinPartitions("key", "n", "c")
+    met = _settled(dealt.mapInArrow(lean(lambda x: _nearest(x, percent, gives)), "a long, b long, more boolean"), "jaccard-near", owner)
+    return not met.filter("more").isEmpty(), met.select("a", "b").distinct()
 
 
 def near_duplicates(docs: DataFrame, ngram: int = 3, percent: int = 90, owner: str = "query", every: bool = True) -> DataFrame:
-    """Each row of ``docs``: doc_id, n_shingles, component_id (the least doc_id it can reach by links), set_hash and, with
-    ``every``, n_links (how many other rows it is linked with, equal sets included)."""
-    profiles, classes, links = join(docs, ngram, percent, owner, every)
-    label = components(links.select("a", "b"), owner)
+    """Each row of ``docs``: doc_id, n_shingles, component_id (the least doc_id it can reach by links), set_hash, row_hash (of id
+    and text, as ``row_hash`` gives it), root (names its component, ids or not; null for empty sets) and, with ``every``, n_links (how many other rows it is linked with, equal sets
+    included)."""
+    profiles, classes, links, label = _connect(docs, ngram, percent, owner)
     rooted = classes.select("c", "least", "docs").join(label.withColumnRenamed("v", "c"), "c", "left").withColumn("root", F.coalesce("label", "c"))
     low = rooted.groupBy("root").agg(F.min("least").alias("component"))
-    of = rooted.join(low, "root").select(F.col("c").alias("h1"), "component", "docs")
+    of = rooted.join(low, "root").select("c", "root", "component", "docs")
     if every:
-        ends = links.select(F.col("a").alias("h1"), F.col("b").alias("c")).unionByName(links.select(F.col("b").alias("h1"), F.col("a").alias("c")))
-        others = ends.join(classes.select("c", "docs"), "c").groupBy("h1").agg(F.sum("docs").alias("others"))
-        of = of.join(others, "h1", "left").withColumn("n_links", F.col("docs") - 1 + F.coalesce("others", F.lit(0)))
-    out = profiles.select("doc_id", "n", "h1").join(of, "h1", "left")
+        of = of.join(_all_links(links, label, classes, _texts(docs), ngram, percent, owner, count=True), "c", "left").withColumn("n_links", F.col("docs") - 1 + F.coalesce("others", F.lit(0)))
+    out = profiles.select("doc_id", "rep", "n", "c").join(of, "c", "left")
     component = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.nullif("component", F.lit(_NONE)))
     count = [F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")] if every else []
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("h1").alias("set_hash"), *count)
+    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("c").alias("set_hash"), F.col("rep").alias("row_hash"), "root", *count)
