@@ -11,8 +11,9 @@ texts cut to their length, and a gap between filled classes by the lower fence o
 ``FEW`` rows has no quartiles to trust: its fences are half the lower quartile of cosines with the nearest other row
 (an eighth of that with its own beginning where it is alone).
 
-Fitting reads at most about ``sample_rows`` labelled rows (spread evenly over languages, chosen by a hash of the id); that is
-the only bound, prediction reads every whole text. Null texts and texts without a letter are ``und`` with score 0 and count
+Fitting takes at most ``sample_rows`` labelled rows to the driver (spread evenly over languages, one a language at least, those
+of least hash of id and text); that is the only bound, prediction reads every whole text. The model has ``clusters`` centroids
+a language, so it grows with the number of distinct labels, which a table of languages bounds. Null texts and texts without a letter are ``und`` with score 0 and count
 as rejected. Without any labelled row every text is ``und``. Labels are never inputs of a prediction; ties go to the smaller
 language name. Repeated rows, null ids and very long texts (read in parts, never cut) need no care.
 """
@@ -25,10 +26,10 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from wayfold.llm.common import LOWER, column_bytes, lean
+from wayfold.llm.common import LOWER, column_bytes, lean, trim
 
 DIMS = 4096
 SAMPLE_ROWS = 4000
@@ -119,9 +120,15 @@ def fit(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, clusters: int = CLUSTER
     if not by:
         return Model([])
     each = max(1, sample_rows // len(by))
-    share = F.create_map(*[F.lit(x) for lang, n in by.items() for x in (lang, min(1.0, each / n))])
-    unit = (F.pmod(F.xxhash64(F.col("doc_id"), F.lit(seed)), F.lit(1 << 30)) / F.lit(float(1 << 30)))
-    sample = good.filter(unit < share[F.col("lang")]).select("lang", "text")
+    share = F.create_map(*[F.lit(x) for lang, n in by.items() for x in (lang, min(1.0, 2 * each / n))])
+    draw = good.select("lang", "text", F.xxhash64("doc_id", "text", F.lit(seed)).alias("draw"))
+    unit = F.pmod(F.col("draw"), F.lit(1 << 30)) / F.lit(float(1 << 30))
+
+    def least(rows: DataFrame) -> DataFrame:
+        """The rows of least draw, ``each`` of a language."""
+        return rows.withColumn("rn", F.row_number().over(Window.partitionBy("lang").orderBy("draw"))).filter(F.col("rn") <= each).select("lang", "text")
+
+    sample = least(draw.filter(unit < share[F.col("lang")]))
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -136,7 +143,13 @@ def fit(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, clusters: int = CLUSTER
                 out[4].append(data[a : min(b, a + HEAD)].tobytes())
             yield pa.RecordBatch.from_arrays([batch.column("lang"), pa.array(np.diff(offs)), *[pa.array(x, pa.binary()) for x in out]], names=["lang", "n", "i0", "v0", "i1", "v1", "head"])
 
-    rows = sorted(sample.mapInArrow(lean(vectors), "lang string, n long, i0 binary, v0 binary, i1 binary, v1 binary, head binary").collect(), key=lambda r: (r["lang"], bytes(r["i0"]), bytes(r["v0"]), bytes(r["i1"]), bytes(r["v1"])))
+    def collected(rows: DataFrame) -> list:
+        return rows.mapInArrow(lean(vectors), "lang string, n long, i0 binary, v0 binary, i1 binary, v1 binary, head binary").collect()
+
+    rows = collected(sample)
+    if missed := sorted(set(by) - {r["lang"] for r in rows}):  # few texts over and over may all have missed the draw
+        rows += collected(least(draw.filter(F.col("lang").isin(missed))))
+    rows.sort(key=lambda r: (r["lang"], bytes(r["i0"]), bytes(r["v0"]), bytes(r["i1"]), bytes(r["v1"])))
     if not rows:
         return Model([])
     languages = sorted({r["lang"] for r in rows})
@@ -147,7 +160,7 @@ def fit(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, clusters: int = CLUSTER
         x = np.zeros((len(rows), DIMS), np.float32)
         for i, r in enumerate(rows):
             x[i, np.frombuffer(r[f"i{kind}"], "<u2")] = np.frombuffer(r[f"v{kind}"], "<f4")
-        idf = np.log((1 + len(rows)) / (1 + (x > 0).sum(axis=0))).astype(np.float32) + np.float32(0.1)
+        idf = np.log((1 + len(rows)) / (1 + np.count_nonzero(x, axis=0))).astype(np.float32) + np.float32(0.1)
         x *= idf
         x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
         rng = np.random.default_rng(seed)
@@ -185,13 +198,20 @@ def fit(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, clusters: int = CLUSTER
         length = max(1, (3 << k) >> 2)
         able = np.array([i for i, r in enumerate(rows) if len(r["head"]) >= length], dtype=int)
         if len(able) >= min(FEW, len(rows) // 2 + 1):
-            v = np.stack([np.log1p(counts(np.frombuffer(rows[i]["head"][:length], np.uint8))).astype(np.float32) for i in able]) * whole.idf
-            fences[k] = fence(nearest(v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12), able))
+            near = []
+            for lo in range(0, len(able), 256):  # a few at a time: the driver holds one full matrix already
+                part = able[lo : lo + 256]
+                v = np.stack([np.log1p(counts(np.frombuffer(rows[i]["head"][:length], np.uint8))).astype(np.float32) for i in part]) * whole.idf
+                v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
+                near.append(nearest(v, part))
+            fences[k] = fence(np.concatenate(near))
     if np.isnan(fences[longest]):  # no class is filled
         fences[longest] = fence(best[size >= longest - 2])
     filled = np.flatnonzero(~np.isnan(fences))
     for k in np.flatnonzero(np.isnan(fences)):
         fences[k] = min(fences[j] for j in (*filled[filled < k][-1:], *filled[filled > k][:1]))
+    del x, rows
+    trim()
     return Model(languages, letters, whole, fences, longest, judge)
 
 
