@@ -112,16 +112,19 @@ def test_targets():
 
 def test_mixing(spark, tiny, odd_docs, no_docs):
     docs = spark.read.parquet(f"{tiny}/documents.parquet")
-    runs = [sorted(tuple(r) for r in mixing.taken(*mixing.mix_sources(d, block_tokens=16), 16).select("doc_id", "source", "size", "source_size", "target", "taken").collect()) for d in (docs, docs.repartition(3))]
+    runs = [sorted(tuple(r) for r in mixing.taken(*mixing.mix_sources(d, block_tokens=16)).select("doc_id", "source", "size", "source_size", "target", "taken").collect()) for d in (docs, docs.repartition(3))]
     assert runs[0] == runs[1]
-    by = collections.defaultdict(lambda: [0, 0, 0])
+    by = collections.defaultdict(lambda: [0, 0, 0, 0])
     for _, source, size, source_size, target, taken in runs[0]:
         assert taken <= 2 * size
         by[source][0] += size
         by[source][1] += taken
-        assert abs(source_size - by[source][0]) >= 0
         by[source][2] = target
-    assert all(abs(n - t) <= max(64, 0.05 * t) for _, n, t in by.values()) and sum(t for *_, t in by.values()) == pytest.approx(1.5 * sum(s for s, *_ in by.values()), rel=0.01)
+        by[source][3] = source_size
+    names = sorted(by, key=lambda s: (s is None, s or ""))
+    want = mixing.targets([by[s][0] for s in names], [(5, 2, 1)[k % 3] for k in range(len(names))], 1.5 * sum(x[0] for x in by.values()))
+    assert [by[s][2] for s in names] == pytest.approx(want) and all(x[0] == x[3] for x in by.values())
+    assert all(abs(n - t) <= max(32, 0.02 * t) for _, n, t, _ in by.values())
     hard = mixing.taken(*mixing.mix_sources(odd_docs)).collect()
     assert len(hard) == odd_docs.count() and all(r.taken == 0 for r in hard if not r["size"])
     assert mixing.taken(*mixing.mix_sources(no_docs)).count() == 0

@@ -1,7 +1,8 @@
 """Mixing sources to target weights by fixed-length token blocks.
 
 Every source is one long stream of tokens: its documents in the order of a hash of their row. Streams are cut into blocks of
-``block_tokens``. Targets follow the weights by water-filling, no source above ``max_repeat`` times its size. The output is
+``block_tokens``; those of a source of less than ``LEAST_BLOCKS`` such blocks into as many shorter ones, so that whole blocks
+come within about 1 % of its target too. Targets follow the weights by water-filling, no source above ``max_repeat`` times its size. The output is
 a sequence of shards of ``shard_slots`` slots; the count of slots that each source gets in each shard is drawn by splitting
 the quotas along a binary tree of shards (a multivariate hypergeometric draw at each node, seeded by the node): that is the
 multinomial draw, given that the totals are the quotas, and every shard can be drawn by itself on any executor. The i-th
@@ -9,7 +10,8 @@ slot of a source takes block ``permutation(i mod n)`` of round ``i div n`` (a Fe
 permutation is stored), and slots meet documents by an equi-join on (source, block).
 
 Null or empty texts have size 0 and are never taken. Null sources are a source of their own, the last. Rows may repeat, ids
-may be null or tie: each row counts by itself. An empty table gives no rows. Reruns agree: all draws hang on ``seed`` only.
+may be null or tie: each row counts by itself. An empty table gives no rows. Other columns (of clashing names too) are passed on
+by ``mixed_documents`` and not read otherwise. Reruns agree: all draws hang on ``seed`` only.
 """
 
 from __future__ import annotations
@@ -25,6 +27,7 @@ from wayfold.llm.common import WORD, column_bytes, lean, slices, table, words
 
 BLOCK_TOKENS = 64
 SHARD_SLOTS = 1024
+LEAST_BLOCKS = 128
 _DRAW_LIMIT = 500_000_000
 
 
@@ -131,7 +134,7 @@ def mix_sources(
 ) -> tuple[DataFrame, DataFrame]:
     """Mix ``docs`` (doc_id, source, text). Returns (documents, slots).
 
-    documents: row_key, doc_id, source, size, first, source_size, target, n_blocks, quota: where each document lies in its
+    documents: row_key, doc_id, source, size, first, source_size, target, n_blocks, quota, block_tokens: where each document lies in its
     source's stream. slots: shard, source_no, block, source: the mix itself, a block of a source for each output slot.
     Only one row a source reaches the driver."""
     spark = docs.sparkSession
@@ -140,14 +143,15 @@ def mix_sources(
     by = sorted(by, key=lambda r: (r["source"] is None, (r["source"] or "").encode()))  # UTF-8 order is code-point order
     sizes = [int(r["n"] or 0) for r in by]
     goal = targets(sizes, [weights[i % len(weights)] for i in range(len(by))], share * sum(sizes), max_repeat)
-    blocks = [-(-s // block_tokens) for s in sizes]
+    steps = [max(1, min(block_tokens, s // LEAST_BLOCKS)) for s in sizes]
+    blocks = [-(-s // step) for s, step in zip(sizes, steps, strict=True)]
     quotas = [min(max_repeat * b, round(t * b / s)) if s else 0 for s, t, b in zip(sizes, goal, blocks, strict=True)]
     facts = spark.createDataFrame(
-        [(i, r["source"], s, float(t), b, q) for i, (r, s, t, b, q) in enumerate(zip(by, sizes, goal, blocks, quotas, strict=True))],
-        "source_no int, source string, source_size long, target double, n_blocks long, quota long",
+        [(i, r["source"], s, float(t), b, q, step) for i, (r, s, t, b, q, step) in enumerate(zip(by, sizes, goal, blocks, quotas, steps, strict=True))],
+        "source_no int, source string, source_size long, target double, n_blocks long, quota long, block_tokens long",
     )
     placed = lay_out(base, owner).alias("d").join(F.broadcast(facts).alias("f") if len(by) < 10_000 else facts.alias("f"), F.col("d.source").eqNullSafe(F.col("f.source")))
-    placed = placed.select("d.row_key", "d._wf_row", "d.doc_id", "d.source", "d.size", "d.first", "f.source_no", "f.source_size", "f.target", "f.n_blocks", "f.quota")
+    placed = placed.select("d.row_key", "d._wf_row", "d.doc_id", "d.source", "d.size", "d.first", "f.source_no", "f.source_size", "f.target", "f.n_blocks", "f.quota", "f.block_tokens")
     shards = -(-sum(quotas) // shard_slots)
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -173,19 +177,19 @@ def mix_sources(
     return placed, slots
 
 
-def pieces(placed: DataFrame, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
+def pieces(placed: DataFrame) -> DataFrame:
     """Each document's share of each block it lies in: source_no, block, from_token, n (tokens of the document)."""
     last = F.col("first") + F.col("size")
-    cut = placed.filter("size > 0 and quota > 0").withColumn("block", F.explode(F.sequence(F.floor(F.col("first") / block_tokens), F.floor((last - 1) / block_tokens))))
-    lo, hi = F.greatest(F.col("first"), F.col("block") * block_tokens), F.least(last, (F.col("block") + 1) * block_tokens)
+    cut = placed.filter("size > 0 and quota > 0").withColumn("block", F.explode(F.expr("sequence(first div block_tokens, (first + size - 1) div block_tokens)")))
+    lo, hi = F.greatest(F.col("first"), F.col("block") * F.col("block_tokens")), F.least(last, (F.col("block") + 1) * F.col("block_tokens"))
     return cut.select("source_no", "block", "row_key", "_wf_row", "doc_id", "size", "first", (lo - F.col("first")).alias("from_token"), (hi - lo).alias("n"))
 
 
-def taken(placed: DataFrame, slots: DataFrame, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
+def taken(placed: DataFrame, slots: DataFrame) -> DataFrame:
     """Per document: the words that the mix takes of it, repeats counted."""
     used = slots.groupBy("source_no", "block").agg(F.count(F.lit(1)).alias("times"))
     key = ["source_no", "first", "row_key", "doc_id", "size"]
-    got = pieces(placed, block_tokens).join(used.hint("merge"), ["source_no", "block"]).groupBy(*key).agg(F.sum(F.col("n") * F.col("times")).alias("taken"))
+    got = pieces(placed).join(used.hint("merge"), ["source_no", "block"]).groupBy(*key).agg(F.sum(F.col("n") * F.col("times")).alias("taken"))
     a, b = placed.alias("a"), got.alias("b")
     same = (F.col("a.source_no") == F.col("b.source_no")) & (F.col("a.first") == F.col("b.first")) & (F.col("a.size") == F.col("b.size"))
     return a.join(b.hint("merge"), same, "left").select("a.doc_id", "a.source", "a.row_key", "a.size", "a.source_size", "a.target", F.coalesce(F.col("b.taken"), F.lit(0)).cast("long").alias("taken"))
@@ -198,7 +202,7 @@ def mixed_documents(docs: DataFrame, owner: str = "query", block_tokens: int = B
     base = table(docs.withColumn("_wf_row", F.monotonically_increasing_id()), "mix-docs", owner)
     placed, slots = mix_sources(base, block_tokens=block_tokens, owner=owner, **how)
     used = slots.groupBy("source_no", "block").agg(F.count(F.lit(1)).cast("int").alias("times"))
-    part = pieces(placed, block_tokens).join(used.hint("merge"), ["source_no", "block"]).groupBy("_wf_row").agg(F.sort_array(F.collect_list(F.struct("from_token", "n", "times"))).alias("_wf_parts"))
+    part = pieces(placed).join(used.hint("merge"), ["source_no", "block"]).groupBy("_wf_row").agg(F.sort_array(F.collect_list(F.struct("from_token", "n", "times"))).alias("_wf_parts"))
     both = base.join(part.hint("merge"), "_wf_row").select(*names, "_wf_parts")
     schema = docs.schema
     at, has_n = names.index("text"), names.index("n_chars") if "n_chars" in names else -1
