@@ -459,15 +459,34 @@ def eps_heuristic(spark, d):
     return cluster.eps_heuristic(_features(spark, d)).select("idx", F.round("eps", 5).alias("eps"))
 
 
+def _markets(spark, d):
+    """A customer's nation with segment, and nation with size of account: they cluster by nation."""
+    c = spark.read.parquet(f"{d}/customer.parquet")
+    size = F.floor(F.col("c_acctbal").cast("double") / 5000).cast("int")
+    return c.select(F.col("c_custkey").cast("long").alias("idx"), F.array((F.col("c_nationkey") * 100 + F.ascii("c_mktsegment")).cast("int"), (F.lit(10_000) + F.col("c_nationkey") * 100 + size).cast("int")).alias("features"))
+
+
+_MARKETS = _FEATURES.replace("SELECT DISTINCT l_suppkey::BIGINT AS idx, (l_partkey % 1000)::INT AS f FROM lineitem", "SELECT c_custkey::BIGINT AS idx, (c_nationkey * 100 + ascii(c_mktsegment))::INT AS f FROM customer UNION ALL SELECT c_custkey::BIGINT, (10000 + c_nationkey * 100 + floor(c_acctbal::DOUBLE / 5000))::INT FROM customer")
+_CLUSTERS = """near AS (SELECT a, b FROM fj WHERE similarity >= 0.3), core AS (SELECT a AS idx FROM near GROUP BY 1 HAVING count(*) >= 3),
+rr AS (SELECT idx, idx AS c FROM core UNION SELECT n.b AS idx, rr.c FROM rr JOIN near n ON n.a = rr.idx JOIN core k ON k.idx = n.b), lb AS (SELECT idx, min(c) AS cluster_id FROM rr GROUP BY 1),
+cl AS (SELECT idx, cluster_id FROM lb UNION ALL SELECT n.b, min(lb.cluster_id) FROM near n JOIN lb ON lb.idx = n.a WHERE n.b NOT IN (SELECT idx FROM core) GROUP BY 1)"""
+
+
+@query(_with(_MARKETS, _CLUSTERS, select="SELECT idx, cluster_id FROM cl", recursive=True))
+def dbscan(spark, d):
+    return cluster.dbscan(_markets(spark, d), 0.3, 3)
+
+
 @query()
 def dbscan_onehop(spark, d):
-    return cluster.dbscan(_features(spark, d), 0.05, 3)
+    return cluster.dbscan(_features(spark, d), 0.05, 3, transitive=False)
 
 
-@query()
+@query(_with(_MARKETS, _CLUSTERS, "ds AS (SELECT x.idx, x.cluster_id AS own, y.cluster_id AS other, avg(1 - coalesce(fj.similarity, 0)) AS m FROM cl x JOIN cl y ON x.idx <> y.idx LEFT JOIN fj ON fj.a = x.idx AND fj.b = y.idx GROUP BY ALL)",
+             "xy AS (SELECT cl.idx, min(m) FILTER (WHERE own = other) AS x, min(m) FILTER (WHERE own <> other) AS y FROM cl LEFT JOIN ds USING (idx) GROUP BY 1)", select="SELECT idx, round(CASE WHEN x IS NULL OR y IS NULL THEN 0 ELSE (y - x) / nullif(greatest(x, y), 0) END, 6) AS coefficient FROM xy", recursive=True))
 def silhouette(spark, d):
-    f = _features(spark, d)
-    return cluster.silhouette(f, cluster.dbscan(f, 0.05, 3)).select("idx", F.round("coefficient", 6).alias("coefficient"))
+    f = _markets(spark, d)
+    return cluster.silhouette(f, cluster.dbscan(f, 0.3, 3)).select("idx", F.round("coefficient", 6).alias("coefficient"))
 
 
 def _edges(spark, d):
