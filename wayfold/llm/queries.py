@@ -118,6 +118,20 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(read_table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
+_WORDS = r"list_filter(string_split_regex({}, '[\x20\x09-\x0D]+'), lambda x: x <> '')"
+ORACLE["op10_jaccard_join"] = f"""
+WITH RECURSIVE w AS (SELECT doc_id, {_WORDS.format("translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, md5_number(t) AS t FROM (SELECT doc_id, unnest(CASE WHEN len(ws) >= 3 THEN list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2]) WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END) AS t FROM w)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b ON a.t = b.t AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 90 * (x.n + y.n - k)),
+u AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT a AS doc_id, a AS c FROM u UNION SELECT u.b, r.c FROM r JOIN u ON u.a = r.doc_id WHERE r.c < u.b)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(least(m.c, d.doc_id), d.doc_id) AS component_id
+FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT doc_id, min(c) AS c FROM r GROUP BY 1) m USING (doc_id)
+"""
+
+
 @query
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from wayfold.llm import substrings
@@ -125,8 +139,35 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.dedup_words(read_table(spark, sf_dir, "documents"))
 
 
+ORACLE["op6_substring_dedup"] = f"""
+WITH w AS (SELECT doc_id, {_WORDS.format("coalesce(text, '')")} AS ws FROM documents),
+v AS (SELECT doc_id, i, md5_number(array_to_string(ws[i:i + 49], ' ')) AS h FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 48)) AS i FROM w WHERE len(ws) >= 50)),
+f AS (SELECT h, min(doc_id) AS least FROM v GROUP BY 1),
+g AS (SELECT v.doc_id, v.i FROM v JOIN f USING (h) WHERE v.doc_id > f.least),
+x AS (SELECT doc_id, unnest(range(1, len(ws) + 1)) AS i, unnest(ws) AS word FROM w),
+e AS (SELECT doc_id, i, sum(d) AS d FROM (SELECT doc_id, i, 1 AS d FROM g UNION ALL SELECT doc_id, i + 50, -1 FROM g) GROUP BY ALL),
+z AS (SELECT x.doc_id, x.i, word, sum(coalesce(e.d, 0)) OVER (PARTITION BY x.doc_id ORDER BY x.i) > 0 AS gone FROM x LEFT JOIN e ON e.doc_id = x.doc_id AND e.i = x.i),
+k AS (SELECT doc_id, count(*) FILTER (WHERE gone) AS n_removed, string_agg(word, ' ' ORDER BY i) FILTER (WHERE NOT gone) AS kept FROM z GROUP BY 1)
+SELECT w.doc_id, len(ws)::BIGINT AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM w LEFT JOIN k USING (doc_id)
+"""
+
+
 @query
 def op2_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from wayfold.llm import prefixfree
 
     return prefixfree.dedup_bytes(read_table(spark, sf_dir, "documents"))
+
+
+ORACLE["op2_suffix_array_dedup"] = """
+WITH b AS (SELECT row_number() OVER (ORDER BY doc_id, text) AS r, doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+v AS (SELECT r, i, md5_number(substr(x, 2 * i + 1, 400)) AS h FROM (SELECT r, x, unnest(range(0, length(x) // 2 - 199)) AS i FROM b WHERE length(x) >= 400)),
+m AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY h) AS n FROM v) WHERE n > 1),
+g AS (SELECT r, i, CASE WHEN i <= lag(i) OVER (PARTITION BY r ORDER BY i) + 200 THEN 0 ELSE 1 END AS fresh FROM m),
+s AS (SELECT r, min(i) AS lo, max(i) + 200 AS hi FROM (SELECT *, sum(fresh) OVER (PARTITION BY r ORDER BY i) AS k FROM g) GROUP BY r, k),
+k AS (SELECT r, count(*) AS n_spans, sum(hi - lo)::BIGINT AS n_removed, list(lo ORDER BY lo) AS los, list(hi ORDER BY lo) AS his FROM s GROUP BY r),
+t AS (SELECT b.*, n_spans, n_removed, list_concat([0], his) AS a, list_concat(los, [length(x) // 2]) AS z FROM b LEFT JOIN k USING (r))
+SELECT doc_id, (length(x) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0) AS n_spans,
+  sha256(CASE WHEN n_spans IS NULL THEN unhex(x) ELSE unhex(array_to_string(list_transform(range(1, len(a) + 1), lambda j: substr(x, 2 * a[j] + 1, 2 * (z[j] - a[j]))), '')) END) AS kept_sha256
+FROM t
+"""
