@@ -390,7 +390,13 @@ def date_merge(spark, d):
     return patterns.merge_dates(lsh.lsh_pairs(v, "device_id", *lsh.PERSONAL)).select("device_id", F.array_join("members", ",").alias("members"))
 
 
-@query()
+_LONG_SLOTS = _DAY_PAIRS.replace(f"// {SPAN})", f"// {4 * SPAN})")
+
+
+@query(_with(_POINTS, _cells(12), _LONG_SLOTS, _JACCARD, "u AS (SELECT day, a, b FROM lp UNION SELECT day, b, a FROM lp)", "r AS (SELECT day, a, b FROM u UNION SELECT r.day, r.a, u.b FROM r JOIN u ON u.day = r.day AND u.a = r.b)",
+             "gr AS (SELECT day, a, min(b) AS g FROM r GROUP BY ALL)", "js AS (SELECT day, a, b FROM jq WHERE similarity >= 0.4 UNION ALL SELECT day, b, a FROM jq WHERE similarity >= 0.4)",
+             "dg AS (SELECT js.day, js.a, x.g, count(*) AS degree FROM js JOIN gr x ON x.day = js.day AND x.a = js.a JOIN gr y ON y.day = js.day AND y.a = js.b AND y.g = x.g GROUP BY ALL HAVING count(*) >= 2)",
+             select="SELECT day AS device_id, a AS day, degree FROM dg QUALIFY count(*) OVER (PARTITION BY day, g) >= 3", recursive=True))
 def personal_patterns(spark, d):
     return patterns.personal_patterns(trajectory.grid_vectors(points(spark, d), 4 * SPAN, 12))
 
@@ -580,10 +586,16 @@ def convex_hull(spark, d):
     return spatial.hulls(points(spark, d), "device_id").select("device_id", F.round(F.col("area") * 1e9, 3).alias("area"), F.size("vertices").alias("vertices"))
 
 
-@query()
+_AT = "o * 4 + 2 * ((x >> s) & 1) + ((y >> s) & 1) + 1"
+_AROUND = f"""nb AS (SELECT DISTINCT face, i >> 17 AS a, j >> 17 AS b FROM st), nq AS (SELECT face, a, b, k, a + dx AS x, b + dy AS y FROM nb, (VALUES (0, 0, 0), (1, 0, -1), (2, 1, 0), (3, 0, 1), (4, -1, 0)) t(k, dx, dy)),
+nw AS (SELECT *, 12 AS s, face::BIGINT AS id, face & 1 AS o FROM nq UNION ALL SELECT face, a, b, k, x, y, s - 1, id * 4 + {_CURVE}[{_AT}], xor(o, [1,0,0,3][{_CURVE}[{_AT}] + 1])::INT FROM nw WHERE s >= 0),
+nc AS (SELECT a, b, k, (2 * id + 1) * (1::BIGINT << 34) AS cell FROM nw WHERE s = -1)"""
+
+
+@query(_with(_POINTS, _cells(13), _AROUND, select="SELECT max(cell) FILTER (WHERE k = 0) AS cell, string_agg(cell::VARCHAR, ',' ORDER BY k) FILTER (WHERE k > 0) AS neighbors FROM nc GROUP BY a, b", recursive=True))
 def cell_neighbors(spark, d):
     c = points(spark, d).select(cells.cell_id(F.col("latitude"), F.col("longitude"), 13).alias("cell")).distinct()
-    return spatial.neighbor_table(c)
+    return spatial.neighbor_table(c).withColumn("neighbors", F.array_join(F.transform("neighbors", lambda x: x.cast("string")), ","))
 
 
 @query(_with(_POINTS, _XYZ, select="SELECT device_id, date_trunc('hour', ts) AS slot_start, count(*) AS n, round(degrees(atan2(avg(z), sqrt(avg(x) ** 2 + avg(y) ** 2))), 9) AS latitude, round(degrees(atan2(avg(y), avg(x))), 9) AS longitude FROM x GROUP BY ALL"))
