@@ -6,6 +6,12 @@ near duplicates: word 5-grams, Jaccard 0.8 or more; of each group of linked docu
 mixing: sources by weight, block by block; a document appears once for each time it is taken.
 packing: pieces of documents in bins of 2048 words, none with two rests of a document (however the mix cut its repeats; rows
 without a doc_id count as one document here) or of equal texts.
+
+Hard rows: a null or empty text is rejected by the first stage, which lets no such row on; the others keep what they get (a
+null text has no lines and no shingles, is never taken by the mix and gets no bin). A null doc_id comes last where the least
+stays; among equal ids the first row as read. Repeated rows are near copies of each other, so one stays. Null sources are a
+source, the last. Columns besides doc_id, text, lang, source and n_chars are passed on; names that begin with _wf_ are taken.
+An empty table gives an empty table at every stage.
 """
 
 from __future__ import annotations
@@ -49,7 +55,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("language_id", language_id), ("line_dedup", line_dedup), ("near_duplicates", near_duplicates), ("mixing", mix), ("packing", pack)]
 
-#: No SQL states nearest-centroid training, the draws of the mix, or best-fit packing; tests/llm holds the stages against brute force.
+#: No SQL states nearest-centroid training, the draws of the mix, or best-fit packing; tests/llm/test_stages.py holds each stage against brute force.
 ORACLE_SQL = None
 
 
