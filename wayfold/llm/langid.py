@@ -162,7 +162,7 @@ def fit(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, clusters: int = CLUSTER
             x[i, np.frombuffer(r[f"i{kind}"], "<u2")] = np.frombuffer(r[f"v{kind}"], "<f4")
         idf = np.log((1 + len(rows)) / (1 + np.count_nonzero(x, axis=0))).astype(np.float32) + np.float32(0.1)
         x *= idf
-        x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+        x /= np.maximum(np.sqrt(np.einsum("ij,ij->i", x, x))[:, None], 1e-12)  # without a second matrix
         rng = np.random.default_rng(seed)
         found = [_kmeans(x[own == j], clusters, rng) for j in range(len(languages))]
         got = Centroids(idf, np.concatenate(found), np.repeat(np.arange(len(languages)), [len(c) for c in found]))
