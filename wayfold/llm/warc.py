@@ -1,7 +1,8 @@
 """WARC archives as a chunked record table.
 
 ``write_archives`` turns pages into gzip WARC files (one member a record, one file a task, named anew by each attempt, so
-that a retried task leaves no half-written file in the manifest). ``read_archives`` streams archives back as rows of
+that a retried task leaves no half-written file in the manifest). It gets (record, chunk_no) rows too: the payload is cut
+before it leaves Spark, and compressed, hashed and written chunk by chunk. ``read_archives`` streams archives back as rows of
 (file, record_no, chunk_no): a payload of any size becomes several rows of at most ``chunk_bytes``, each with the number of
 bytes and the SHA-1 digest of the payload up to and including it, so the last row of a record has the digest of the whole
 and no task ever holds a whole record.
@@ -10,6 +11,7 @@ Records with equal payloads of at least ``min_bytes`` are stored once: the one w
 the others are ``revisit`` records that refer to it. Shorter payloads, and groups whose page ids are all null, are
 responses. Null html is an empty payload; a null url leaves out the target; a row with a null page id beside rows with ids
 is a revisit; repeated rows with the largest id are all responses. An empty table gives no archives and no rows.
+Other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -54,10 +56,19 @@ def plan_records(pages: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
     )
 
 
-def _record(page_id, url, payload, digest: str, kind: str, refers_to) -> tuple[bytes, memoryview]:
-    """The head of a record (WARC and HTTP fields) and the payload that follows it."""
-    http = _HTTP % len(payload)
-    body = memoryview(payload) if kind == "response" else memoryview(b"")
+def chunked(planned: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+    """The rows of ``plan_records`` cut into chunks: a row for each (record, chunk_no), the chunks of a record one after another
+    in one partition. Records without a body (revisits, empty payloads) have one empty chunk."""
+    size = F.octet_length("payload").cast("long")
+    body = F.when(F.col("record_type") == "response", size).otherwise(0)
+    cut = planned.withColumn("size", size).withColumn("chunk_no", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(body / chunk_bytes) - 1).cast("int"))))
+    chunk = F.when(F.col("record_type") == "response", F.expr(f"substring(payload, chunk_no * {chunk_bytes} + 1, {chunk_bytes})")).otherwise(F.lit(b""))
+    return cut.select("page_id", "url", "size", "digest", "record_type", "refers_to", "chunk_no", chunk.alias("chunk"))
+
+
+def _head(page_id, url, size: int, digest: str, kind: str, refers_to) -> tuple[bytes, int]:
+    """The head of a record (WARC and HTTP fields), and the length of the body that follows it."""
+    http, body = _HTTP % size, size if kind == "response" else 0
     fields = [
         "WARC/1.1",
         f"WARC-Type: {kind}",
@@ -67,34 +78,42 @@ def _record(page_id, url, payload, digest: str, kind: str, refers_to) -> tuple[b
         f"WARC-Payload-Digest: sha1:{base64.b32encode(bytes.fromhex(digest)).decode()}",
         *([f"WARC-Refers-To: <urn:page:{refers_to}>", f"WARC-Profile: {_PROFILE}"] if kind == "revisit" else []),
         "Content-Type: application/http; msgtype=response",
-        f"Content-Length: {len(http) + len(body)}",
+        f"Content-Length: {len(http) + body}",
     ]
     return "\r\n".join(fields).encode() + b"\r\n\r\n" + http, body
 
 
 def write_archives(planned: DataFrame, path: str, owner: str = "query", chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
-    """Write the records of ``plan_records`` below ``path``; the manifest (path, records) of the files that count."""
+    """Write the records of ``plan_records`` below ``path``, chunk by chunk; the manifest (path, records) of the files that
+    count. The digest grows with the chunks and must end as the planned one."""
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = file_system(path)
         fs.create_dir(root, recursive=True)
-        out, name, count, written, done = None, "", 0, 0, []
+        out, name, count, done = None, "", 0, []
+        left, press, sha = 0, None, None
         for batch in batches:
-            for i in range(batch.num_rows):
+            chunks = batch.column("chunk")
+            for i, (*fixed, k) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "size", "digest", "record_type", "refers_to", "chunk_no")), strict=True)):
                 if out is None:
                     name = f"{uuid.uuid4().hex}.warc.gz"
-                    out, count, written = fs.open_output_stream(f"{root}/{name}", compression=None), 0, 0
-                row = [batch.column(k)[i].as_py() for k in range(6)]
-                head, body = _record(*row)
-                press = zlib.compressobj(1, zlib.DEFLATED, 31)
-                parts = [press.compress(head)]
-                for at in range(0, len(body), chunk_bytes):
-                    parts.append(press.compress(body[at : at + chunk_bytes]))
-                    written += out.write(b"".join(parts)) or 0
-                    parts = []
-                out.write(b"".join([*parts, press.compress(b"\r\n\r\n"), press.flush()]))
-                count += 1
-                if written >= ROLL_BYTES:
+                    out, count = fs.open_output_stream(f"{root}/{name}", compression=None), 0
+                parts = []
+                if k == 0:
+                    head, left = _head(*fixed)
+                    press, sha = zlib.compressobj(1, zlib.DEFLATED, 31), hashlib.sha1()
+                    parts.append(press.compress(head))
+                chunk = chunks[i].as_buffer()
+                left -= chunk.size
+                sha.update(chunk)
+                parts.append(press.compress(chunk))
+                if left == 0:
+                    if fixed[4] == "response" and sha.hexdigest() != fixed[3]:
+                        raise ValueError(f"{path}/{name}: the chunks of record {count} don't give its digest")
+                    parts += [press.compress(b"\r\n\r\n"), press.flush()]
+                    count += 1
+                out.write(b"".join(parts))
+                if left == 0 and out.tell() >= ROLL_BYTES:
                     out.close()
                     done.append((f"{path}/{name}", count))
                     out = None
@@ -103,7 +122,7 @@ def write_archives(planned: DataFrame, path: str, owner: str = "query", chunk_by
             done.append((f"{path}/{name}", count))
         yield pa.RecordBatch.from_pydict({"path": [x[0] for x in done], "records": [x[1] for x in done]}, schema=pa.schema([("path", pa.string()), ("records", pa.int64())]))
 
-    return table(planned.mapInArrow(write, "path string, records long"), "warc-manifest", owner)
+    return table(chunked(planned, chunk_bytes).mapInArrow(write, "path string, records long"), "warc-manifest", owner)
 
 
 def _fields(stream) -> dict[str, str] | None:
