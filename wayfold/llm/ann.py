@@ -11,7 +11,7 @@ row is indexed and every probed bucket is read whole. Buckets are dealt into par
 more rows is dealt by a hash of the row as well, and its queries go to each of its parts. Equal vectors are one class, kept
 with its k + 1 least ids, which is exact and keeps large groups of copies off one task. Queries that have met fewer than k
 candidates are answered by a scan of all rows, in blocks of queries. Rows that ``vectors.usable`` leaves out take no part.
-An empty table gives no rows.
+An empty table gives no rows. Other columns, whatever their names, are not read; ties in score go to the smaller id.
 """
 
 from __future__ import annotations
@@ -31,7 +31,7 @@ from wayfold.llm.vectors import classes, nearest, usable
 
 TABLES, WIDTH, SUCCESS = 4, 1.5, 0.96
 SAMPLE_ROWS, PART_ROWS, SCAN_BLOCK = 2000, 4096, 2048
-_HEAVY_LIMIT = 10_000
+_HEAVY_LIMIT, BLOCK_PAIRS = 10_000, 1_000_000
 
 
 def _unit(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -63,18 +63,32 @@ class Family:
         return signed(out)
 
     def probes(self, spot: np.ndarray, reach: float, chance: float) -> np.ndarray:
-        """Cells of the buckets to visit, most likely first, until their estimated chance adds up to ``chance``."""
-        sides, likely = [], np.ones(1)
+        """Cells of the buckets to visit, most likely first, until their estimated chance adds up to ``chance``.
+
+        Buckets are the perturbations of the query's own: a cell to either side in some directions. Those above a threshold of
+        likelihood are put together direction by direction, leaving out what can't get there any more, and the threshold falls
+        until there are enough; so the work follows the number of buckets visited, not the number of all."""
+        cells, likely = [], []
         for x in spot:
             lo, hi = int(np.floor((x - 3.5 * reach) / self.width)), int(np.floor((x + 3.5 * reach) / self.width))
-            cells = np.arange(lo, hi + 1)
             p = np.diff(_normal_cdf((np.arange(lo, hi + 2) * self.width - x) / reach))
-            keep = p > 1e-3
-            sides.append(cells[keep])
-            likely = np.multiply.outer(likely, p[keep]).ravel()
-        order = np.argsort(-likely, kind="stable")
-        n = int(np.searchsorted(np.cumsum(likely[order]), chance)) + 1
-        return np.stack([s[i] for s, i in zip(sides, np.unravel_index(order[:n], [len(s) for s in sides]), strict=True)], axis=1)
+            order = np.argsort(-p, kind="stable")
+            order = order[p[order] > 1e-3]
+            cells.append(lo + order)
+            likely.append(p[order])
+        best = np.cumprod([1.0, *(p[0] for p in likely[::-1])])[::-1]  # what the directions from each on can still contribute
+        least = best[0] / 2
+        while True:
+            sums, picks = np.ones(1), [np.zeros(1, np.int64)]
+            for d, p in enumerate(likely):
+                grown = sums[:, None] * p
+                at, cell = np.nonzero(grown * best[d + 1] >= least)
+                sums, picks = grown[at, cell], [*(x[at] for x in picks), cell]
+            if sums.sum() >= chance or least < best[0] * 1e-3 ** len(likely):
+                order = np.argsort(-sums, kind="stable")
+                n = int(np.searchsorted(np.cumsum(sums[order]), chance)) + 1
+                return np.stack([c[x[order[:n]]] for c, x in zip(cells, picks[1:], strict=True)], axis=1)
+            least /= 4
 
 
 def _best(q: np.ndarray, c: np.ndarray, s: np.ndarray, k: int) -> np.ndarray:
@@ -198,12 +212,14 @@ def search(vectors: DataFrame, asks, k: int = 5, id_col: str = "vec_id", vec_col
             a, z = np.searchsorted(wants, [b, b], side="left")[0], np.searchsorted(wants, b, side="right")
             if a == z:
                 continue
-            qs = which[a:z]
-            s = uy[qs] @ ux[lo:hi].T
-            got.append((np.repeat(qs, hi - lo), np.tile(np.arange(lo, hi), len(qs)), s.ravel()))
-            held += s.size
-            if held > 1_000_000:
-                got, held = reduce(got), 0
+            step = max(1, BLOCK_PAIRS // (hi - lo))
+            for at in range(a, z, step):
+                qs = which[at : min(z, at + step)]
+                s = uy[qs] @ ux[lo:hi].T
+                got.append((np.repeat(qs, hi - lo), np.tile(np.arange(lo, hi), len(qs)), s.ravel()))
+                held += s.size
+                if held >= BLOCK_PAIRS:
+                    got, held = reduce(got), 0
         if not got:
             return none
         ((q, c, _),) = reduce(got)
