@@ -20,7 +20,8 @@ cross documents and are judged on the input.
 
 Null and empty texts have no bytes. Rows with equal texts are each other's copies, so all their strings are repeated. Ids may
 be null or repeat. Runs without triggers (say, one byte over and over) are covered by 2. Texts
-of more than ``PART_BYTES`` are parsed in overlapping parts. An empty table gives no rows.
+of more than ``PART_BYTES`` are parsed in overlapping parts. An empty table gives no rows. Other columns, whatever their names, are not
+read.
 """
 
 from __future__ import annotations
@@ -33,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wayfold.llm.common import SYMBOL_BYTES, Rolling, byte_symbols, column_bytes, lean, ragged, signed, slices, table
+from wayfold.llm.common import SYMBOL_BYTES, Rolling, byte_symbols, column_bytes, lean, ragged, release, signed, slices, table
 
 LENGTH = 200
 TRIGGER = 8
@@ -367,22 +368,34 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, owner: str = "query")
     parts = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
     parsed = _parse(base, length).repartition(parts, "h").sortWithinPartitions("h", "h2")
     dup = parsed.mapInArrow(lean(_again), "row long, k long, m long").groupBy("row").agg(F.collect_set(F.struct("k", "m")).alias("dup"))
-    cut = table(_cut(base.join(dup, "row", "left"), length), "pfp-cut", owner, ["kind"])
+    # tables that the next one is made of go with it: the parse and the heads are not kept beside texts on their way
+    cut = table(_cut(base.join(table(dup, "pfp-dup", f"{owner}-parse"), "row", "left"), length), "pfp-cut", owner, ["kind"])
+    release(f"{owner}-parse")
     records = cut.filter("kind = 2").select("row", "z1", "z2", "phrase", "n", "lo", "hi", "left_n", "bytes")
-    heads = records.groupBy("z1", "z2").agg(F.sum("n").alias("n"), *[F.first(c).alias(c) for c in ("row", "phrase", "lo", "left_n", "bytes")])
-    heads = table(heads, "pfp-heads", owner)
-    several = heads.filter("n > 1").select("z1", "z2")
-    whole = records.select("z1", "z2", "row", "lo", "hi").join(several, ["z1", "z2"], "left_semi").select("row", "lo", (F.col("hi") + length).alias("hi"))
-    crowds = heads.groupBy("phrase").agg(F.count(F.lit(1)).alias("heads")).filter("heads > 1")
-    tagged = heads.join(crowds, "phrase")
-    shards = max(1, -(-tagged.filter(F.col("heads") <= CROWD).count() // SHARD_RECORDS))
-    calm = tagged.filter(F.col("heads") <= CROWD).select("row", "z1", "z2", F.least("n", F.lit(2)).alias("n"), "phrase", "lo", "left_n", "bytes", F.pmod(F.xxhash64("phrase"), F.lit(shards)).alias("shard"))
+    # what to compare is settled without the bytes, which then move for the heads of phrases with several heads only
+    mine = f"{owner}-heads"
+    light = table(records.groupBy("z1", "z2").agg(F.sum("n").alias("n"), F.first("phrase").alias("phrase")), "pfp-light", mine)
+    whole = records.select("z1", "z2", "row", "lo", "hi").join(light.filter("n > 1").select("z1", "z2"), ["z1", "z2"], "left_semi").select("row", "lo", (F.col("hi") + length).alias("hi"))
+    shared = light.groupBy("phrase").agg(F.count(F.lit(1)).alias("heads")).filter("heads > 1")
+    tagged = table(light.join(shared, "phrase").select("z1", "z2", F.least("n", F.lit(2)).alias("n"), "phrase", "heads"), "pfp-tagged", mine)
+
+    def heads(which: DataFrame) -> DataFrame:
+        """One record of each head, with its bytes."""
+        return records.select("z1", "z2", "row", "lo", "left_n", "bytes").join(which, ["z1", "z2"]).dropDuplicates(["z1", "z2"])
+
+    few, many = tagged.filter(F.col("heads") <= CROWD), tagged.filter(F.col("heads") > CROWD)
+    shards = max(1, -(-few.count() // SHARD_RECORDS))
+    calm = heads(few).select("row", "z1", "z2", "n", "phrase", "lo", "left_n", "bytes", F.pmod(F.xxhash64("phrase"), F.lit(shards)).alias("shard"))
     ordered = calm.repartition(shards, "shard").groupBy("shard").applyInArrow(lambda t: _order_shard(t, length), "row long, lo long, hi long")
-    crowd = tagged.filter(F.col("heads") > CROWD).select("row", "n", "lo", "bytes").mapInArrow(lean(lambda x: _strings(x, length)), "row long, n long, at long, w1 long, w2 long")
+    crowd = heads(many).select("row", "n", "lo", "bytes").mapInArrow(lean(lambda x: _strings(x, length)), "row long, n long, at long, w1 long, w2 long")
     often = crowd.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("w1", "w2")
     more = crowd.filter("n = 1").join(often, ["w1", "w2"], "left_semi").select("row", F.col("at").alias("lo"), (F.col("at") + length).alias("hi"))
-    spans = cut.filter("kind = 3").select("row", "lo", "hi").unionByName(whole).unionByName(ordered).unionByName(more)
-    return cut, table(spans.groupBy("row").agg(F.collect_set(F.struct("lo", "hi")).alias("spans")), "pfp-spans", owner)
+    spans = cut.filter("kind = 3").select("row", "lo", "hi").unionByName(whole).unionByName(ordered)
+    if not many.isEmpty():
+        spans = spans.unionByName(more)
+    found = table(spans.groupBy("row").agg(F.collect_set(F.struct("lo", "hi")).alias("spans")), "pfp-spans", owner)
+    release(mine)
+    return cut, found
 
 
 def _without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
