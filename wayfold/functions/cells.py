@@ -24,15 +24,24 @@ def bits(a: Column, mask: int) -> Column:
     return a.bitwiseAND(F.lit(mask if mask < 1 << 63 else mask - (1 << 64)).cast("long"))
 
 
-def face_uv(x: Column, y: Column, z: Column) -> tuple[Column, Column, Column]:
-    """Cube face and face coordinates of a direction: the largest component decides, ties prefer x, then y."""
+def _face(x: Column, y: Column, z: Column) -> Column:
+    """The largest component decides, ties prefer x, then y."""
     ax, ay, az = F.abs(x), F.abs(y), F.abs(z)
     axis = F.when((ax >= ay) & (ax >= az), 0).when(ay >= az, 1).otherwise(2)
     lead = F.when(axis == 0, x).when(axis == 1, y).otherwise(z)
-    face = axis + F.when(lead < 0, 3).otherwise(0)
+    return (axis + F.when(lead < 0, 3).otherwise(0)).cast("long")
+
+
+def _uv(face: Column, x: Column, y: Column, z: Column) -> tuple[Column, Column]:
     u = F.when(face == 0, y / x).when(face == 1, -x / y).when(face == 2, -x / z).when(face == 3, z / x).when(face == 4, z / y).otherwise(-y / z)
     v = F.when(face == 0, z / x).when(face == 1, z / y).when(face == 2, -y / z).when(face == 3, y / x).when(face == 4, -x / y).otherwise(-x / z)
-    return face.cast("long"), u, v
+    return u, v
+
+
+def face_uv(x: Column, y: Column, z: Column) -> tuple[Column, Column, Column]:
+    """Cube face and face coordinates of a direction."""
+    face = _face(x, y, z)
+    return (face, *_uv(face, x, y, z))
 
 
 def st(u: Column) -> Column:
@@ -97,8 +106,18 @@ def hilbert(face: Column, i: Column, j: Column, level: int = MAX_LEVEL) -> Colum
 
 
 def cell_id(lat: Column, lng: Column, level: int = MAX_LEVEL) -> Column:
-    face, u, v = face_uv(*xyz(lat, lng))
-    return hilbert(face, ij(st(u)), ij(st(v)), level)
+    """The cell of ``level`` at a position. Each step is bound to a name, so that none is evaluated twice."""
+    named = lambda **columns: F.struct(*[c.alias(k) for k, c in columns.items()])
+
+    def on_face(p: Column) -> Column:
+        return _bound(named(x=p["x"], y=p["y"], z=p["z"], face=_face(p["x"], p["y"], p["z"])), on_plane)
+
+    def on_plane(p: Column) -> Column:
+        u, v = _uv(p["face"], p["x"], p["y"], p["z"])
+        return _bound(named(face=p["face"], u=u, v=v), lambda q: hilbert(q["face"], ij(st(q["u"])), ij(st(q["v"])), level))
+
+    x, y, z = xyz(lat, lng)
+    return _bound(named(x=x, y=y, z=z), on_face)
 
 
 def cell_center(cell: Column) -> Column:

@@ -33,6 +33,18 @@ def rect_area(lat_lo: Column, lat_hi: Column, lng_lo: Column, lng_hi: Column) ->
 
 # ---------------------------------------------------------------- joins
 
+BROADCAST_ROWS = 10_000  # regions or queries, each with at most some hundred cells
+
+
+def _small(df: DataFrame) -> bool:
+    """Whether a side has few enough rows to be sent to every task; counted, not guessed."""
+    return df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+
+
+def _cell_or_none(level: int) -> Column:
+    """The cell of a position, 0 (no cell's id) for none: a key that can't be null is not made a second time by a filter for it."""
+    return F.coalesce(cells.cell_id(F.col("latitude"), F.col("longitude"), level), F.lit(0).cast("long")).alias("cell")
+
 
 def covering_table(regions: DataFrame, region, max_cells: int = 8, max_level: int = 20, interior: bool = False) -> DataFrame:
     """(id, cell) of the coverings of ``regions`` (id and parameters); ``region`` makes a region of a row."""
@@ -71,8 +83,9 @@ def point_join(points: DataFrame, regions: DataFrame, region, level: int = 12, m
     count = F.call_function("shiftleft", F.lit(1).cast("long"), (2 * (F.lit(level) - own)).cast("int"))
     first = cells.parent(cells.range_min(F.col("cell")), level)
     laid = laid.select(F.col("id").alias("region_id"), F.explode(F.transform(F.sequence(F.lit(0).cast("long"), count - 1), lambda k: first + k * F.lit(1 << (2 * (30 - level) + 1)).cast("long"))).alias("cell"))
-    keyed = points.select(F.col("id").alias("point_id"), "latitude", "longitude", cells.cell_id(F.col("latitude"), F.col("longitude"), level).alias("cell"))
-    met = keyed.join(laid.distinct(), "cell").join(regions.withColumnRenamed("id", "region_id"), "region_id")
+    keyed = points.select(F.col("id").alias("point_id"), "latitude", "longitude", _cell_or_none(level))
+    own_side = F.broadcast if _small(regions) else lambda df: df
+    met = keyed.join(own_side(laid.distinct()), "cell").join(own_side(regions.withColumnRenamed("id", "region_id")), "region_id")
     columns = [c for c in regions.columns if c != "id"]
     kinds = dict(met.dtypes)
 
@@ -105,8 +118,8 @@ def nearest(queries: DataFrame, points: DataFrame, k: int, radius_m: float, leve
 
     kinds = dict(queries.dtypes)
     asked = queries.select("id", "latitude", "longitude").mapInPandas(around, f"query_id {kinds['id']}, qa double, qb double, cell long").distinct()
-    laid = points.select(F.col("id").alias("point_id"), "latitude", "longitude", cells.cell_id(F.col("latitude"), F.col("longitude"), level).alias("cell"))
-    met = asked.join(laid, "cell").withColumn("distance", geo.haversine(F.col("qa"), F.col("qb"), F.col("latitude"), F.col("longitude"))).filter(F.col("distance") <= radius_m)
+    laid = points.select(F.col("id").alias("point_id"), "latitude", "longitude", _cell_or_none(level))
+    met = laid.join(F.broadcast(asked) if _small(queries) else asked, "cell").withColumn("distance", geo.haversine(F.col("qa"), F.col("qb"), F.col("latitude"), F.col("longitude"))).filter(F.col("distance") <= radius_m)
     w = Window.partitionBy("query_id").orderBy("distance", "point_id")
     return met.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("query_id", "rank", "point_id", "distance")
 
