@@ -11,6 +11,7 @@ each cluster with several members among the rows of a shard.
 Rows are dealt into shards of about ``shard_rows`` by a hash of their row number, so no key decides where a row goes and a
 hot source or cluster is spread; each shard packs by itself. Rows of size 0 (null or empty text) get no bin. Null sources
 are a source, null clusters conflict with nothing. Ties in size go by id and row number. An empty table gives no rows.
+Other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -97,21 +98,23 @@ def pack(items: DataFrame, capacity: int = CAPACITY, max_per_source: int = MAX_P
     return base.groupBy("shard").applyInPandas(one, PACKED)
 
 
-def items(docs: DataFrame, cluster: str | None = None) -> DataFrame:
+def items(docs: DataFrame, cluster: str | None = None, extra: dict | None = None) -> DataFrame:
     """Documents as items: size in words, duplicate cluster by the hash of the text (empty: none). With ``cluster``, a column,
     rows that agree in it (nulls agree too) are a cluster, and rows of equal text copies."""
     text = F.col("text")
     size = F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
     own = F.when(size > 0, F.xxhash64(text))
     marks = [own.alias("cluster")] if cluster is None else [F.when(size > 0, F.xxhash64(cluster)).alias("cluster"), own.alias("copy")]
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), *marks, size.alias("size"), *[c for c in ("row_no",) if c in docs.columns])
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), *marks, size.alias("size"), *[c for c in ("row_no",) if c in docs.columns], *[v.alias(k) for k, v in (extra or {}).items()])
 
 
 def near_items(docs: DataFrame, owner: str = "query") -> DataFrame:
-    """Documents as items whose clusters are the components of near copies."""
-    rows = table(docs.select("doc_id", "source", "text").withColumn("row_no", F.monotonically_increasing_id()), "pack-docs", owner)
-    group = jaccard.near_duplicates(rows.select(F.col("row_no").alias("doc_id"), "text"), ngram=5, percent=80, owner=owner, every=False)
-    return items(rows).drop("cluster").join(group.select(F.col("doc_id").alias("row_no"), F.col("component_id").alias("cluster")), "row_no")
+    """Documents as items whose clusters are the components of near copies. Texts stay where they are: rows and components meet
+    by a hash of id and text, which equal rows share."""
+    group = jaccard.near_duplicates(docs, ngram=5, percent=80, owner=owner, every=False).filter("n_shingles > 0")
+    cluster = group.groupBy("row_hash").agg(F.min("root").alias("cluster"))
+    rows = items(docs.select("doc_id", "source", "text"), extra={"row_hash": jaccard.row_hash()}).drop("cluster")
+    return rows.join(table(cluster, "pack-clusters", owner), "row_hash", "left").drop("row_hash")
 
 
 def pack_documents(docs: DataFrame, capacity: int = CAPACITY, max_per_source: int = MAX_PER_SOURCE, shard_rows: int = SHARD_ROWS, owner: str = "query", cluster: str | None = None) -> DataFrame:
