@@ -53,3 +53,8 @@ def test_lengths_that_training_lacks(spark):
     model = fitted(spark, [prose(5000 + 10 * k, k) for k in range(40)] + [prose(400_000 + k, k) for k in range(40)])
     bad, good = [junk(k, k) for k in (900, 50_000, 3_000_000)], [prose(k, 100 + k) for k in (900, 50_000, 3_000_000)]
     assert rejected(spark, model, [*bad, *good]) == [True] * 3 + [False] * 3
+
+
+def test_driver_learns_nothing(spark, monkeypatch):
+    monkeypatch.setattr(langid, "_kmeans", None)  # in the driver's process
+    assert fitted(spark, [prose(800, k) for k in range(40)]).languages == ["en"]

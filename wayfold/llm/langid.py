@@ -11,7 +11,7 @@ texts cut to their length, and a gap between filled classes by the lower fence o
 ``FEW`` rows has no quartiles to trust: its fences are half the lower quartile of cosines with the nearest other row
 (an eighth of that with its own beginning where it is alone).
 
-Fitting takes at most ``sample_rows`` labelled rows to the driver (spread evenly over languages, one a language at least, those
+Fitting takes at most ``sample_rows`` labelled rows to one task (spread evenly over languages, one a language at least, those
 of least hash of id and text); that is the only bound, prediction reads every whole text. The model has ``clusters`` centroids
 a language, so it grows with the number of distinct labels, which a table of languages bounds. Null texts and texts without a letter are ``und`` with score 0 and count
 as rejected. Without any labelled row every text is ``und``. Labels are never inputs of a prediction; ties go to the smaller
@@ -20,6 +20,7 @@ language name. Repeated rows, null ids and very long texts (read in parts, never
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -29,7 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from wayfold.llm.common import LOWER, column_bytes, lean, trim
+from wayfold.llm.common import LOWER, column_bytes, lean
 
 DIMS = 4096
 SAMPLE_ROWS = 4000
@@ -143,15 +144,25 @@ def fit(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, clusters: int = CLUSTER
                 out[4].append(data[a : min(b, a + HEAD)].tobytes())
             yield pa.RecordBatch.from_arrays([batch.column("lang"), pa.array(np.diff(offs)), *[pa.array(x, pa.binary()) for x in out]], names=["lang", "n", "i0", "v0", "i1", "v1", "head"])
 
-    def collected(rows: DataFrame) -> list:
-        return rows.mapInArrow(lean(vectors), "lang string, n long, i0 binary, v0 binary, i1 binary, v1 binary, head binary").collect()
+    def model(rows: DataFrame) -> Model:
+        """Learned in one task: the sample never comes to the driver, whose Python and JVM would hold it side by side."""
+        found = rows.mapInArrow(lean(vectors), "lang string, n long, i0 binary, v0 binary, i1 binary, v1 binary, head binary")
+        got = found.repartition(1).mapInArrow(lean(learned), "model binary").collect()
+        return pickle.loads(got[0]["model"]) if got else Model([])
 
-    rows = collected(sample)
-    if missed := sorted(set(by) - {r["lang"] for r in rows}):  # few texts over and over may all have missed the draw
-        rows += collected(least(draw.filter(F.col("lang").isin(missed))))
-    rows.sort(key=lambda r: (r["lang"], bytes(r["i0"]), bytes(r["v0"]), bytes(r["i1"]), bytes(r["v1"])))
-    if not rows:
-        return Model([])
+    def learned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if rows := [r for batch in batches for r in batch.to_pylist()]:
+            yield pa.RecordBatch.from_pydict({"model": pa.array([pickle.dumps(_learned(rows, clusters, seed))], pa.binary())})
+
+    out = model(sample)
+    if missed := sorted(set(by) - set(out.languages)):  # few texts over and over may all have missed the draw
+        out = model(sample.unionByName(least(draw.filter(F.col("lang").isin(missed)))))
+    return out
+
+
+def _learned(rows: list[dict], clusters: int, seed: int) -> Model:
+    """The model of sample rows: lang, n (bytes), i0, v0 (letters' n-grams and their log counts), i1, v1 (all bytes'), head."""
+    rows.sort(key=lambda r: (r["lang"], r["i0"], r["v0"], r["i1"], r["v1"]))
     languages = sorted({r["lang"] for r in rows})
     own = np.array([languages.index(r["lang"]) for r in rows], dtype=int)
     size = np.array([int(r["n"]).bit_length() for r in rows])
@@ -199,7 +210,7 @@ def fit(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, clusters: int = CLUSTER
         able = np.array([i for i, r in enumerate(rows) if len(r["head"]) >= length], dtype=int)
         if len(able) >= min(FEW, len(rows) // 2 + 1):
             near = []
-            for lo in range(0, len(able), 256):  # a few at a time: the driver holds one full matrix already
+            for lo in range(0, len(able), 256):  # a few at a time: one full matrix is held already
                 part = able[lo : lo + 256]
                 v = np.stack([np.log1p(counts(np.frombuffer(rows[i]["head"][:length], np.uint8))).astype(np.float32) for i in part]) * whole.idf
                 v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
@@ -210,8 +221,6 @@ def fit(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, clusters: int = CLUSTER
     filled = np.flatnonzero(~np.isnan(fences))
     for k in np.flatnonzero(np.isnan(fences)):
         fences[k] = min(fences[j] for j in (*filled[filled < k][-1:], *filled[filled > k][:1]))
-    del x, rows
-    trim()
     return Model(languages, letters, whole, fences, longest, judge)
 
 
