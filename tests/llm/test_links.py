@@ -107,3 +107,27 @@ def test_many_rows_without_id(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
     got = jaccard.near_duplicates(docs, 1, 90).collect()
     assert {r.component_id for r in got} == {7} and sorted(r.n_links for r in got) == [400] * 401
+
+
+def test_groups_that_are_done_stay_out(spark, monkeypatch):
+    """20 texts that nearly link ask for more partners; 12 that share half their words are done after their first round."""
+    rows = [(k, " ".join(f"n{k}x{j}" if j // 5 == k else f"t{j}" for j in range(360))) for k in range(20)]
+    rows += [(100 + k, " ".join([*(f"s{j}" for j in range(200)), *(f"u{k}x{j}" for j in range(200))])) for k in range(12)]
+    seen, cross = [], jaccard._cross
+
+    def watched(groups, *rest):
+        seen.append({r.key for r in groups.select("key").distinct().collect()})
+        return cross(groups, *rest)
+
+    monkeypatch.setattr(jaccard, "_cross", watched)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r.component_id for r in jaccard.near_duplicates(docs, 1, 95, every=False).collect()}
+    assert got == {i: i for i, _ in rows}
+    assert len(seen) == 3 and seen[2] < seen[1]
+
+
+def test_groups_of_equal_members_are_one(spark):
+    rows = [(key, c) for key in (5, 2, 9) for c in (10, 11, 12)] + [(1, 10), (1, 11), (3, 10), (3, 11), (3, 13)]
+    large, blocks = jaccard._large(spark.createDataFrame(rows, "key long, c long").repartition(3), "test-large")
+    assert sorted(r.key for r in blocks.collect()) == [1, 2, 3]
+    assert sorted((r.key, r.c) for r in large.collect()) == sorted(r for r in rows if r[0] in (1, 2, 3))

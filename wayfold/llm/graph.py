@@ -22,13 +22,13 @@ def components(edges: DataFrame, owner: str = "query") -> DataFrame:
     labels = both.groupBy(F.col("u").alias("v")).agg(F.least(F.min("v"), F.first("u")).alias("label"))
     labels = table(labels, "cc-labels", mine[0])
     for turn in count(1):
-        seen = both.join(labels, "v").select(F.col("u").alias("v"), "label").unionByName(labels)
-        low = seen.groupBy("v").agg(F.min("label").alias("label"))
-        jump = low.alias("x").join(labels.alias("y"), F.col("x.label") == F.col("y.v"), "left").select("x.v", F.least(F.col("x.label"), F.coalesce("y.label", "x.label")).alias("label"))
+        seen = both.join(labels, "v").select(F.col("u").alias("v"), "label", F.lit(None).cast("long").alias("old")).unionByName(labels.select("v", "label", F.col("label").alias("old")))
+        low = seen.groupBy("v").agg(F.min("label").alias("label"), F.max("old").alias("old"))
+        jump = low.alias("x").join(labels.alias("y"), F.col("x.label") == F.col("y.v"), "left").select("x.v", F.least(F.col("x.label"), F.coalesce("y.label", "x.label")).alias("label"), "x.old")
         new = table(jump, "cc-labels", mine[turn % 2])
-        changed = new.alias("n").join(labels.alias("o"), "v").filter("n.label <> o.label").limit(1).count()
+        changed = not new.filter("label <> old").isEmpty()
         release(mine[1 - turn % 2])
-        labels = new
+        labels = new.select("v", "label")
         if not changed:
             release(mine[2])
             adopt(mine[turn % 2], owner)

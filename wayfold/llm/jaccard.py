@@ -12,8 +12,8 @@ only token). Two documents link when their Jaccard similarity is ``percent`` per
 3. Groups of a key of up to ``SMALL`` members give all their pairs. Larger groups don't: a member that is not of the group's
    commonest component gives only its ``GIVES`` nearest members of other components (by a parity-bitmap bound on the symmetric
    difference, which is exact as a bound). What links there is merged, and whoever had more partners than it gave gives eight
-   times as many in the next round, until nobody is left with a pair between two components that was not verified. First
-   each class does so in the one group of its least key, where near copies meet, then in all its groups. Groups of more than
+   times as many in the next round, until nobody is left with a pair between two components that was not verified; groups
+   without such a member are done and stay out of it, and groups of the same members are one. First each class does so in the one group of its least key, where near copies meet, then in all its groups. Groups of more than
    ``GROUP`` members are dealt into blocks, and each pair of blocks is a task's work. So groups of near copies don't emit
    their square, and no partner is capped.
 4. Candidates pass the bitmap bound (larger sets have larger bitmaps) and are then verified on their whole token sets. Those of
@@ -284,18 +284,22 @@ def _pairs(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Recor
 
 def _nearest(batches: Iterator[pa.RecordBatch], percent: int, gives: int) -> Iterator[pa.RecordBatch]:
     """Candidates of a large group: each member that is not of its commonest component with its ``gives`` nearest members of
-    other components, of those that pass the bounds on length and symmetric difference; ``more``: it has others. A pair that
-    several groups of a task give comes once."""
+    other components, of those that pass the bounds on length and symmetric difference; ``more``, with the group's key as a:
+    some member has others. A pair that several groups of a task give comes once."""
     held: list[np.ndarray] = []
+    left: set[int] = set()
 
     def once() -> pa.RecordBatch:
-        a, b, more = np.unique(np.concatenate([*held, np.zeros((3, 0), np.int64)], axis=1), axis=1)
+        a, b = np.unique(np.concatenate([*held, np.zeros((2, 0), np.int64)], axis=1), axis=1)
+        keys = np.array(sorted(left), np.int64)
         held.clear()
-        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(more.astype(bool))], names=["a", "b", "more"])
+        left.clear()
+        more = np.r_[np.zeros(len(a), bool), np.ones(len(keys), bool)]
+        return pa.RecordBatch.from_arrays([pa.array(np.r_[a, keys]), pa.array(np.r_[b, keys]), pa.array(more)], names=["a", "b", "more"])
 
     for t in _grouped(batches):
         key, c, n, label = (t.column(x).to_numpy() for x in ("key", "c", "n", "label"))
-        raw = t.column("bits").to_pylist()
+        raw, whole = t.column("bits").to_pylist(), t.column("whole")
         size = np.array([len(r) for r in raw])  # ascends with n
         for s, m in zip(*_runs(key), strict=True):
             nn, cc, own = n[s : s + m], c[s : s + m], size[s : s + m]
@@ -316,10 +320,11 @@ def _nearest(batches: Iterator[pa.RecordBatch], percent: int, gives: int) -> Ite
                     apart[at] = np.bitwise_count(rows[y[at] - k] ^ rows[x - k]).sum(axis=1, dtype=np.int64)
                 fit = apart * (100 + percent) <= (100 - percent) * (nn[y] + nn[x])
                 y, far = y[fit], apart[fit] / (nn[y[fit]] + nn[x])
-                more = len(y) > gives
-                if more:
+                if len(y) > gives:
                     y = y[np.argpartition(far, gives)[:gives]]
-                held.append(np.stack([np.minimum(cc[x], cc[y]), np.maximum(cc[x], cc[y]), np.full(len(y), more)]))
+                    of_block = whole[int(s)].as_py()
+                    left.add(int(key[s]) if of_block is None else of_block)
+                held.append(np.stack([np.minimum(cc[x], cc[y]), np.maximum(cc[x], cc[y])]))
         if sum(h.shape[1] for h in held) > 200_000:
             yield once()
     yield once()
@@ -580,10 +585,9 @@ def _connect(docs: DataFrame, ngram: int, percent: int, owner: str) -> tuple[Dat
     near = table(_bounded(met.filter("not large").select("a", "b").distinct(), big, percent), "jaccard-first", owner)
     links = _settled(_verified(near, classes, texts, ngram, percent, f"{owner}-try"), "jaccard-links", owner)
     label = components(links.select("a", "b"), owner)
-    large = met.filter("large").select("key", F.col("a").alias("c"))
+    large, blocks = _large(met.filter("large").select("key", F.col("a").alias("c")), owner)
     if large.isEmpty():
         return profiles, classes, links, label
-    blocks = large.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / F.lit(GROUP)).cast("int").alias("blocks"))
     least = large.groupBy("c").agg(F.min("key").alias("key")).select("key", "c")
     gives, groups, tried = GIVES, least, near
     while True:
@@ -597,23 +601,32 @@ def _connect(docs: DataFrame, ngram: int, percent: int, owner: str) -> tuple[Dat
                 label = components(links.select("a", "b"), owner)
         if groups is least:
             groups = large
-        elif not more:
+        elif more.isEmpty():
             return profiles, classes, links, label
-        else:
-            gives *= 8
+        else:  # the other groups are done: all pairs between their components were tried, and components only grow
+            gives, groups = gives * 8, groups.join(more, "key", "left_semi")
+
+
+def _large(rows: DataFrame, owner: str) -> tuple[DataFrame, DataFrame]:
+    """``rows`` (key, c) of large groups, and in how many blocks each group is dealt (key, blocks). Of groups of the same members
+    (near copies share most of their keys) that of the least key stands for all: told by 128 bits and the number of members."""
+    of = rows.groupBy("key").agg(F.count(F.lit(1)).alias("many"), F.bit_xor(F.xxhash64("c")).alias("x"), F.bit_xor(F.xxhash64("c", F.lit(1))).alias("y"))
+    blocks = of.groupBy("x", "y", "many").agg(F.min("key").alias("key")).select("key", F.ceil(F.col("many") / F.lit(GROUP)).cast("int").alias("blocks"))
+    blocks = table(blocks, "jaccard-groups", owner)
+    return table(rows.join(blocks.select("key"), "key", "left_semi"), "jaccard-large", owner), blocks
 
 
-def _cross(groups: DataFrame, blocks: DataFrame, classes: DataFrame, label: DataFrame, percent: int, gives: int, parts: int, owner: str) -> tuple[bool, DataFrame]:
-    """Candidates between different components in ``groups`` (key, c), and whether there are more."""
+def _cross(groups: DataFrame, blocks: DataFrame, classes: DataFrame, label: DataFrame, percent: int, gives: int, parts: int, owner: str) -> tuple[DataFrame, DataFrame]:
+    """Groups of ``groups`` (key, c) that have more candidates between different components (key), and those found."""
     rows = groups.join(label.withColumnRenamed("v", "c"), "c", "left").select("key", "c", F.coalesce("label", "c").alias("label"))
     rows = table(rows, "jaccard-rows", f"{owner}-try")
     mixed = rows.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").join(blocks, "key").select("key", "blocks")
     dealt = rows.join(mixed, "key").withColumn("block", F.pmod(F.xxhash64("c"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     of = F.when(F.col("blocks") > 1, F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other"))).otherwise(F.col("key"))
-    dealt = dealt.select(of.alias("key"), "c", "label").join(classes.select("c", "n", "bits"), "c").select("key", "c", "n", "label", "bits")
+    dealt = dealt.select(of.alias("key"), F.when(F.col("blocks") > 1, F.col("key")).alias("whole"), "c", "label").join(classes.select("c", "n", "bits"), "c").select("key", "whole", "c", "n", "label", "bits")
     dealt = dealt.repartition(parts, "key").sortWithinPartitions("key", "n", "c")
     met = _settled(dealt.mapInArrow(lean(lambda x: _nearest(x, percent, gives)), "a long, b long, more boolean"), "jaccard-near", owner)
-    return not met.filter("more").isEmpty(), met.select("a", "b").distinct()
+    return met.filter("more").select(F.col("a").alias("key")).distinct(), met.filter("not more").select("a", "b").distinct()
 
 
 def near_duplicates(docs: DataFrame, ngram: int = 3, percent: int = 90, owner: str = "query", every: bool = True) -> DataFrame:
