@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from wayfold.functions import tracks
+from wayfold.functions import cells, geo, tracks
 from wayfold.operators import cluster, trajectory
 from wayfold.sources.tracks import points
 
@@ -82,6 +82,37 @@ def test_quantisation_report_quantises_once(spark, tiny):
     assert got.dtypes == want.dtypes and sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
 
 
+def test_grid_is_joined_in_one_pass(spark, tiny):
+    """Against clean fixes joined by native cells and centroids, rows without a position or a key among them."""
+    odd = points(spark, tiny).limit(40).withColumn("k", F.monotonically_increasing_id() % 4)
+    odd = odd.withColumn("latitude", F.when(F.col("k") > 0, F.col("latitude"))).withColumn("device_id", F.when(F.col("k") == 3, "far").when(F.col("k") == 0, F.format_string("lost%d", "event_id")).otherwise(F.col("device_id"))).drop("k")
+    for p in (points(spark, tiny), odd):
+        p = p.cache()
+        grid = trajectory.grid_quantised(p, 3600, 14)
+        plan = grid._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("FlatMapGroupsInPandas") == 1 and "Aggregate" not in plan
+        native = trajectory.clean(p, 3600).withColumn("cell", F.when(F.col("latitude").isNotNull(), cells.cell_id(F.col("latitude"), F.col("longitude"), 14)))
+        lat, lng = geo.centroid(F.col("latitude"), F.col("longitude"))
+        native = native.groupBy("device_id", "day", "slot", "cell").agg(lat.alias("latitude"), lng.alias("longitude"), F.min("capturetime").alias("capturetime"))
+        assert grid.dtypes == native.dtypes
+        got, want = ({tuple(r)[:4]: tuple(r)[4:] for r in x.collect()} for x in (grid, native))
+        assert got.keys() == want.keys() and len(got) > 5
+        for key, at in want.items():
+            assert got[key] == pytest.approx(at, abs=1e-9) if None not in at else got[key][0] is None
+
+
+def test_cells_of_arrays(spark):
+    rng = np.random.default_rng(6)
+    lat, lng = np.r_[rng.uniform(-90, 90, 600), 0, 90, -90, 45, -45], np.r_[rng.uniform(-180, 180, 600), 0, 0, 180, 45, -135]
+    df = spark.createDataFrame([(float(a), float(b)) for a, b in zip(lat, lng, strict=True)], "lat double, lng double").coalesce(1)
+    levels = (0, 1, 13, 15, 29, 30)
+    rows = df.select(*[cells.cell_id(F.col("lat"), F.col("lng"), k).alias(f"c{k}") for k in levels]).collect()
+    for k in levels[:4]:
+        assert cells.cell_ids(lat, lng, k).tolist() == [r[f"c{k}"] for r in rows]
+    for k in levels[4:]:  # sines may differ in their last bit
+        assert np.mean(cells.cell_ids(lat, lng, k) == [r[f"c{k}"] for r in rows]) > 0.9
+
+
 def test_moving_needs_no_hull(spark, tiny, monkeypatch):
     """A device-day that plainly spans the distance, or plainly doesn't, is told without its diameter."""
     t, lat, lng = crowded(5000)
