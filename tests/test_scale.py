@@ -99,6 +99,9 @@ def test_grid_is_joined_in_one_pass(spark, tiny):
         assert got.keys() == want.keys() and len(got) > 5
         for key, at in want.items():
             assert got[key] == pytest.approx(at, abs=1e-9) if None not in at else got[key][0] is None
+        share = trajectory.grid_reduction(p, 3600, 14)
+        assert "Join" not in share._jdf.queryExecution().optimizedPlan().toString()
+        assert sorted(map(tuple, share.collect())) == sorted(map(tuple, trajectory.reduction(p, native).collect()))
 
 
 def test_cells_of_arrays(spark):

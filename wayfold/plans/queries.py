@@ -290,8 +290,7 @@ def grid_quantise(spark, d):
 
 @query()
 def quantise_ratio(spark, d):
-    p = points(spark, d)
-    return trajectory.reduction(p, trajectory.grid_quantised(p, SPAN, 15))
+    return trajectory.grid_reduction(points(spark, d), SPAN, 15)
 
 
 @query()
