@@ -43,3 +43,38 @@ def test_near_copies(spark):
     rows += [(None, " ".join(base), "en", "x", 0), (None, " ".join(base), "en", "y", 0), (90, "other words", "en", "z", 0), (91, "", "en", "z", 0)]
     got = bins(packing.pack_documents(spark.createDataFrame(rows, SCHEMA).repartition(3)))
     assert all(sum(r.n_tokens == 120 for r in b) == 1 for b in got.values()) and len(got) == 32
+
+
+def test_keys_meet_in_buckets():
+    """Keys that travel as arrays: pairs of small groups, members of large ones, also of keys that stand out in one batch only."""
+    import numpy as np
+    import pyarrow as pa
+
+    from wayfold.llm import jaccard
+
+    rng, rows = np.random.default_rng(4), []
+    for c in range(1, 61):
+        keys = {int(k) for k in rng.integers(100, 160, 3)} | ({7} if c <= 20 or c == 50 else set()) | ({8} if c % 10 == 0 else set())
+        rows.append((c, 200 + c % 3, len(keys), np.array(sorted(keys), np.uint64).tobytes()))
+    dealt = []
+    for part in (rows[:30], rows[30:45], rows[45:]):
+        made = pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*part, strict=True)], names=["c", "n", "rare", "prefix"])
+        dealt += [r for b in jaccard._keys(iter([made]), 80, 5) for r in b.to_pylist()]
+    dealt.sort(key=lambda r: r["bucket"])
+    got = [r for i in (dealt[:9], dealt[9:]) if i for r in i]
+    out = [r for b in jaccard._pairs(iter([pa.RecordBatch.from_pylist(got[:9]), pa.RecordBatch.from_pylist(got[9:])]), 80) for r in b.to_pylist()]
+    groups = {}
+    for c, _, _, raw in rows:
+        for k in np.frombuffer(raw, np.uint64).tolist():
+            groups.setdefault(k, []).append(c)
+    small = {(a, b) for g in groups.values() if len(g) <= jaccard.SMALL for a in g for b in g if a < b}
+    assert {(r["a"], r["b"]) for r in out if not r["large"]} == small
+    assert sorted((r["key"], r["a"]) for r in out if r["large"]) == sorted((k, c) for k, g in groups.items() if len(g) > jaccard.SMALL for c in g)
+
+
+def test_items_come_from_the_join(spark):
+    """Sizes and sources come along with the join; texts are not read again to count them."""
+    rows = [(1, "s", "a b c\td  e"), (2, None, ""), (None, "t", None), (3, "t", "a b c\td  e")]
+    got = packing.near_items(spark.createDataFrame(rows, "doc_id long, source string, text string"))
+    assert sorted((r.doc_id or 0, r.source, r["size"], r.cluster is None, r.copy is None) for r in got.collect()) == [(0, "t", 0, True, True), (1, "s", 4, False, False), (2, None, 0, True, True), (3, "t", 4, False, False)]
+    assert "regexp_count" not in got._jdf.queryExecution().toString()

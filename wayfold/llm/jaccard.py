@@ -42,6 +42,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from wayfold.llm.common import LOWER, chained, column_bytes, lean, mix, ragged, release, signed, slices, table, word_hashes, words
 from wayfold.llm.graph import components
@@ -51,6 +52,8 @@ BLOCK = 1 << 16
 LONG_PREFIX = 20
 SMALL = 8
 GIVES, GROUP = 2, 4096
+BUCKET = 1 << 20  # keys that are sorted at once
+MATRIX = 1 << 22  # bytes of bitmaps that are compared at once
 BITS = ((0, 1024), (1350, 4096), (6000, 16384))  # sets of so many tokens at least have bitmaps of so many bits
 BLOCK_TOKENS = 2_000_000
 BLOOM_BITS = 1 << 24
@@ -59,8 +62,8 @@ _NONE = (1 << 63) - 1
 _PAIRS = "a long, b long"
 
 
-def _grams(data: np.ndarray, offsets: np.ndarray, ngram: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """n-gram hashes of slices of texts, one text after another, and how many each text has."""
+def _grams(data: np.ndarray, offsets: np.ndarray, ngram: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """n-gram hashes of slices of texts, one text after another, how many each text has, and how many words."""
     for i, j in slices(offsets):
         lo, hi = offsets[i], offsets[j]
         part, offs = LOWER[data[lo:hi]], offsets[i : j + 1] - lo
@@ -74,12 +77,13 @@ def _grams(data: np.ndarray, offsets: np.ndarray, ngram: int) -> Iterator[tuple[
         begin = np.cumsum(count) - count
         for d in np.flatnonzero((many > 0) & (many < ngram)):
             grams[begin[d]] = chained(word[bounds[d] : bounds[d + 1]], int(many[d]))[0]
-        yield grams, count
+        yield grams, count, many
 
 
-def slice_sets(data: np.ndarray, offsets: np.ndarray, ngram: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """The sets of slices of texts: distinct n-gram hashes of one text after another, ascending in each, and their sizes."""
-    for grams, count in _grams(data, offsets, ngram):
+def slice_sets(data: np.ndarray, offsets: np.ndarray, ngram: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """The sets of slices of texts: distinct n-gram hashes of one text after another, ascending in each, their sizes, and how
+    many words each text has."""
+    for grams, count, many in _grams(data, offsets, ngram):
         end = np.cumsum(count)
         for a, b in zip((end - count).tolist(), end.tolist(), strict=True):
             grams[a:b].sort()
@@ -87,12 +91,12 @@ def slice_sets(data: np.ndarray, offsets: np.ndarray, ngram: int) -> Iterator[tu
         first[1:] = grams[1:] != grams[:-1]
         first[(end - count)[count > 0]] = True
         places = np.r_[0, np.cumsum(first)]
-        yield grams[first], places[end] - places[end - count]
+        yield grams[first], places[end] - places[end - count], many
 
 
 def token_sets(data: np.ndarray, offsets: np.ndarray, ngram: int) -> Iterator[np.ndarray]:
     """The set of each text: its distinct n-gram hashes, ascending."""
-    for tokens, size in slice_sets(data, offsets, ngram):
+    for tokens, size, _ in slice_sets(data, offsets, ngram):
         end = np.cumsum(size)
         yield from (tokens[a:b] for a, b in zip((end - size).tolist(), end.tolist(), strict=True))
 
@@ -103,9 +107,8 @@ def _sketch(texts: DataFrame, ngram: int) -> np.ndarray:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(SLOTS, np.uint32)
         for batch in batches:
-            for grams, _ in _grams(*column_bytes(batch.column("text")), ngram):
-                slot, many = np.unique((grams >> np.uint64(43)).astype(np.int32), return_counts=True)
-                total[slot] += many.astype(np.uint32)
+            for grams, _, _ in _grams(*column_bytes(batch.column("text")), ngram):
+                np.add.at(total, (grams >> np.uint64(43)).astype(np.int64), np.uint32(1))
         for k in range(0, SLOTS, BLOCK):
             if (part := total[k : k + BLOCK]).any():
                 yield pa.RecordBatch.from_pydict({"block": pa.array([k // BLOCK], pa.int32()), "counts": pa.array([zlib.compress(part.tobytes(), 1)], pa.binary())})
@@ -148,20 +151,22 @@ def _names(m: np.ndarray) -> tuple[int, int]:
 
 
 def _profiles(texts: DataFrame, frequent: np.ndarray, ngram: int, percent: int) -> DataFrame:
-    """For each row: id, rep (names the row's text), n, h1, h2 (hashes of the set), prefix (tokens, rare ones first), rare (how
-    many) and bits (a parity bitmap, larger for larger sets)."""
+    """For each row: its columns but the text, words (how many), n, h1, h2 (hashes of the set), prefix (tokens, rare ones first),
+    rare (how many) and bits (a parity bitmap, larger for larger sets)."""
+    own = [f for f in texts.schema if f.name != "text"]
     held = texts.sparkSession.sparkContext.broadcast(np.packbits(frequent))
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often = np.unpackbits(held.value).astype(bool)
         least = _least_size(percent)
         for batch in batches:
-            n, h1, h2, prefix, rare, bits = [], [], [], [], [], []
-            for tokens, size in slice_sets(*column_bytes(batch.column("text")), ngram):
+            many, n, h1, h2, prefix, rare, bits = [], [], [], [], [], [], []
+            for tokens, size, count in slice_sets(*column_bytes(batch.column("text")), ngram):
                 end = np.cumsum(size)
                 begin = end - size
                 m = _scrambled(tokens)
                 sums, odds = np.r_[np.uint64(0), np.cumsum(m)], np.r_[np.uint64(0), np.bitwise_xor.accumulate(mix(m))]
+                many.append(count)
                 n.append(size)
                 h1.append(np.where(size > 0, signed(mix(sums[end] - sums[begin] + size.astype(np.uint64))), 0))
                 h2.append(signed(odds[end] ^ odds[begin]))
@@ -181,13 +186,14 @@ def _profiles(texts: DataFrame, frequent: np.ndarray, ngram: int, percent: int)
                     wide = max(w for from_, w in BITS if b - a >= from_)
                     odd = np.bincount(place[a:b] & (wide - 1), minlength=wide) & 1
                     bits.append(np.packbits(odd.astype(bool)).tobytes())
-            n, h1, h2 = (np.concatenate([*x, np.zeros(0, np.int64)]) for x in (n, h1, h2))
+            many, n, h1, h2 = (np.concatenate([*x, np.zeros(0, np.int64)]) for x in (many, n, h1, h2))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("rep"), pa.array(n), pa.array(h1), pa.array(h2), pa.array(prefix, pa.binary()), pa.array(rare, pa.int32()), pa.array(bits, pa.binary())],
-                names=["doc_id", "rep", "n", "h1", "h2", "prefix", "rare", "bits"],
+                [*(batch.column(f.name) for f in own), pa.array(many), pa.array(n), pa.array(h1), pa.array(h2), pa.array(prefix, pa.binary()), pa.array(rare, pa.int32()), pa.array(bits, pa.binary())],
+                names=[*(f.name for f in own), "words", "n", "h1", "h2", "prefix", "rare", "bits"],
             )
 
-    return texts.mapInArrow(lean(make), "doc_id long, rep long, n long, h1 long, h2 long, prefix binary, rare int, bits binary")
+    made = StructType.fromDDL("words long, n long, h1 long, h2 long, prefix binary, rare int, bits binary")
+    return texts.mapInArrow(lean(make), StructType([*own, *made]))
 
 
 @lru_cache(maxsize=None)
@@ -196,27 +202,72 @@ def _two_of(n: int) -> tuple[np.ndarray, np.ndarray]:
     return np.triu_indices(n, 1)
 
 
-def _keys(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """Index keys of each class: rare prefix tokens, and combinations of two frequent ones (long sets: frequent ones alone)."""
-    for whole in batches:
-        for at in range(0, whole.num_rows, 512):
-            batch = whole.slice(at, 512)
-            key, row, held = [], [], 0
-            for i, (n, rare, raw) in enumerate(zip(batch.column("n").to_pylist(), batch.column("rare").to_pylist(), batch.column("prefix").to_pylist(), strict=True)):
-                t = np.frombuffer(raw, np.uint64)
-                mine, often = [t[:rare]], t[rare:]
-                if n <= _long(percent) * 100 // percent + 1 and len(often) > 1:
-                    x, y = _two_of(len(often))
-                    mine.append(mix(often[x] + mix(often[y])))
-                if n >= _long(percent):
-                    mine.append(mix(often ^ np.uint64(0x5851F42D4C957F2D)))
-                key.append(np.concatenate(mine))
-                row.append(np.full(len(key[-1]), i, np.int32))
-                held += len(key[-1])
-                if held > 100_000 or i == batch.num_rows - 1:
-                    take = pa.array(np.concatenate(row))
-                    yield pa.RecordBatch.from_arrays([pa.array(signed(np.concatenate(key))), batch.column("c").take(take), batch.column("n").take(take)], names=["key", "c", "n"])
-                    key, row, held = [], [], 0
+def _many_keys(percent: int) -> Column:
+    """How many keys ``_keys`` makes of a class."""
+    often = F.octet_length("prefix") / 8 - F.col("rare")
+    two = F.when(F.col("n") <= _long(percent) * 100 // percent + 1, often * (often - 1) / 2).otherwise(0)
+    return (F.col("rare") + two + F.when(F.col("n") >= _long(percent), often).otherwise(0)).cast("long")
+
+
+def _keys(batches: Iterator[pa.RecordBatch], percent: int, buckets: int) -> Iterator[pa.RecordBatch]:
+    """Index keys of each class: rare prefix tokens, and combinations of two frequent ones (long sets: frequent ones alone).
+    They travel as arrays (``_packed``), by bucket. Keys that have more than ``SMALL`` members here are large: their members
+    travel apart (``known``) and need not meet, the key's bucket gets a mark (n of -1)."""
+    key, c, n, held = [], [], [], 0
+
+    def dealt() -> pa.RecordBatch:
+        k, cc, nn = np.concatenate(key), np.concatenate(c), np.concatenate(n)
+        place = mix(k)
+        order = np.argsort(place)
+        place, k, cc, nn = place[order], signed(k[order]), cc[order], nn[order]
+        starts, size = _runs(place)
+        of, known, data = [], [], []
+        if (size > SMALL).any():
+            big, first = np.repeat(size > SMALL, size), starts[size > SMALL]
+            for at in range(0, len(much := np.flatnonzero(big)), 1 << 16):
+                part = much[at : at + (1 << 16)]
+                of.append(int(cc[part[0]]) % buckets)
+                known.append(True)
+                data.append(_packed(k[part], cc[part], nn[part]))
+            nn[first], big[first] = -1, False  # has travelled: from here on a mark
+            place, k, cc, nn = (x[~big] for x in (place, k, cc, nn))
+        bucket = (place >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
+        for at, m in zip(*_runs(bucket), strict=True):
+            of.append(int(bucket[at]))
+            known.append(False)
+            data.append(_packed(k[at : at + m], cc[at : at + m], nn[at : at + m]))
+        return pa.RecordBatch.from_arrays([pa.array(of, pa.int32()), pa.array(known, pa.bool_()), pa.array(data, pa.binary())], names=["bucket", "known", "data"])
+
+    for batch in batches:
+        names = batch.column("c").to_numpy()
+        for i, (m, rare, raw) in enumerate(zip(batch.column("n").to_pylist(), batch.column("rare").to_pylist(), batch.column("prefix").to_pylist(), strict=True)):
+            t = np.frombuffer(raw, np.uint64)
+            mine, often = [t[:rare]], t[rare:]
+            if m <= _long(percent) * 100 // percent + 1 and len(often) > 1:
+                x, y = _two_of(len(often))
+                mine.append(mix(often[x] + mix(often[y])))
+            if m >= _long(percent):
+                mine.append(mix(often ^ np.uint64(0x5851F42D4C957F2D)))
+            key += mine
+            many = sum(map(len, mine))
+            c.append(np.full(many, names[i]))
+            n.append(np.full(many, m, np.int32))
+            held += many
+            if held > BUCKET // 2:
+                yield dealt()
+                key, c, n, held = [], [], [], 0
+    if held:
+        yield dealt()
+
+
+def _packed(key: np.ndarray, c: np.ndarray, n: np.ndarray) -> bytes:
+    return key.tobytes() + c.tobytes() + n.tobytes()
+
+
+def _unpacked(data: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    m = [len(d) // 20 for d in data]
+    key, c = (np.concatenate([np.frombuffer(d, np.int64, k, at * k) for d, k in zip(data, m, strict=True)]) for at in (0, 8))
+    return key, c, np.concatenate([np.frombuffer(d, np.int32, k, 16 * k) for d, k in zip(data, m, strict=True)]).astype(np.int64)
 
 
 def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
@@ -241,13 +292,27 @@ def _runs(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _pairs(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """Of small groups all pairs of fitting length; rows of large ones as (c, null, key). Never holds a whole large group."""
+    """Of small groups all pairs of fitting length; rows of large ones as (c, null, key). Holds a bucket at a time, and of large
+    groups what no batch of ``_keys`` found to be large by itself."""
 
-    def told(key: np.ndarray, c: np.ndarray, n: np.ndarray, known: int | None) -> pa.RecordBatch:
+    def told(a: np.ndarray, b: np.ndarray, c: np.ndarray, key: np.ndarray) -> pa.RecordBatch:
+        zeros = np.zeros(len(a), np.int64)
+        return pa.RecordBatch.from_arrays(
+            [pa.array(np.r_[a, c]), pa.array(np.r_[b, np.zeros(len(c), np.int64)]), pa.array(np.r_[zeros, key]), pa.array(np.r_[zeros != 0, np.ones(len(c), bool)])],
+            names=["a", "b", "key", "large"],
+        )
+
+    def met(data: list[bytes]) -> pa.RecordBatch:
+        key, c, n = _unpacked(data)
+        order = np.argsort(key)
+        size = _runs(key[order])[1]
+        order = order[np.repeat(size > 1, size)]
+        if not len(order):
+            return told(*np.zeros((4, 0), np.int64))
+        order = order[np.lexsort((c[order], n[order], key[order]))]
+        key, c, n = key[order], c[order], n[order]
         starts, size = _runs(key)
-        large = size > SMALL
-        if known is not None and len(key):
-            large[0] |= key[0] == known
+        large = (size > SMALL) | (n[starts] < 0)
         out_a, out_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for m in range(2, SMALL + 1):
             s = starts[(size == m) & ~large]
@@ -256,30 +321,26 @@ def _pairs(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Recor
                     fit = 100 * n[s + x] >= percent * n[s + y]  # n ascends in a group
                     out_a.append(c[s + x][fit])
                     out_b.append(c[s + y][fit])
-        big = np.repeat(large, size)
+        big = np.repeat(large, size) & (n >= 0)
         a, b = np.concatenate(out_a), np.concatenate(out_b)
         pair = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1) if len(a) else np.zeros((2, 0), np.int64)
-        k, zeros = int(big.sum()), np.zeros(pair.shape[1], np.int64)
-        return pa.RecordBatch.from_arrays(
-            [pa.array(np.r_[pair[0], c[big]]), pa.array(np.r_[pair[1], np.zeros(k, np.int64)]), pa.array(np.r_[zeros, key[big]]), pa.array(np.r_[zeros != 0, np.ones(k, bool)])],
-            names=["a", "b", "key", "large"],
-        )
+        return told(*pair, c[big], key[big])
 
-    held = tuple(np.zeros(0, np.int64) for _ in range(3))
-    known: int | None = None  # the last group's key, once it is known to be large
+    held: list[bytes] = []
+    bucket = -1
     for batch in batches:
-        if not batch.num_rows:
-            continue
-        key, c, n = (np.concatenate([h, batch.column(x).to_numpy()]) for h, x in zip(held, ("key", "c", "n"), strict=True))
-        cut = int(np.searchsorted(key, key[-1], side="left"))
-        last = int(key[-1])
-        if known == last or len(key) - cut > SMALL:
-            yield told(key, c, n, known)
-            known, held = last, tuple(np.zeros(0, np.int64) for _ in range(3))
-        else:
-            yield told(key[:cut], c[:cut], n[:cut], known)
-            known, held = None, (key[cut:], c[cut:], n[cut:])
-    yield told(*held, known)
+        for of, known, data in zip(batch.column("bucket").to_pylist(), batch.column("known").to_pylist(), batch.column("data").to_pylist(), strict=True):
+            if known:
+                key, c, _ = _unpacked([data])
+                yield told(*np.zeros((2, 0), np.int64), c, key)
+                continue
+            if of != bucket and held:
+                yield met(held)
+                held = []
+            bucket = of
+            held.append(data)
+    if held:
+        yield met(held)
 
 
 def _nearest(batches: Iterator[pa.RecordBatch], percent: int, gives: int) -> Iterator[pa.RecordBatch]:
@@ -306,25 +367,32 @@ def _nearest(batches: Iterator[pa.RecordBatch], percent: int, gives: int) -> Ite
             names, of, many = np.unique(label[s : s + m], return_inverse=True, return_counts=True)
             if len(names) == 1:
                 continue
-            maps = {b: (k := int(np.searchsorted(own, b)), _folded(raw[s + k : s + m], b)) for b in np.unique(own).tolist()}
-            for x in np.flatnonzero(of != many.argmax()):  # n ascends: partners lie in a stretch
-                lo, hi = int(np.searchsorted(nn, -(-percent * nn[x] // 100))), int(np.searchsorted(nn, nn[x] * 100 // percent, side="right"))
-                y = lo + np.flatnonzero(of[lo:hi] != of[x])
-                if not len(y):
-                    continue
-                common = np.minimum(own[y], own[x])
-                apart = np.empty(len(y), np.int64)
-                for b in np.unique(common).tolist():
-                    k, rows = maps[b]
-                    at = common == b
-                    apart[at] = np.bitwise_count(rows[y[at] - k] ^ rows[x - k]).sum(axis=1, dtype=np.int64)
-                fit = apart * (100 + percent) <= (100 - percent) * (nn[y] + nn[x])
-                y, far = y[fit], apart[fit] / (nn[y[fit]] + nn[x])
-                if len(y) > gives:
-                    y = y[np.argpartition(far, gives)[:gives]]
+            kinds = np.unique(own)
+            maps = {b: (k := int(np.searchsorted(own, b)), _folded(raw[s + k : s + m], b)) for b in kinds.tolist()}
+            outer = np.flatnonzero(of != many.argmax())
+            low, high = np.searchsorted(nn, -(-percent * nn[outer] // 100)), np.searchsorted(nn, nn[outer] * 100 // percent, side="right")
+            some = max(1, MATRIX // (m * int(own[-1])))
+            for at in range(0, len(outer), some):  # n ascends: partners of one, and of neighbours, lie in a stretch
+                x, lo, hi = outer[at : at + some], low[at : at + some, None], high[at : at + some, None]
+                y = np.arange(lo[0, 0], hi[-1, 0])
+                apart = np.empty((len(x), len(y)), np.int64)
+                for p in kinds.tolist():
+                    i = slice(*np.searchsorted(own[x], [p, p + 1]))
+                    for q in kinds.tolist() if i.start < i.stop else ():
+                        j = slice(*np.searchsorted(own[y], [q, q + 1]))
+                        k, rows = maps[min(p, q)]
+                        apart[i, j] = np.bitwise_count(rows[x[i] - k, None] ^ rows[None, y[j] - k]).sum(axis=2, dtype=np.int64)
+                both = nn[x, None] + nn[None, y]
+                fit = (apart * (100 + percent) <= (100 - percent) * both) & (of[x, None] != of[None, y]) & (y >= lo) & (y < hi)
+                over = np.flatnonzero(fit.sum(axis=1) > gives)
+                if len(over):
+                    near = np.argpartition(np.where(fit[over], apart[over] / both[over], np.inf), gives, axis=1)[:, :gives]
+                    fit[over] = False
+                    fit[over[:, None], near] = True
                     of_block = whole[int(s)].as_py()
                     left.add(int(key[s]) if of_block is None else of_block)
-                held.append(np.stack([np.minimum(cc[x], cc[y]), np.maximum(cc[x], cc[y])]))
+                i, j = np.nonzero(fit)
+                held.append(np.stack([np.minimum(cc[x[i]], cc[y[j]]), np.maximum(cc[x[i]], cc[y[j]])]))
         if sum(h.shape[1] for h in held) > 200_000:
             yield once()
     yield once()
@@ -534,8 +602,8 @@ def row_hash() -> Column:
     return F.xxhash64(F.col("doc_id").cast("long"), F.col("text"))
 
 
-def _texts(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_hash().alias("rep"), "text")
+def _texts(docs: DataFrame, carry: dict[str, Column] | None = None) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_hash().alias("rep"), "text", *[v.alias(f"_wf_{k}") for k, v in (carry or {}).items()])
 
 
 def join(docs: DataFrame, ngram: int = 3, percent: int = 90, owner: str = "query", every: bool = True) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -569,18 +637,19 @@ def _settled(df: DataFrame, tag: str, owner: str) -> DataFrame:
     return out
 
 
-def _connect(docs: DataFrame, ngram: int, percent: int, owner: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+def _connect(docs: DataFrame, ngram: int, percent: int, owner: str, carry: dict[str, Column] | None = None) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """What ``join`` returns, with enough links to connect every class with all it is linked with; and the components (v, label)
     of linked classes."""
     spark: SparkSession = docs.sparkSession
     texts = _texts(docs)
     counts = _sketch(texts.select("text"), ngram)
     load = float(counts.mean())
-    profiles, classes = _classes(table(_profiles(texts, counts > load + 8 * load**0.5 + 24, ngram, percent), "jaccard-profiles", owner), owner)
+    profiles, classes = _classes(table(_profiles(_texts(docs, carry), counts > load + 8 * load**0.5 + 24, ngram, percent), "jaccard-profiles", owner), owner)
     big = classes.filter(F.col("n") >= _least_size(percent))
     parts = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    keyed = big.select("c", "n", "rare", "prefix").mapInArrow(lean(lambda x: _keys(x, percent)), "key long, c long, n long")
-    keyed = keyed.repartition(parts, "key").sortWithinPartitions("key", "n", "c")
+    buckets = max(4 * parts, (big.agg(F.sum(_many_keys(percent))).first()[0] or 0) // BUCKET)
+    keyed = big.select("c", "n", "rare", "prefix").mapInArrow(lean(lambda x: _keys(x, percent, buckets)), "bucket int, known boolean, data binary")
+    keyed = keyed.repartition(parts, "bucket").sortWithinPartitions("bucket")
     met = table(keyed.mapInArrow(lean(lambda x: _pairs(x, percent)), "a long, b long, key long, large boolean"), "jaccard-met", owner)
     near = table(_bounded(met.filter("not large").select("a", "b").distinct(), big, percent), "jaccard-first", owner)
     links = _settled(_verified(near, classes, texts, ngram, percent, f"{owner}-try"), "jaccard-links", owner)
@@ -629,17 +698,19 @@ def _cross(groups: DataFrame, blocks: DataFrame, classes: DataFrame, label: Data
     return met.filter("more").select(F.col("a").alias("key")).distinct(), met.filter("not more").select("a", "b").distinct()
 
 
-def near_duplicates(docs: DataFrame, ngram: int = 3, percent: int = 90, owner: str = "query", every: bool = True) -> DataFrame:
+def near_duplicates(docs: DataFrame, ngram: int = 3, percent: int = 90, owner: str = "query", every: bool = True, carry: dict[str, Column] | None = None) -> DataFrame:
     """Each row of ``docs``: doc_id, n_shingles, component_id (the least doc_id it can reach by links), set_hash, row_hash (of id
-    and text, as ``row_hash`` gives it), root (names its component, ids or not; null for empty sets) and, with ``every``, n_links (how many other rows it is linked with, equal sets
-    included)."""
-    profiles, classes, links, label = _connect(docs, ngram, percent, owner)
+    and text, as ``row_hash`` gives it), n_words, root (names its component, ids or not; null for empty sets), with ``every``
+    n_links (how many other rows it is linked with, equal sets included), and ``carry``: short columns of ``docs`` by new names,
+    so that what else a row has need not be looked up."""
+    profiles, classes, links, label = _connect(docs, ngram, percent, owner, carry)
     rooted = classes.select("c", "least", "docs").join(label.withColumnRenamed("v", "c"), "c", "left").withColumn("root", F.coalesce("label", "c"))
     low = rooted.groupBy("root").agg(F.min("least").alias("component"))
     of = rooted.join(low, "root").select("c", "root", "component", "docs")
     if every:
         of = of.join(_all_links(links, label, classes, _texts(docs), ngram, percent, owner, count=True), "c", "left").withColumn("n_links", F.col("docs") - 1 + F.coalesce("others", F.lit(0)))
-    out = profiles.select("doc_id", "rep", "n", "c").join(of, "c", "left")
+    with_it = [f"_wf_{k}" for k in carry or {}]
+    out = profiles.select("doc_id", "rep", "words", "n", "c", *with_it).join(of, "c", "left")
     component = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.nullif("component", F.lit(_NONE)))
     count = [F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")] if every else []
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("c").alias("set_hash"), F.col("rep").alias("row_hash"), "root", *count)
+    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("c").alias("set_hash"), F.col("rep").alias("row_hash"), F.col("words").alias("n_words"), "root", *count, *[F.col(x).alias(x[4:]) for x in with_it])

@@ -109,12 +109,11 @@ def items(docs: DataFrame, cluster: str | None = None, extra: dict | None = None
 
 
 def near_items(docs: DataFrame, owner: str = "query") -> DataFrame:
-    """Documents as items whose clusters are the components of near copies. Texts stay where they are: rows and components meet
-    by a hash of id and text, which equal rows share."""
-    group = jaccard.near_duplicates(docs, ngram=5, percent=80, owner=owner, every=False).filter("n_shingles > 0")
-    cluster = group.groupBy("row_hash").agg(F.min("root").alias("cluster"))
-    rows = items(docs.select("doc_id", "source", "text"), extra={"row_hash": jaccard.row_hash()}).drop("cluster")
-    return rows.join(table(cluster, "pack-clusters", owner), "row_hash", "left").drop("row_hash")
+    """Documents as items whose clusters are the components of near copies. Sizes are counted where the join reads the texts, and
+    sources come along with it, so texts are not read again."""
+    own = {"source": F.col("source").cast("string"), "copy": F.xxhash64("text")}
+    group = jaccard.near_duplicates(docs, ngram=5, percent=80, owner=owner, every=False, carry=own)
+    return group.select("doc_id", "source", F.col("root").alias("cluster"), F.when(F.col("n_words") > 0, F.col("copy")).alias("copy"), F.col("n_words").alias("size"))
 
 
 def pack_documents(docs: DataFrame, capacity: int = CAPACITY, max_per_source: int = MAX_PER_SOURCE, shard_rows: int = SHARD_ROWS, owner: str = "query", cluster: str | None = None) -> DataFrame:
