@@ -74,3 +74,8 @@ def test_purify_of_long_track_with_outliers():
 def test_purify_of_long_days(spark, long_days):
     still, wild = long_days
     assert rows(trajectory.purify(wild)) == rows(still.select("device_id", "day", "capturetime", "latitude", "longitude"))
+
+
+def test_cluster_points_of_long_days(long_days):
+    still, wild = long_days
+    assert rows(trajectory.cluster_quantised(wild, SPAN)) == rows(trajectory.cluster_quantised(still, SPAN))
