@@ -79,3 +79,8 @@ def test_purify_of_long_days(spark, long_days):
 def test_cluster_points_of_long_days(long_days):
     still, wild = long_days
     assert rows(trajectory.cluster_quantised(wild, SPAN)) == rows(trajectory.cluster_quantised(still, SPAN))
+
+
+def test_compression_of_long_days(long_days):
+    still, wild = (trajectory.compression(x, SPAN, LEVEL).drop("org_bytes") for x in long_days)
+    assert rows(wild) == rows(still)
