@@ -84,3 +84,8 @@ def test_cluster_points_of_long_days(long_days):
 def test_compression_of_long_days(long_days):
     still, wild = (trajectory.compression(x, SPAN, LEVEL).drop("org_bytes") for x in long_days)
     assert rows(wild) == rows(still)
+
+
+def test_grid_quantise_of_long_days(long_days):
+    still, wild = long_days
+    assert rows(trajectory.grid_quantised(wild, SPAN, 15)) == rows(trajectory.grid_quantised(still, SPAN, 15))
