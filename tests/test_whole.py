@@ -89,3 +89,9 @@ def test_compression_of_long_days(long_days):
 def test_grid_quantise_of_long_days(long_days):
     still, wild = long_days
     assert rows(trajectory.grid_quantised(wild, SPAN, 15)) == rows(trajectory.grid_quantised(still, SPAN, 15))
+
+
+def test_group_patterns_of_long_days(long_days):
+    """Wild fixes make no pair of devices that never meet."""
+    got = patterns.group_patterns(long_days[1], span=SPAN, level=LEVEL)
+    assert [tuple(sorted(r.asDict()[c] for c in ("a", "b"))) for r in got.collect()] == [("a", "c")]
