@@ -95,3 +95,9 @@ def test_group_patterns_of_long_days(long_days):
     """Wild fixes make no pair of devices that never meet."""
     got = patterns.group_patterns(long_days[1], span=SPAN, level=LEVEL)
     assert [tuple(sorted(r.asDict()[c] for c in ("a", "b"))) for r in got.collect()] == [("a", "c")]
+
+
+def test_period_summary_of_long_days(long_days):
+    still, wild = (trajectory.summary(trajectory.compression(x, SPAN, LEVEL), ((1, 1, 15, "Jan 1-15"),)).first() for x in long_days)
+    assert wild.tracks == still.tracks == 3 and (wild.st_similarity, wild.vec_similarity) == (still.st_similarity, still.vec_similarity)
+    assert wild.st_ratio == pytest.approx(still.st_ratio * (N + 18) / N, abs=2e-3)
