@@ -101,3 +101,9 @@ def test_period_summary_of_long_days(long_days):
     still, wild = (trajectory.summary(trajectory.compression(x, SPAN, LEVEL), ((1, 1, 15, "Jan 1-15"),)).first() for x in long_days)
     assert wild.tracks == still.tracks == 3 and (wild.st_similarity, wild.vec_similarity) == (still.st_similarity, still.vec_similarity)
     assert wild.st_ratio == pytest.approx(still.st_ratio * (N + 18) / N, abs=2e-3)
+
+
+def test_quantisation_report_of_long_days(long_days):
+    still, wild = (trajectory.quantisation_report(x, SPAN, 15) for x in long_days)
+    assert {r.n_raw for r in wild.collect()} == {N + 18}
+    assert rows(wild.select("device_id", "n_quantised")) == rows(still.select("device_id", "n_quantised"))
