@@ -107,3 +107,9 @@ def test_quantisation_report_of_long_days(long_days):
     still, wild = (trajectory.quantisation_report(x, SPAN, 15) for x in long_days)
     assert {r.n_raw for r in wild.collect()} == {N + 18}
     assert rows(wild.select("device_id", "n_quantised")) == rows(still.select("device_id", "n_quantised"))
+
+
+def test_quantise_ratio_of_long_days(long_days):
+    still, wild = (trajectory.grid_reduction(x, SPAN, 15) for x in long_days)
+    assert {r.n_raw for r in wild.collect()} == {N + 18}
+    assert rows(wild.select("device_id", "n_quantised")) == rows(still.select("device_id", "n_quantised"))
