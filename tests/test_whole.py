@@ -113,3 +113,8 @@ def test_quantise_ratio_of_long_days(long_days):
     still, wild = (trajectory.grid_reduction(x, SPAN, 15) for x in long_days)
     assert {r.n_raw for r in wild.collect()} == {N + 18}
     assert rows(wild.select("device_id", "n_quantised")) == rows(still.select("device_id", "n_quantised"))
+
+
+def test_track_similarity_of_long_days(long_days):
+    still, wild = long_days
+    assert rows(trajectory.similarity(still, trajectory.grid_quantised(wild, SPAN, 15), SPAN, LEVEL)) == rows(trajectory.similarity(still, trajectory.grid_quantised(still, SPAN, 15), SPAN, LEVEL))
