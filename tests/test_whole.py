@@ -118,3 +118,8 @@ def test_quantise_ratio_of_long_days(long_days):
 def test_track_similarity_of_long_days(long_days):
     still, wild = long_days
     assert rows(trajectory.similarity(still, trajectory.grid_quantised(wild, SPAN, 15), SPAN, LEVEL)) == rows(trajectory.similarity(still, trajectory.grid_quantised(still, SPAN, 15), SPAN, LEVEL))
+
+
+def test_track_vectors_of_long_days(long_days):
+    still, wild = (trajectory.track_vectors(x, SPAN, LEVEL) for x in long_days)
+    assert rows(wild) == rows(still)
